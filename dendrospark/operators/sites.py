@@ -177,7 +177,7 @@ def component_sizes(frag_node: DataFrame, frag_edge: DataFrame) -> tuple[DataFra
     sized = marked.groupBy("label", "component").agg(
         F.avg(F.when(r > 0, r)).alias("mean_radius"), F.count(F.lit(1)).alias("n_nodes")).join(
         cable, "component", "left").withColumn("cable", F.coalesce("cable", F.lit(0.0)))
-    return marked, sized
+    return marked, cut(sized)
 
 
 def closest_component_pair(marked: DataFrame, sized: DataFrame, start: float = 20.0) -> DataFrame:
@@ -205,7 +205,7 @@ def closest_component_pair(marked: DataFrame, sized: DataFrame, start: float = 2
 def merge_sites_component(frag_node: DataFrame, frag_edge: DataFrame, min_arm: float = 10.0) -> DataFrame:
     """One label over two or more unconnected pieces of at least ``min_arm`` cable."""
     marked, sized = component_sizes(frag_node, frag_edge)
-    sized = cut(sized.filter(F.col("cable") >= min_arm))
+    sized = sized.filter(F.col("cable") >= min_arm)
     pairs = closest_component_pair(marked, sized)
 
     def info(tag):

@@ -143,6 +143,8 @@ def nearest(
         *by, *build_xyz, "_b.*")
     probe = probe.select(*group, *probe_xyz)
 
+    if not bounded:  # several passes over both sides follow
+        probe, build = cut(probe), cut(build)
     start, top = radius, radius
     shrink = 0
     while shrink < 6 and _densest(build, by, build_xyz, 2.0 * start) > dense_rows:

@@ -16,33 +16,33 @@ from dendrospark.operators.graph import XYZ, degrees, edge_length, symmetric
 from dendrospark.session import cut, is_empty
 
 
-def directed_edges(nodes: DataFrame, edges: DataFrame, stops: DataFrame | None = None) -> DataFrame:
+def directed_edges(nodes: DataFrame, edges: DataFrame, stops: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """``u, v, length, passes, rsum, rcnt``: both directions of every edge.
 
     ``passes`` tells whether a walk may go on beyond v (degree 2 and not a stop);
     ``rsum, rcnt`` are v's positive radius and 1, or zeros.
     """
-    known = degrees(nodes, edges)
+    known = degrees(nodes, edges, by)
     passes = F.col("degree") == 2
     if stops is not None:
-        known = known.join(stops.select("node_id", F.lit(True).alias("_stop")).distinct(), "node_id", "left")
+        known = known.join(stops.select(*by, "node_id", F.lit(True).alias("_stop")).distinct(), [*by, "node_id"], "left")
         passes = passes & F.col("_stop").isNull()
     radius = F.col("radius").cast("double") if "radius" in nodes.columns else F.lit(0.0)
     at = known.select(
-        F.col("node_id").alias("v"), passes.alias("passes"), F.when(radius > 0, radius).otherwise(0.0).alias("rsum"),
+        *by, F.col("node_id").alias("v"), passes.alias("passes"), F.when(radius > 0, radius).otherwise(0.0).alias("rsum"),
         F.when(radius > 0, 1).otherwise(0).cast("bigint").alias("rcnt"))
-    both = symmetric(edge_length(edges, nodes), carry=["length"])
-    return cut(both.select(F.col("src").alias("u"), F.col("dst").alias("v"), "length").join(at, "v").select(
-        "u", "v", "length", "passes", "rsum", "rcnt"))
+    both = symmetric(edge_length(edges, nodes, by), by, carry=["length"])
+    return cut(both.select(*by, F.col("src").alias("u"), F.col("dst").alias("v"), "length").join(at, [*by, "v"]).select(
+        *by, "u", "v", "length", "passes", "rsum", "rcnt"))
 
 
-def single_steps(directed: DataFrame) -> DataFrame:
+def single_steps(directed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One step on: ``u, v -> nu, nv`` with the cable and radius it adds."""
     onward = directed.select(
-        F.col("u").alias("v"), F.col("v").alias("nv"), F.col("length").alias("c"), F.col("rsum").alias("rs"),
+        *by, F.col("u").alias("v"), F.col("v").alias("nv"), F.col("length").alias("c"), F.col("rsum").alias("rs"),
         F.col("rcnt").alias("rc"))
-    return directed.filter("passes").select("u", "v").join(onward, "v").filter(F.col("nv") != F.col("u")).select(
-        "u", "v", F.col("v").alias("nu"), "nv", "c", "rs", "rc")
+    return directed.filter("passes").select(*by, "u", "v").join(onward, [*by, "v"]).filter(F.col("nv") != F.col("u")).select(
+        *by, "u", "v", F.col("v").alias("nu"), "nv", "c", "rs", "rc")
 
 
 def step_tables(directed: DataFrame, limit: float) -> list[DataFrame]:
@@ -113,26 +113,26 @@ def walk_arms(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_um: flo
     return ends.join(seeds, ["node_id", "arm"])
 
 
-def chain_ends(directed: DataFrame) -> DataFrame:
+def chain_ends(directed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """For every directed edge u->v the first node beyond which the walk cannot go: ``u, v, end, cable, hops``.
 
     ``cable`` is measured from u. Edges of closed rings without a stop have no
     end and are left out.
     """
-    step = single_steps(directed).select("u", "v", "nu", "nv", "c", F.lit(1).cast("bigint").alias("n"))
-    ended = directed.filter(~F.col("passes")).select("u", "v", F.lit(True).alias("_done"))
-    state = cut(directed.select("u", "v", F.col("length").alias("_l")).join(step, ["u", "v"], "left").join(
-        ended, ["u", "v"], "left").select(
-        "u", "v", "_l", F.coalesce("nu", "u").alias("nu"), F.coalesce("nv", "v").alias("nv"),
+    step = single_steps(directed, by).select(*by, "u", "v", "nu", "nv", "c", F.lit(1).cast("bigint").alias("n"))
+    ended = directed.filter(~F.col("passes")).select(*by, "u", "v", F.lit(True).alias("_done"))
+    state = cut(directed.select(*by, "u", "v", F.col("length").alias("_l")).join(step, [*by, "u", "v"], "left").join(
+        ended, [*by, "u", "v"], "left").select(
+        *by, "u", "v", "_l", F.coalesce("nu", "u").alias("nu"), F.coalesce("nv", "v").alias("nv"),
         F.coalesce("c", F.lit(0.0)).alias("c"), F.coalesce("n", F.lit(0)).alias("n"),
         F.coalesce("_done", F.lit(False)).alias("done")))
     open_before = None
     while True:
-        onward = state.select(F.col("u").alias("nu"), F.col("v").alias("nv"), F.col("nu").alias("_u"),
+        onward = state.select(*by, F.col("u").alias("nu"), F.col("v").alias("nv"), F.col("nu").alias("_u"),
                               F.col("nv").alias("_v"), F.col("c").alias("_c"), F.col("n").alias("_n"),
                               F.col("done").alias("_done"))
-        state = cut(state.join(onward, ["nu", "nv"]).select(
-            "u", "v", "_l", F.when(F.col("done"), F.col("nu")).otherwise(F.col("_u")).alias("nu"),
+        state = cut(state.join(onward, [*by, "nu", "nv"]).select(
+            *by, "u", "v", "_l", F.when(F.col("done"), F.col("nu")).otherwise(F.col("_u")).alias("nu"),
             F.when(F.col("done"), F.col("nv")).otherwise(F.col("_v")).alias("nv"),
             F.when(F.col("done"), F.col("c")).otherwise(F.col("c") + F.col("_c")).alias("c"),
             F.when(F.col("done"), F.col("n")).otherwise(F.col("n") + F.col("_n")).alias("n"),
@@ -141,7 +141,7 @@ def chain_ends(directed: DataFrame) -> DataFrame:
         if still_open == 0 or (still_open == open_before and _only_rings(state)):
             break
         open_before = still_open
-    return state.filter("done").select("u", "v", F.col("nv").alias("end"), (F.col("_l") + F.col("c")).alias("cable"),
+    return state.filter("done").select(*by, "u", "v", F.col("nv").alias("end"), (F.col("_l") + F.col("c")).alias("cable"),
                                        (F.col("n") + 1).alias("hops"))
 
 

@@ -157,14 +157,14 @@ _SQL = {
         (select u as node_id, count(*) as degree from frag_sym group by u) d using (node_id)""",
     "tip_pair": """
       select a.node_id as node_a, a.label as label_a, a.x as ax, a.y as ay, a.z as az, b.node_id as node_b,
-        b.label as label_b, b.degree as degree_b, b.x as bx, b.y as by, b.z as bz,
+        b.label as label_b, b.degree as degree_b, b.x as bx, b.y as "by", b.z as bz,
         (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) as d2
       from (select * from frag_deg where degree = 1) a join frag_deg b
         on b.x between a.x - 15 and a.x + 15 and b.y between a.y - 15 and a.y + 15 and b.z between a.z - 15 and a.z + 15
         and a.label <> b.label
       where (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 225""",
     "split_site": """
-      select node_a, node_b, label_a, label_b, degree_b, ax, ay, az, bx, by, bz, d2, sqrt(d2) as gap_um from (
+      select node_a, node_b, label_a, label_b, degree_b, ax, ay, az, bx, "by", bz, d2, sqrt(d2) as gap_um from (
         select *, row_number() over (partition by least(label_a, label_b), greatest(label_a, label_b)
                                      order by d2, node_a, node_b) as rn from tip_pair) where rn = 1""",
 }

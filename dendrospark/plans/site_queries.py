@@ -15,9 +15,9 @@ _ARM_ENDS = """
   select start, arm, max(cable) as cable, max_by(cur, n) as end_node,
     coalesce(min_by(cur, n) filter (cable >= 8), max_by(cur, n)) as seed_node, sum(r.radius) as rsum, count(*) as rcnt
   from arms a join frag_node r on r.node_id = a.cur group by start, arm"""
-_ANGLE = """round(degrees(acos(greatest(-1, least(1, ((ea.x-c.x)*(eb.x-c.x) + (ea.y-c.y)*(eb.y-c.y) + (ea.z-c.z)*(eb.z-c.z))
+_ANGLE = """degrees(acos(greatest(-1, least(1, ((ea.x-c.x)*(eb.x-c.x) + (ea.y-c.y)*(eb.y-c.y) + (ea.z-c.z)*(eb.z-c.z))
     / nullif(sqrt((ea.x-c.x)*(ea.x-c.x) + (ea.y-c.y)*(ea.y-c.y) + (ea.z-c.z)*(ea.z-c.z)) *
-      sqrt((eb.x-c.x)*(eb.x-c.x) + (eb.y-c.y)*(eb.y-c.y) + (eb.z-c.z)*(eb.z-c.z)), 0))))), 6)"""
+      sqrt((eb.x-c.x)*(eb.x-c.x) + (eb.y-c.y)*(eb.y-c.y) + (eb.z-c.z)*(eb.z-c.z)), 0)))))"""
 _SITE_COLS = ["label", "cut_node", "seed_a_node", "seed_b_node", "branch_degree", "detector"]
 
 BRANCH_SQL = {
@@ -67,7 +67,7 @@ _KINK = {
       from ranked a join ranked b on a.start = b.start and a.rn = 1 and b.rn = 2 join kink_deg c on c.node_id = a.start
         join kink_node ea on ea.node_id = a.end_node join kink_node eb on eb.node_id = b.end_node
       where a.cable >= 10 and b.cable >= 10""",
-    "cand": "select *, row_number() over (order by angle_deg, cut_node) as ord from neck where angle_deg <= 120",
+    "cand": "select *, row_number() over (order by round(angle_deg, 6), cut_node) as ord from neck where angle_deg <= 120",
     "conflict": """select a.ord as better, b.ord as worse from cand a join cand b on a.ord < b.ord
       and (a.cx-b.cx)*(a.cx-b.cx) + (a.cy-b.cy)*(a.cy-b.cy) + (a.cz-b.cz)*(a.cz-b.cz) < 400""",
     "pass": """
@@ -167,7 +167,7 @@ def _(t):
 @query("g6_greedy_matching")
 def _(t):
     """Sequential by nature; checked against a plain loop in the tests."""
-    s = SI.split_sites(t.frag_node, t.frag_edge, 15.0, max_sites=None).withColumn("edge_id", F.col("node_a") * 1000000 + F.col("node_b"))
+    s = SI.split_sites(t.frag_node, t.frag_edge, 15.0, max_sites=None).withColumn("edge_id", F.concat_ws("-", "node_a", "node_b"))
     return GR.greedy_matching(s, [F.col("d2")], "label_a", "label_b").select("label_a", "label_b", "node_a", "node_b", "d2")
 
 
@@ -183,7 +183,7 @@ def _(t):
 
 def _proposals(t):
     p = SI.proposals(SI.tip_pairs(t.frag_node, t.frag_edge, 15.0), k=3)
-    return p.select((F.col("node_a") * 1000000 + F.col("node_b")).alias("edge_id"), F.col("label_a").alias("a"),
+    return p.select(F.concat_ws("-", "node_a", "node_b").alias("edge_id"), F.col("label_a").alias("a"),
                     F.col("label_b").alias("b"), (F.lit(1.0) - F.col("d2") / 450.0).alias("score"))
 
 
