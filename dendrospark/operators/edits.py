@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dendrospark.functions.scalar import BACKGROUND, PSEUDO_SEP, base26_suffix
-from dendrospark.operators.graph import XYZ, connected_components, global_rank, symmetric
+from dendrospark.operators.graph import XYZ, connected_components, symmetric
+from dendrospark.operators.ordering import global_rank
 from dendrospark.operators.spatial import as_build, nearest
 from dendrospark.operators.walk import chain_ends, directed_edges
 from dendrospark.session import cut, is_empty
@@ -330,11 +331,11 @@ def edit_histogram(edits: DataFrame) -> DataFrame:
     return edits.groupBy("candidate_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def render_edits(edits: DataFrame, limit: int = 40) -> DataFrame:
+def render_edits(edits: DataFrame, limit: int = 40, order: Sequence[str] = ("edit_seq",)) -> DataFrame:
     """The first ``limit`` edits of each candidate as text, with the total number of edits."""
     total = edits.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n_edits"))
     # rows for the report only: the limit is the feature here
-    shown = edits.withColumn("_r", F.row_number().over(Window.partitionBy("candidate_id").orderBy("edit_seq"))).filter(F.col("_r") <= limit)
+    shown = edits.withColumn("_r", F.row_number().over(Window.partitionBy("candidate_id").orderBy(*order))).filter(F.col("_r") <= limit)
 
     def at(i):
         s = F.col("seeds")[i]

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dendrospark.operators.ordering import global_rank
 from dendrospark.session import cut, is_empty
 
 XYZ = ("x", "y", "z")
@@ -208,22 +209,6 @@ def dense_codes(df: DataFrame, col: str, out: str = "code") -> DataFrame:
     return df.join(global_rank(df.select(col).distinct(), [F.col(col)], out), col)
 
 
-def global_rank(df: DataFrame, order: list[Column], out: str) -> DataFrame:
-    """1-based rank over the whole table without a single-task window.
-
-    Range partitions are written once (so partition numbers cannot change under
-    re-computation), numbered within, and shifted by the running count.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = cut(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
-    local = parts.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = parts.groupBy("_part").count()  # one row per shuffle partition
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift"))
-    return local.join(F.broadcast(shift), "_part").withColumn(out, (F.col("_local") + F.col("_shift")).cast("bigint")).drop(
-        "_part", "_local", "_shift")
-
-
 def graph_summary(nodes: DataFrame, edges: DataFrame, segment: str = "label", by: Sequence[str] = ()) -> DataFrame:
     """Nodes, edges, connected components and distinct segment ids."""
     by = list(by)

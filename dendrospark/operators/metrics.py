@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dendrospark.operators.graph import connected_components
+from dendrospark.operators.ordering import exact_percentiles
 from dendrospark.operators.spatial import edges_in_patch, nodes_in_patch
+from dendrospark.session import cut
 
 # Metric columns and the names used in result files and reports.
 METRIC_NAMES = {
@@ -275,8 +277,11 @@ def label_gap_lengths(edges: DataFrame, candidates: DataFrame, threshold: float
     """Cable of the labels missing among ``candidates``: min, median, max and how many reach ``threshold``."""
     per = edges.join(candidates.select("label").distinct(), "label", "left_anti").groupBy("label").agg(
         F.sum("length").alias("um"))
-    return per.agg(F.count(F.lit(1)).alias("n_labels"), F.min("um").alias("min_um"), F.percentile("um", F.lit(0.5)).alias("median_um"),
-                   F.max("um").alias("max_um"), F.count_if(F.col("um") >= threshold).alias("n_long"))
+    per = cut(per)
+    ends = per.agg(F.count(F.lit(1)).alias("n_labels"), F.min("um").alias("min_um"), F.max("um").alias("max_um"),
+                   F.count_if(F.col("um") >= threshold).alias("n_long"), F.lit(1).alias("_k"))
+    middle = exact_percentiles(per, "um", {"median_um": 0.5}).withColumn("_k", F.lit(1))
+    return ends.join(middle, "_k").select("n_labels", "min_um", "median_um", "max_um", "n_long")
 
 
 def label_sets(candidate: DataFrame, scoring: DataFrame) -> DataFrame:

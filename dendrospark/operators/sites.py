@@ -7,13 +7,14 @@ that are not connected.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dendrospark.functions.scalar import BACKGROUND, angle_deg, radius_ratio
-from dendrospark.operators.graph import XYZ, connected_components, degrees, edge_length, labelled
+from dendrospark.operators.graph import XYZ, connected_components, degrees, edge_length, labelled, symmetric
 from dendrospark.operators.greedy import suppress
 from dendrospark.operators.spatial import HOT_ROWS, as_build, nearest, within_distance
 from dendrospark.operators.walk import walk_arms
@@ -250,3 +251,39 @@ def site_stream(split: DataFrame, merge: DataFrame) -> DataFrame:
 
 def site_counts(stream: DataFrame) -> DataFrame:
     return stream.groupBy("kind", F.coalesce("detector", F.lit("")).alias("detector")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- severing -------------------------------------------------------------------------------------------------------
+
+
+def sharp_edges(nodes: DataFrame, edges: DataFrame, max_angle: float = 30.0) -> DataFrame:
+    """Edges at branch nodes that leave within ``max_angle`` of an edge to a smaller neighbour id.
+
+    Unit directions of one node are compared on a cell grid, so a hub with very
+    many edges does not compare all of them with each other.
+    """
+    hubs = degrees(nodes, edges).filter(F.col("degree") >= 3).select(F.col("node_id").alias("hub"), *[F.col(c).alias(f"h{c}") for c in XYZ])
+    sym = symmetric(edges).select(F.col("src").alias("hub"), F.col("dst").alias("nbr"))
+    out = sym.join(hubs, "hub").join(nodes.select(F.col("node_id").alias("nbr"), *XYZ), "nbr")
+    d2 = sum(((F.col(c) - F.col(f"h{c}")) * (F.col(c) - F.col(f"h{c}")) for c in XYZ), F.lit(0))
+    unit = out.filter(d2 > 0).select("hub", "nbr", *[((F.col(c) - F.col(f"h{c}")) / F.sqrt(d2)).alias(c) for c in XYZ])
+    other = unit.select("hub", F.col("nbr").alias("other"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"))
+    chord = 2.0 * math.sin(math.radians(max_angle) / 2.0)
+    close = within_distance(unit, other, chord, by=["hub"], condition=F.col("other") < F.col("nbr"), inclusive=False)
+    return close.select(F.least("hub", "nbr").alias("_lo"), F.greatest("hub", "nbr").alias("_hi")).distinct()
+
+
+def thin_necks(nodes: DataFrame, edges: DataFrame, ratio: float = 0.5) -> DataFrame:
+    """Edges at degree-2 nodes whose radius is below ``ratio`` times the mean of their neighbours' radii."""
+    sym = symmetric(edges)
+    r = nodes.select(F.col("node_id").alias("dst"), F.col("radius").cast("double").alias("_nr"))
+    mean = sym.join(r, "dst").groupBy(F.col("src").alias("node_id")).agg(F.avg("_nr").alias("_mean"))
+    necks = degrees(nodes, edges).filter(F.col("degree") == 2).join(mean, "node_id").filter(F.col("radius") < F.lit(ratio) * F.col("_mean"))
+    return sym.join(necks.select(F.col("node_id").alias("src")), "src").select(
+        F.least("src", "dst").alias("_lo"), F.greatest("src", "dst").alias("_hi")).distinct()
+
+
+def sever(edges: DataFrame, flagged: DataFrame) -> DataFrame:
+    """Edges without the flagged ones; degrees, tips and proposals follow from running their operators again."""
+    keyed = edges.withColumns({"_lo": F.least("src", "dst"), "_hi": F.greatest("src", "dst")})
+    return keyed.join(flagged, ["_lo", "_hi"], "left_anti").drop("_lo", "_hi")

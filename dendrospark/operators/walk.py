@@ -114,7 +114,8 @@ def walk_arms(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_um: flo
 
 
 def chain_ends(directed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """For every directed edge u->v the first node beyond which the walk cannot go: ``u, v, end, cable, hops``.
+    """For every directed edge u->v the first node beyond which the walk cannot go: ``u, v, end, last, cable, hops``
+    (``last`` is the node before ``end``).
 
     ``cable`` is measured from u. Edges of closed rings without a stop have no
     end and are left out.
@@ -141,7 +142,7 @@ def chain_ends(directed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         if still_open == 0 or (still_open == open_before and _only_rings(state)):
             break
         open_before = still_open
-    return state.filter("done").select(*by, "u", "v", F.col("nv").alias("end"), (F.col("_l") + F.col("c")).alias("cable"),
+    return state.filter("done").select(*by, "u", "v", F.col("nv").alias("end"), F.col("nu").alias("last"), (F.col("_l") + F.col("c")).alias("cable"),
                                        (F.col("n") + 1).alias("hops"))
 
 
@@ -149,3 +150,83 @@ def _only_rings(state: DataFrame) -> bool:
     """True when the open walks have gone round at least once: more steps than there are edges."""
     row = state.filter(~F.col("done")).agg(F.min("n"), F.count(F.lit(1))).first()
     return row[0] > row[1]
+
+
+# --- chains between junctions ---------------------------------------------------------------------------------------
+
+
+def chains(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cut the graph at tips and branches.
+
+    Returns the chains (``start, first, end, last, cable``; an end is a tip or a
+    branch) and their edges with the position of both ends along the chain
+    (``start, first, a, b, pos_a, pos_b`` with pos_a < pos_b for real lengths).
+    Closed rings without a junction belong to no chain.
+    """
+    directed = directed_edges(nodes, edges)
+    ends = cut(chain_ends(directed))
+    passing = directed.filter("passes").select(F.col("v").alias("u")).distinct()
+    out = ends.join(passing, "u", "left_anti")
+    table = cut(out.filter(F.struct("u", "v") <= F.struct("end", "last")).select(
+        F.col("u").alias("start"), F.col("v").alias("first"), "end", "last", "cable"))
+    # a directed edge v->u that ends in (start, first) lies on that chain; its cable is the position of v
+    toward = ends.select(F.col("u").alias("b"), F.col("v").alias("a"), F.col("end").alias("start"), F.col("last").alias("first"),
+                         F.col("cable").alias("pos_b"))
+    on = toward.join(table.select("start", "first"), ["start", "first"])
+    length = directed.select(F.col("u").alias("b"), F.col("v").alias("a"), "length")
+    members = on.join(length, ["a", "b"]).select("start", "first", "a", "b", (F.col("pos_b") - F.col("length")).alias("pos_a"), "pos_b")
+    return table, members
+
+
+def resample(nodes: DataFrame, edges: DataFrame, spacing: float) -> DataFrame:
+    """Points at even steps of about ``spacing`` along every chain: ``start, first, k, pos, x, y, z``.
+
+    k = 0 and the last k are the junctions themselves; consecutive k are the new
+    edges. Each old edge makes the points that fall on it, so a long chain is
+    never gathered.
+    """
+    table, members = chains(nodes, edges)
+    steps = table.select("start", "first", F.greatest(F.lit(1), F.round(F.col("cable") / F.lit(spacing)).cast("bigint")).alias("n"), "cable")
+    at = members.join(steps, ["start", "first"])
+    for end in ("a", "b"):
+        at = at.join(nodes.select(F.col("node_id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in XYZ]), end)
+    step = F.col("cable") / F.col("n")
+    # rounding keeps a point that falls on a node from being made twice
+    low = F.ceil(F.round(F.col("pos_a") / step, 6))
+    high = F.when(F.round(F.col("pos_b") - F.col("cable"), 6) >= 0, F.col("n")).otherwise(F.ceil(F.round(F.col("pos_b") / step, 6)) - 1)
+    points = at.filter(low <= high).withColumn("k", F.explode(F.sequence(low, high))).withColumn("pos", F.col("k") * step)
+    share = F.when(F.col("pos_b") > F.col("pos_a"), (F.col("pos") - F.col("pos_a")) / (F.col("pos_b") - F.col("pos_a"))).otherwise(0.0)
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
+    return points.select("start", "first", "k", "pos", *[
+        (F.col(f"{c}_a") + share * (F.col(f"{c}_b") - F.col(f"{c}_a"))).alias(c) for c in XYZ])
+
+
+def prune_tips(nodes: DataFrame, edges: DataFrame, depth: float) -> DataFrame:
+    """Nodes left after cutting off the terminal branches shorter than ``depth``; the branch node stays."""
+    deg = degrees(nodes, edges).select("node_id", "degree")
+    table, members = chains(nodes, edges)
+    t = table
+    for end in ("start", "end"):
+        t = t.join(deg.withColumnsRenamed({"node_id": end, "degree": f"_{end}"}), end)
+    tip_to_branch = ((F.col("_start") == 1) & (F.col("_end") >= 3)) | ((F.col("_end") == 1) & (F.col("_start") >= 3))
+    short = t.filter(tip_to_branch & (F.col("cable") < depth)).select(
+        "start", "first", F.when(F.col("_start") >= 3, F.col("start")).otherwise(F.col("end")).alias("_keep"))
+    gone = members.join(short, ["start", "first"]).select("_keep", F.explode(F.array("a", "b")).alias("node_id")).filter(
+        F.col("node_id") != F.col("_keep")).select("node_id").distinct()
+    return nodes.join(gone, "node_id", "left_anti")
+
+
+def tortuosity(nodes: DataFrame, edges: DataFrame, piece_um: float = 50.0) -> DataFrame:
+    """Path over chord per piece of about ``piece_um`` along each chain; an edge belongs to the piece it starts in."""
+    _, members = chains(nodes, edges)
+    at = members.withColumn("piece", F.floor(F.round(F.col("pos_a"), 6) / F.lit(piece_um)))
+    span = at.groupBy("start", "first", "piece").agg(
+        F.sum(F.col("pos_b") - F.col("pos_a")).alias("path"), F.min(F.struct("pos_a", F.col("a").alias("n"))).alias("_lo"),
+        F.max(F.struct("pos_b", F.col("b").alias("n"))).alias("_hi"))
+    out = span
+    for tag in ("lo", "hi"):
+        out = out.join(nodes.select(F.col("node_id").alias(f"_{tag}n"), *[F.col(c).alias(f"{c}_{tag}") for c in XYZ]),
+                       F.col(f"_{tag}.n") == F.col(f"_{tag}n"))
+    d2 = sum(((F.col(f"{c}_lo") - F.col(f"{c}_hi")) * (F.col(f"{c}_lo") - F.col(f"{c}_hi")) for c in XYZ), F.lit(0))
+    return out.select("start", "first", "piece", "path", F.sqrt(d2).alias("chord")).withColumn(
+        "tortuosity", F.try_divide("path", "chord"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dendrospark.operators import edits as E
 from dendrospark.operators import graph as G
+from dendrospark.operators.ordering import global_rank
 from dendrospark.plans.catalog import query
 from dendrospark.plans.derived import with_tables
 from dendrospark.plans.metric_queries import MERGED_NODES, SIDE_SQL, merge_edits, split_edits
@@ -95,7 +96,7 @@ def _(t):
 
 
 def _sequence(e):
-    return G.global_rank(e.select("edit_seq"), [F.col("edit_seq")], "seq")
+    return global_rank(e.select("edit_seq"), [F.col("edit_seq")], "seq")
 
 
 @query("e7_class_members", with_tables("gt_node", recursive=True, extra=_CLS, body="""
@@ -198,8 +199,4 @@ def _(t):
   select candidate_id, string_agg(case when coalesce(kind, 'merge_labels') = 'merge_labels' then 'merge(' || label_a || ', ' || label_b || ')' else kind end,
     ', ' order by rn) filter (rn <= 5) as edits, count(*) as n_edits from r group by candidate_id"""))
 def _(t):
-    from pyspark.sql import Window
-
-    e = E.normalize_edits(mixed_edits(t)).withColumn("edit_seq", F.row_number().over(
-        Window.partitionBy("candidate_id").orderBy("edit_seq", "label_b")))
-    return E.render_edits(e, 5)
+    return E.render_edits(E.normalize_edits(mixed_edits(t)), 5, ["edit_seq", "label_b"])

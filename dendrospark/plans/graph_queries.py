@@ -237,3 +237,58 @@ def _(t):
     (select count(distinct label) from frag_node) as n_segments, (select count(*) from frag_edge) as n_edges"""))
 def _(t):
     return G.graph_summary(t.frag_node, t.frag_edge.select("src", "dst"))
+
+
+# one chain seen from its smaller end: walk from every junction edge to the next junction
+_CHAIN = {
+    "walk": """select s.u as start, s.v as first, s.u as prev, s.v as cur, s.length as cable, 1 as n from frag_sym s
+        join frag_deg d on d.node_id = s.u and d.degree <> 2
+      union all
+      select w.start, w.first, w.cur, e.v, w.cable + e.length, w.n + 1 from walk w join frag_deg d on d.node_id = w.cur and d.degree = 2
+        join frag_sym e on e.u = w.cur and e.v <> w.prev""",
+    "walked": """select start, first, max_by(cur, n) as "end", max_by(prev, n) as last, max(cable) as cable from walk group by start, first""",
+    "chain": """select * from walked where start < "end" or (start = "end" and first <= last)""",
+    "member": """select w.start, w.first, w.prev as a, w.cur as b, w.cable - e.length as pos_a, w.cable as pos_b, c.cable
+      from walk w join chain c using (start, first) join frag_sym e on e.u = w.prev and e.v = w.cur""",
+}
+
+
+@query("r2_chains", with_tables("frag_deg", recursive=True, extra=_CHAIN, body="""
+  select start, first, "end", last, round(cable, 6) as cable from chain"""))
+def _(t):
+    table, _members = W.chains(t.frag_node, t.frag_edge.select("src", "dst"))
+    return table.select("start", "first", "end", "last", F.round("cable", 6).alias("cable"))
+
+
+@query("r2_resample", with_tables("frag_deg", recursive=True, extra={**_CHAIN, "m": """
+    select *, greatest(1, cast(round(cable / 7.0::double) as bigint)) as n from member""", "pts": """
+    select m.*, unnest(range(cast(ceil(round(pos_a / (cable / n), 6)) as bigint),
+      case when round(pos_b - cable, 6) >= 0 then n + 1 else cast(ceil(round(pos_b / (cable / n), 6)) as bigint) end)) as k from m"""}, body="""
+  select start, first, k, round(a.x + s * (b.x - a.x), 4) as x, round(a.y + s * (b.y - a.y), 4) as y, round(a.z + s * (b.z - a.z), 4) as z
+  from (select *, greatest(0, least(1, (k * (cable / n) - pos_a) / (pos_b - pos_a))) as s from pts) p
+    join frag_node a on a.node_id = p.a join frag_node b on b.node_id = p.b"""))
+def _(t):
+    r = W.resample(t.frag_node, t.frag_edge.select("src", "dst"), 7.0)
+    return r.select("start", "first", "k", *[F.round(c, 4).alias(c) for c in "xyz"])
+
+
+@query("r3_prune_tips", with_tables("frag_deg", recursive=True, extra={**_CHAIN, "short": """
+    select c.start, c.first, case when ds.degree >= 3 then c.start else c."end" end as keep from chain c
+    join frag_deg ds on ds.node_id = c.start join frag_deg de on de.node_id = c."end"
+    where c.cable < 12 and ((ds.degree = 1 and de.degree >= 3) or (de.degree = 1 and ds.degree >= 3))"""}, body="""
+  select node_id from frag_node where node_id not in (
+    select unnest([a, b]) as node_id from member join short using (start, first))
+  or node_id in (select keep from short)"""))
+def _(t):
+    return W.prune_tips(t.frag_node, t.frag_edge.select("src", "dst"), 12.0).select("node_id")
+
+
+@query("x10_tortuosity", with_tables("frag_deg", recursive=True, extra={**_CHAIN, "span": """
+    select start, first, floor(round(pos_a, 6) / 50) as piece, sum(pos_b - pos_a) as path, min_by(a, pos_a) as lo, max_by(b, pos_b) as hi
+    from member group by all"""}, body="""
+  select start, first, cast(piece as bigint) as piece, round(path, 5) as path,
+    round(path / nullif(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)), 0), 5) as tortuosity
+  from span join frag_node a on a.node_id = lo join frag_node b on b.node_id = hi"""))
+def _(t):
+    r = W.tortuosity(t.frag_node, t.frag_edge.select("src", "dst"), 50.0)
+    return r.select("start", "first", "piece", F.round("path", 5).alias("path"), F.round("tortuosity", 5).alias("tortuosity"))

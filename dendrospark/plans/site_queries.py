@@ -210,3 +210,28 @@ def _(t):
 def _(t):
     """Locally dominant matching: at least half of the best total weight; checked against a plain loop in the tests."""
     return GR.greedy_matching(_proposals(t), [-F.col("score")]).select("edge_id", "a", "b", F.round("score", 6).alias("score"))
+
+
+_SHARP = """
+  select distinct least(s.u, s.v) as lo, greatest(s.u, s.v) as hi from frag_sym s join frag_deg d on d.node_id = s.u and d.degree >= 3
+    join frag_sym o on o.u = s.u and o.v < s.v join frag_node h on h.node_id = s.u join frag_node a on a.node_id = s.v join frag_node b on b.node_id = o.v
+  where s.length > 0 and o.length > 0 and
+    ((a.x-h.x)*(b.x-h.x) + (a.y-h.y)*(b.y-h.y) + (a.z-h.z)*(b.z-h.z)) / (s.length * o.length) > cos(radians(30))"""
+
+
+@query("g12_sever_sharp_branches", with_tables("frag_deg", extra={"sharp": _SHARP, "kept": """
+    select e.src, e.dst from frag_edge e where not exists (select 1 from sharp where lo = least(e.src, e.dst) and hi = greatest(e.src, e.dst))"""}, body="""
+  select n.node_id, count(k.src) as degree from frag_node n left join kept k on k.src = n.node_id or k.dst = n.node_id group by n.node_id"""))
+def _(t):
+    e = t.frag_edge.select("src", "dst")
+    kept = SI.sever(e, SI.sharp_edges(t.frag_node, e, 30.0))
+    return G.degrees(t.frag_node, kept).select("node_id", "degree")
+
+
+@query("g12_sever_thin_necks", with_tables("frag_deg", extra={"thin": """
+    select d.node_id from frag_deg d join frag_sym s on s.u = d.node_id join frag_node n on n.node_id = s.v where d.degree = 2
+    group by d.node_id, d.radius having d.radius < 0.5 * avg(n.radius)"""}, body="""
+  select src, dst from frag_edge where src not in (select node_id from thin) and dst not in (select node_id from thin)"""))
+def _(t):
+    e = t.frag_edge.select("src", "dst")
+    return SI.sever(e, SI.thin_necks(t.frag_node, e, 0.5))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from dendrospark.operators import metrics as M
 from dendrospark.operators import sites as SI
 from dendrospark.operators import spatial as SP
+from dendrospark.operators.ordering import exact_percentiles
 from dendrospark.plans.catalog import query
 from dendrospark.plans.derived import with_tables
 
@@ -86,8 +87,9 @@ def _(t):
     from gt_node g join frag_node f on f.y between g.y - 200 and g.y + 200 group by g.node_id) q"""))
 def _(t):
     d = SP.nearest_distance(t.gt_node, t.frag_node, 5.0)
-    return d.agg(F.round(F.max("distance"), 6).alias("max_d"), F.round(F.percentile("distance", F.lit(0.5)), 6).alias("median_d"),
-                 F.count(F.lit(1)).alias("n"))
+    top = d.agg(F.round(F.max("distance"), 6).alias("max_d"), F.count(F.lit(1)).alias("n"), F.lit(1).alias("k"))
+    middle = exact_percentiles(d, "distance", {"median_d": 0.5}).select(F.round("median_d", 6).alias("median_d"), F.lit(1).alias("k"))
+    return top.join(middle, "k").drop("k")
 
 
 @query("j5_edge_labels", with_tables("gt_edge", "frag_node", extra={**PRED, "pe": PRED_EDGE_SQL}, body="""
