@@ -1 +1,284 @@
-"""Placeholder."""
+"""Policies, the gate, the tournament and proposal models on the derived graphs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from dendrospark.operators import graph as G
+from dendrospark.operators import policy as P
+from dendrospark.operators import report as R
+from dendrospark.operators import sites as SI
+from dendrospark.plans import scoring as SC
+from dendrospark.plans.catalog import query
+from dendrospark.plans.derived import with_tables
+from dendrospark.plans.metric_queries import MERGED_NODES, MIN_NODES, brain, merge_edits, scored_sql
+from dendrospark.plans.site_queries import BRANCH_SQL, COMPONENT_SQL
+from dendrospark.session import cut
+
+
+def context(t, voxels=None):
+    return P.Context(t.frag_node, t.frag_edge.select("src", "dst"), voxels)
+
+
+def stream(t):
+    """All split sites, and the merge sites of the branch and component detectors; numbered once per session."""
+    if not hasattr(t, "_stream"):
+        e = t.frag_edge.select("src", "dst")
+        found = SI.merge_sites_branch(t.frag_node, e).unionByName(SI.merge_sites_component(t.frag_node, e))
+        split = SI.split_sites(t.frag_node, t.frag_edge, 15.0, max_sites=None)
+        t._stream = cut(P.number_sites(SI.site_stream(split, found)))
+    return t._stream
+
+
+@query("d1_neuron_split", with_tables("gt_node", extra={"h": """
+    select neuron, row_number() over (order by md5('11|' || neuron), neuron) as r, count(*) over () as n from (select distinct neuron from gt_node) q"""}, body="""
+  select neuron, case when r <= greatest(1, round_even(n * 0.33::double, 0)) then 'heldout' else 'train' end as part from h"""))
+def _(t):
+    return P.neuron_split(t.gt_node, 0.33, 11)
+
+
+@query("d2_policy_noop", with_tables("split_site", body="select count(*) as n_sites, 0 as n_edits from split_site"))
+def _(t):
+    s = stream(t).filter(F.col("kind") == "split")
+    edits = P.policy_noop(s, context(t))
+    return s.agg(F.count(F.lit(1)).alias("n_sites"), F.lit(1).alias("k")).join(
+        edits.agg(F.count(F.lit(1)).alias("n_edits"), F.lit(1).alias("k")), "k").drop("k")
+
+
+_SITE_REACH = """
+  select node_a as start, node_a as node_id, cast(-1 as bigint) as prev, 0.0::double as dist from (select node_a from pick union select node_b from pick) q
+  union all
+  select r.start, e.v, r.node_id, r.dist + e.length from reach r join frag_sym e on e.u = r.node_id
+  where e.v <> r.prev and r.dist + e.length <= {radius}"""
+_TANGENT = """
+  select start as node_id, sum(dx / l) as mx, sum(dy / l) as my, sum(dz / l) as mz from (
+    select r.start, b.x - a.x as dx, b.y - a.y as dy, b.z - a.z as dz, nullif(sqrt((b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) + (b.z-a.z)*(b.z-a.z)), 0) as l
+    from reach r join frag_node a on a.node_id = r.start join frag_node b on b.node_id = r.node_id where r.start <> r.node_id) u group by start"""
+_COS = """(ta.mx*tb.mx + ta.my*tb.my + ta.mz*tb.mz) / nullif(sqrt(ta.mx*ta.mx + ta.my*ta.my + ta.mz*ta.mz) * sqrt(tb.mx*tb.mx + tb.my*tb.my + tb.mz*tb.mz), 0)"""
+
+
+@query("d3_policy_tangent", with_tables("split_site", recursive=True, extra={
+    "pick": "select * from split_site where gap_um <= 12", "reach": _SITE_REACH.format(radius=12), "tan": _TANGENT}, body=f"""
+  select label_a, label_b from pick join tan ta on ta.node_id = node_a join tan tb on tb.node_id = node_b
+  where degrees(acos(greatest(-1, least(1, -({_COS}))))) <= 35"""))
+def _(t):
+    return P.policy_tangent(stream(t), context(t), max_gap=12.0).select("label_a", "label_b")
+
+
+@query("d4_policy_merge_cut", with_tables("frag_deg", recursive=True, extra={**BRANCH_SQL, **COMPONENT_SQL, "found": """
+    select label, cut_node, seed_a_node, seed_b_node, branch_degree, angle_deg, radius_ratio, cable_a_um, cable_b_um, detector from branch_site
+    union all select label, cut_node, seed_a_node, seed_b_node, branch_degree, angle_deg, radius_ratio, cable_a_um, cable_b_um, detector from component_site"""}, body="""
+  select label, seed_a_node, seed_b_node from found where cable_a_um >= 12 and cable_b_um >= 12
+    and (detector = 'component' or (angle_deg <= 130 and (radius_ratio >= 1.5 or branch_degree >= 4)))"""))
+def _(t):
+    e = P.policy_merge_cut(stream(t), context(t))
+    return e.select("label", F.col("seeds")[0]["node"].alias("seed_a_node"), F.col("seeds")[1]["node"].alias("seed_b_node"))
+
+
+@query("d5_policy_multisignal", with_tables("split_site", recursive=True, extra={
+    "pick": "select * from split_site where gap_um <= 12", "reach": _SITE_REACH.format(radius=6), "tan": _TANGENT}, body=f"""
+  select label_a, label_b from (select p.*, 180 - degrees(acos(greatest(-1, least(1, {_COS})))) as off,
+      greatest(ra.radius, rb.radius)::double / least(ra.radius, rb.radius) as ratio
+    from pick p join tan ta on ta.node_id = node_a join tan tb on tb.node_id = node_b
+      join frag_node ra on ra.node_id = node_a join frag_node rb on rb.node_id = node_b) q
+  where off <= 50 and ratio <= 2.2 and (gap_um <= 6 or off <= 30)"""))
+def _(t):
+    return P.policy_multisignal(stream(t), context(t), near=6.0, far=12.0, max_edits=10**9).select("label_a", "label_b")
+
+
+@query("d6_policy_mutual", with_tables("split_site", extra={
+    "ok": """select p.* from tip_pair p join frag_node a on a.node_id = node_a join frag_node b on b.node_id = node_b
+      where degree_b = 1 and d2 <= 100 and greatest(a.radius, b.radius)::double / least(a.radius, b.radius) <= 2""",
+    "first": "select node_a, node_b, label_a, label_b from (select *, row_number() over (partition by node_a order by d2, node_b) as rn from ok) where rn = 1",
+    "mutual": """select distinct least(a.label_a, a.label_b) as lo, greatest(a.label_a, a.label_b) as hi from first a
+      join first b on a.node_a = b.node_b and a.node_b = b.node_a"""}, body="""
+  select label_a, label_b from split_site join mutual on lo = least(label_a, label_b) and hi = greatest(label_a, label_b) where d2 <= 100"""))
+def _(t):
+    return P.policy_mutual(stream(t), context(t), max_gap=10.0).select("label_a", "label_b")
+
+
+_STREAM_ORDER = "select *, row_number() over (order by gap_um, node_a, node_b) as i from split_site where {where}"
+# first come, first served: a site passes when no earlier passed site uses one of its labels
+_FIRST_COME = """
+  select cast(0 as bigint) as i, cast([] as varchar[]) as used, cast([] as bigint[]) as kept
+  union all
+  select g.i + 1, case when list_contains(used, o.label_a) or list_contains(used, o.label_b) then used else list_concat(used, [o.label_a, o.label_b]) end,
+    case when list_contains(used, o.label_a) or list_contains(used, o.label_b) then kept else list_append(kept, o.i) end
+  from greedy g join ordered o on o.i = g.i + 1"""
+
+
+@query("d7_policy_small_gap", with_tables("split_site", recursive=True, extra={
+    "ordered": _STREAM_ORDER.format(where="gap_um <= 8 and degree_b <= 2"), "greedy": _FIRST_COME}, body="""
+  select label_a, label_b from ordered where i in (select unnest(kept) from (select kept from greedy order by i desc limit 1) q)"""))
+def _(t):
+    return P.policy_small_gap(stream(t), context(t), max_gap=8.0).select("label_a", "label_b")
+
+
+@query("w6_label_cap", with_tables("split_site", recursive=True, extra={
+    "ordered": _STREAM_ORDER.format(where="true"), "greedy": _FIRST_COME}, body="""
+  select label_a, label_b from ordered where i in (select unnest(kept) from (select kept from greedy order by i desc limit 1) q)"""))
+def _(t):
+    from dendrospark.operators.greedy import label_cap
+
+    s = stream(t).filter(F.col("kind") == "split").withColumn("edge_id", F.col("site_seq"))
+    return label_cap(s, [F.col("site_seq")]).select("label_a", "label_b")
+
+
+_CONFIDENT = {
+    "tan": """select d.node_id, (d.x - n.x) / nullif(l, 0) as tx, (d.y - n.y) / nullif(l, 0) as ty, (d.z - n.z) / nullif(l, 0) as tz
+      from (select * from frag_deg where degree = 1) d join frag_sym s on s.u = d.node_id join frag_node n on n.node_id = s.v,
+        lateral (select sqrt((d.x-n.x)*(d.x-n.x) + (d.y-n.y)*(d.y-n.y) + (d.z-n.z)*(d.z-n.z)) as l)""",
+    "conf": """select s.*, round(0.30::double * greatest(0, 1 - gap_um / 15.0::double) + 0.40::double * (case degree_b when 1 then 1.0::double when 2 then 0.4::double else 0.0::double end)
+        + 0.30::double * (case when degree_b = 1 and ta.tx is not null and tb.tx is not null then greatest(0, least(1, (1 - (ta.tx*tb.tx + ta.ty*tb.ty + ta.tz*tb.tz)) / 2.0::double)) else 0.5::double end), 9) as c
+      from split_site s left join tan ta on ta.node_id = node_a left join tan tb on tb.node_id = node_b""",
+    "ordered": "select *, row_number() over (order by c desc, gap_um, node_a, node_b) as i from conf where c >= 0.55", "greedy": _FIRST_COME}
+
+
+@query("d8_policy_budget", with_tables("split_site", recursive=True, extra=_CONFIDENT, body="""
+  select label_a, label_b from ordered where i in (select unnest(kept[:25]) from (select kept from greedy order by i desc limit 1) q)"""))
+def _(t):
+    return P.policy_budget(stream(t), context(t), max_gap=15.0, budget=25).select("label_a", "label_b")
+
+
+@query("w5_edit_budget", with_tables("split_site", recursive=True, extra=_CONFIDENT, body="""
+  select label_a, label_b, round(c, 6) as confidence from ordered where i in (select unnest(kept[:50]) from (select kept from greedy order by i desc limit 1) q)"""))
+def _(t):
+    from dendrospark.functions.scalar import dot
+    from dendrospark.operators.greedy import edit_budget
+
+    s = P._attach_tangents(stream(t).filter(F.col("kind") == "split"), G.tip_tangent(t.frag_node, t.frag_edge.select("src", "dst")))
+    s = s.withColumns({"confidence": F.round(P.confidence(F.col("gap_um"), F.col("degree_b"), dot("ta", "tb"), 15.0), 9), "edge_id": F.col("site_seq")})
+    return edit_budget(s.filter(F.col("confidence") >= 0.55), "confidence", 50).select(
+        "label_a", "label_b", F.round("confidence", 6).alias("confidence"))
+
+
+_GATE = """
+  select cast(o_custkey as varchar) as candidate_id, o_orderdate >= timestamp '1998-01-01' as late, count(*) filter (o_orderstatus = 'F') as f,
+    count(*) filter (o_orderpriority = '5-LOW') as low, count(*) filter (o_orderpriority = '1-URGENT') as urgent, count(*) as n,
+    bool_or(o_orderkey % 2 = 0) as has_split from orders group by all"""
+_GATE_M = """select candidate_id, 100.0::double * f / n as edge_accuracy, 100.0::double * low / n as pct_merged, low::double as n_merges,
+  100.0::double * urgent / n as pct_split, has_split from g"""
+
+
+@query("d9_gate", f"""with g0 as ({_GATE}), c as ({_GATE_M.replace('from g', 'from g0 where late')}), p as ({_GATE_M.replace('from g', 'from g0 where not late')})
+  select c.candidate_id, c.edge_accuracy > p.edge_accuracy + 1.0::double and (not c.has_split or (c.pct_merged <= p.pct_merged + 1e-9::double and
+    c.n_merges <= p.n_merges + 1e-9::double and c.pct_split <= p.pct_split + 0.05::double)) as accepted from c join p using (candidate_id)""")
+def _(t):
+    o = t.raw("orders").groupBy(F.col("o_custkey").cast("string").alias("candidate_id"), (F.year("o_orderdate") >= 1998).alias("late")).agg(
+        F.count_if(F.col("o_orderstatus") == "F").alias("f"), F.count_if(F.col("o_orderpriority") == "5-LOW").alias("low"),
+        F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"), F.count(F.lit(1)).alias("n"), F.max(F.col("o_orderkey") % 2 == 0).alias("has_split"))
+    m = o.select("candidate_id", "late", (F.lit(100.0) * F.col("f") / F.col("n")).alias("edge_accuracy"), (F.lit(100.0) * F.col("low") / F.col("n")).alias("pct_merged"),
+                 F.col("low").cast("double").alias("n_merges"), (F.lit(100.0) * F.col("urgent") / F.col("n")).alias("pct_split"), "has_split")
+    return P.gate(m.filter("late"), m.filter(~F.col("late")), eps=1.0).select("candidate_id", "accepted")
+
+
+@query("d10_tournament")
+def _(t):
+    """Sites, policies, scores and gate in one plan; its parts are checked one by one elsewhere."""
+    policies = {
+        "noop": P.policy_noop, "small_gap": lambda s, c: P.policy_small_gap(s, c, max_gap=8.0),
+        "budget": lambda s, c: P.policy_budget(s, c, max_gap=15.0, budget=25), "merge_cut": P.policy_merge_cut}
+    out = P.tournament(brain(t), policies, stream(t), context(t), P.neuron_split(t.gt_node, 0.33, 11))
+    return out.select("candidate_id", "n_edits", "has_split", "accepted", F.round("edge_accuracy", 4).alias("edge_accuracy"),
+                      F.round("parent_edge_accuracy", 4).alias("parent_edge_accuracy"), "reason")
+
+
+def _props(t):
+    return SI.proposals(SI.tip_pairs(t.frag_node, t.frag_edge, 15.0), k=3)
+
+
+@query("d11_proposal_features", with_tables("tip_pair", extra={"tan": _CONFIDENT["tan"], "prop": """
+    select *, row_number() over (partition by node_a order by d2, node_b) as rank from (
+      select *, row_number() over (partition by node_a, label_b order by d2, node_b) as rn from tip_pair) where rn = 1""",
+    "cell": "select floor(x / 20.0) as cx, floor(y / 20.0) as cy, floor(z / 20.0) as cz, count(*) as n from frag_deg where degree = 1 group by all"}, body="""
+  select node_a, node_b, degree_b, round(sqrt(d2), 6) as length, round(greatest(ra.radius, rb.radius)::double / least(ra.radius, rb.radius), 6) as radius_ratio,
+    case when degree_b = 1 then 1 else 0 end as leaf_to_leaf, (select sum(n)::bigint from cell where abs(cx - floor(ra.x / 20.0)) <= 1 and abs(cy - floor(ra.y / 20.0)) <= 1
+      and abs(cz - floor(ra.z / 20.0)) <= 1) as density, round(coalesce(-(ta.tx*tb.tx + ta.ty*tb.ty + ta.tz*tb.tz), 0), 5) + 0.0 as alignment
+  from prop join frag_node ra on ra.node_id = node_a join frag_node rb on rb.node_id = node_b left join tan ta on ta.node_id = node_a left join tan tb on tb.node_id = node_b
+  where rank <= 3"""))
+def _(t):
+    f = P.proposal_features(_props(t), context(t))
+    return f.select("node_a", "node_b", "degree_b", F.round("length", 6).alias("length"), F.round("radius_ratio", 6).alias("radius_ratio"),
+                    "leaf_to_leaf", "density", (F.round("alignment", 5) + 0.0).alias("alignment"))
+
+
+@query("d12_fit_proposals")
+def _(t):
+    """Logistic regression on the proposal features; the target is 'same user'. No SQL counterpart."""
+    f = P.proposal_features(_props(t), context(t))
+    who = t.frag_node.select("node_id", "neuron")
+    f = f.join(who.withColumnsRenamed({"node_id": "node_a", "neuron": "_na"}), "node_a").join(
+        who.withColumnsRenamed({"node_id": "node_b", "neuron": "_nb"}), "node_b")
+    f = cut(f.withColumn("target", ((F.col("_na") == F.col("_nb")) & (F.col("alignment") > 0)).cast("double")).drop("_na", "_nb"))
+    _, scored = P.fit_proposals(f)
+    return scored.select("node_a", "node_b", "target", F.round("score", 4).alias("score"))
+
+
+@query("d13_adaptive_threshold", with_tables("frag_node", extra={"q": "select quantile_cont(x::double, 0.1) as q0, quantile_cont(x::double, 0.9) as q1 from frag_node"}, body="""
+  select node_id, round(0.3::double + greatest(0, least(1, (x - q0) / (q1 - q0))) * 0.5::double, 6) as threshold from frag_node, q"""))
+def _(t):
+    # distance to the start of the user's history stands for the distance to the soma
+    d = P.adaptive_threshold(t.frag_node.select("node_id", F.col("x").cast("double").alias("distance")), "distance", 0.3, 0.8)
+    return d.select("node_id", F.round("threshold", 6).alias("threshold"))
+
+
+@query("w10_decile_rates", with_tables("gt_node", extra={"t": """
+    select ntile(10) over (order by x, node_id) as bin, x, raw_label = '0' as pos from gt_node"""}, body="""
+  select bin, count(*) as n, min(x) as low, max(x) as high, round(avg(pos::int), 6) as rate from t group by bin"""))
+def _(t):
+    n = t.gt_node.select("node_id", "x", (F.col("raw_label") == "0").cast("int").alias("pos"))
+    d = P.decile_rates(n, "x", "pos", "node_id")
+    return d.select("bin", "n", "low", "high", F.round("rate", 6).alias("rate"))
+
+
+# --- reports on the merge-edit candidates ---------------------------------------------------------------------------
+
+
+def _scored(t):
+    if not hasattr(t, "_scored"):
+        t._scored = cut(SC.score(brain(t), merge_edits(t), ["within", "across"]))
+    return t._scored
+
+
+_BASE_NODES = {"node2": "select 'base' as candidate_id, node_id, neuron, raw_label from gt_node"}
+_PAIR = scored_sql({**{k: v for k, v in MERGED_NODES.items() if k not in ("node2", "len2", "inc2")},
+                    "node2": MERGED_NODES["node2"] + " union all select 'base', node_id, neuron, raw_label from gt_node",
+                    "len2": MERGED_NODES["len2"], "inc2": MERGED_NODES["inc2"]}) | {
+    "delta": """select c.candidate_id, c.neuron, c.edge_accuracy - b.edge_accuracy as d_acc, c.n_splits - b.n_splits as d_splits,
+      c.pct_merged - b.pct_merged as d_merged from pn c join pn b on b.candidate_id = 'base' and b.neuron = c.neuron where c.candidate_id <> 'base'"""}
+
+
+@query("j11_per_neuron_delta", with_tables("gt_len", recursive=True, extra=_PAIR, body="""
+  select candidate_id, neuron, round(d_acc, 5) + 0.0 as d_acc, d_splits, round(d_merged, 5) + 0.0 as d_merged from delta"""))
+def _(t):
+    d = R.per_neuron_delta(_scored(t), brain(t).baseline)
+    return d.select("candidate_id", "neuron", (F.round("d_edge_accuracy", 5) + 0.0).alias("d_acc"), F.col("d_n_splits").alias("d_splits"),
+                    (F.round("d_pct_merged", 5) + 0.0).alias("d_merged"))
+
+
+@query("a27_regressions", with_tables("gt_len", recursive=True, extra=_PAIR, body="""
+  select candidate_id, count(*) as n_worse, min(neuron) as first_worse from delta where d_acc < 0 group by candidate_id"""))
+def _(t):
+    w = R.regressions(R.per_neuron_delta(_scored(t), brain(t).baseline))
+    return w.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n_worse"), F.min("neuron").alias("first_worse"))
+
+
+@query("a28_report_headline", with_tables("gt_len", recursive=True, extra=_PAIR, body="""
+  select c.candidate_id, round(sum(c.edge_accuracy * c.run_length) / sum(c.run_length), 5) as edge_accuracy,
+    round(sum(b.edge_accuracy * b.run_length) / sum(b.run_length), 5) as base_edge_accuracy,
+    round(sum(c.n_merges * c.run_length) / sum(c.run_length), 5) as n_merges, round(sum(b.n_merges * b.run_length) / sum(b.run_length), 5) as base_n_merges
+  from pn c join pn b on b.candidate_id = 'base' and b.neuron = c.neuron where c.candidate_id <> 'base' and c.neuron % 3 <> 0 group by c.candidate_id"""))
+def _(t):
+    names = t.gt_node.select("neuron").distinct().filter(F.col("neuron") % 3 != 0)
+    inc = brain(t).incidence.withColumn("candidate_id", F.lit("within"))
+    merges = SC.attribute_merges(inc, merge_edits(t).limit(0).select("candidate_id", F.col("label").alias("class"), "label"))
+    h = R.failure_report(_scored(t), brain(t).baseline, brain(t).incidence, merges, merge_edits(t), names, MIN_NODES)["headline"]
+    return h.select("candidate_id", *[F.round(c, 5).alias(c) for c in ("edge_accuracy", "base_edge_accuracy", "n_merges", "base_n_merges")])
+
+
+@query("a28_report_targets", with_tables("gt_node", extra={"inc": "select raw_label as label, neuron, count(*) as n from gt_node where raw_label <> '0' group by all"}, body=f"""
+  select label, count(*) as n_neurons, count(*) filter (neuron % 3 <> 0) as n_inside, coalesce(sum(n) filter (neuron % 3 <> 0), 0)::bigint as n_nodes_inside,
+    count(*) filter (neuron % 3 <> 0) >= 2 as listed from inc where n > {MIN_NODES} group by label having count(*) >= 2"""))
+def _(t):
+    names = t.gt_node.select("neuron").distinct().filter(F.col("neuron") % 3 != 0)
+    return R.targets_in_split(brain(t).incidence, names, MIN_NODES)

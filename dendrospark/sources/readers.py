@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from dendrospark.functions.scalar import nan_to_null
 from dendrospark.operators.metrics import METRIC_NAMES
+from dendrospark.session import is_empty
 
 NODE_SCHEMA = "node_id long, component_id long, swc_id string, label string, x double, y double, z double, radius float, brain_id string"
 EDGE_SCHEMA = "src long, dst long, brain_id string"
@@ -138,8 +139,7 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 def labels_or_members(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     """The label list, or the members of the pairs when it is empty."""
     members = pairs.select(F.explode(F.array("label_a", "label_b")).alias("label")).distinct()
-    missing = labels.agg((F.count(F.lit(1)) == 0).alias("_none"))
-    return labels.unionByName(members.join(F.broadcast(missing), F.lit(True)).filter("_none").drop("_none"))
+    return members if is_empty(labels) else labels
 
 
 def parse_hypotheses(docs: DataFrame, value: str = "value", file: str = "file") -> DataFrame:
