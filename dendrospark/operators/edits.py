@@ -82,7 +82,7 @@ def merge_classes(edits: DataFrame, max_class_size: int | None = None, group_row
 
     With a size limit a union that would exceed it is refused, in edit order.
     """
-    pairs = merge_pairs(edits)
+    pairs = cut(merge_pairs(edits))  # read several times below
     if max_class_size is None:
         return _classes(pairs)
     kept, _ = capped_unions(pairs, max_class_size, group_rows)
