@@ -134,6 +134,7 @@ def format_report(comparison: DataFrame) -> DataFrame:
                                          num("reduction"), num("corrected_pct"))).otherwise(
         F.format_string("  %s: %.4f -> %.4f (delta %.4f, relative %.2f%%)", "metric", num("before"), num("after"), num("delta"), num("relative_change_pct")))
     body = c.select((F.when(error, F.col("_o") + 3).otherwise(F.col("_o") + 5)).cast("int").alias("pos"), line.alias("line"))
+    # fixed values: the headings of the report
     heads = [(0, "Proofreading Before/After Summary"), (1, ""), (2, "Error reductions"),
              (len(ERROR_METRICS) + 3, ""), (len(ERROR_METRICS) + 4, "Quality changes")]
     return body.unionByName(comparison.sparkSession.createDataFrame(heads, "pos int, line string")).orderBy("pos")

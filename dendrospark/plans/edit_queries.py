@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dendrospark.operators import edits as E
@@ -47,8 +48,6 @@ def _(t):
   select neuron as label, rn - 1 as seed_idx, case when rn <= 26 then chr(cast(96 + rn as integer)) else 'a' || chr(cast(70 + rn as integer)) end as suffix
   from (select neuron, row_number() over (partition by neuron order by ord) as rn from frag_node) q where rn <= 30"""))
 def _(t):
-    from pyspark.sql import Window
-
     n = t.frag_node.withColumn("rn", F.row_number().over(Window.partitionBy("neuron").orderBy("ord"))).filter(F.col("rn") <= 30)
     seed = F.struct(F.lit(None).cast("string").alias("suffix"), *[F.col(c).cast("double").alias(c) for c in "xyz"], F.col("node_id").alias("node"))
     edits = n.select(F.lit("c").alias("candidate_id"), F.col("ord").alias("edit_seq"), F.lit(E.SPLIT).alias("kind"),
@@ -61,11 +60,9 @@ def _(t):
   select neuron as label, rn - 1 as seed_idx, chr(cast(96 + rn as integer)) as suffix
   from (select neuron, unnest(range(1, 7)) as rn from (select neuron from frag_node where ord % 20 = 5 group by neuron having count(*) >= 3) q) p"""))
 def _(t):
-    from pyspark.sql import Window
-
     n = t.frag_node.filter(F.col("ord") % 20 == 5)
-    n = n.withColumn("rn", F.row_number().over(Window.partitionBy("neuron").orderBy("ord"))).withColumn(
-        "n", F.count(F.lit(1)).over(Window.partitionBy("neuron"))).filter((F.col("rn") <= 3) & (F.col("n") >= 3))
+    n = n.withColumn("rn", F.row_number().over(Window.partitionBy("neuron").orderBy("ord"))).filter(F.col("rn") <= 3)
+    n = n.join(n.filter(F.col("rn") == 3).select("neuron"), "neuron", "left_semi")
 
     def seed(suffix):
         return F.struct(F.lit(suffix).alias("suffix"), *[F.col(c).cast("double").alias(c) for c in "xyz"], F.col("node_id").alias("node"))

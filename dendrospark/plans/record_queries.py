@@ -93,7 +93,7 @@ def _(t):
 # --- ledgers: a customer is a run, its orders in key order are the generations --------------------------------------
 
 LEDGER_SQL = """
-  select cast(o_custkey as varchar) || '_20260612_' || lpad(cast(o_custkey % 86400 // 3600 * 10000 as varchar), 6, '0') as run_id, o_orderkey as generation,
+  select cast(o_custkey as varchar) || '_20250101_' || lpad(cast(o_custkey % 86400 // 3600 * 10000 as varchar), 6, '0') as run_id, o_orderkey as generation,
     o_totalprice as wall_seconds, case when o_orderkey % 9 = 0 then null else o_totalprice % 1000 / 10.0 end as heldout_primary,
     50.0::double as parent_heldout, o_orderstatus = 'F' as accepted, o_orderkey % 1000 as output_tokens, round(o_totalprice % 7, 2) as cost_usd,
     o_orderkey % 2 as human_interventions from orders"""
@@ -101,7 +101,7 @@ LEDGER_SQL = """
 
 def ledger(t):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    run = F.concat(c.cast("string"), F.lit("_20260612_"), F.lpad((F.floor(c % 86400 / 3600) * 10000).cast("string"), 6, "0"))
+    run = F.concat(c.cast("string"), F.lit("_20250101_"), F.lpad((F.floor(c % 86400 / 3600) * 10000).cast("string"), 6, "0"))
     return t.raw("orders").select(
         run.alias("run_id"), k.alias("generation"), F.col("o_totalprice").alias("wall_seconds"),
         F.when(k % 9 != 0, F.col("o_totalprice") % 1000 / 10.0).alias("heldout_primary"), F.lit(50.0).alias("parent_heldout"),
