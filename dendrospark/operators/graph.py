@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dendrospark.operators.ordering import global_rank
-from dendrospark.session import cut, is_empty
+from dendrospark.session import cut, is_empty, side_by_side
 
 XYZ = ("x", "y", "z")
 
@@ -219,4 +219,4 @@ def graph_summary(nodes: DataFrame, edges: DataFrame, segment: str = "label", by
     e = edges.groupBy(*by).agg(F.count(F.lit(1)).alias("n_edges"))
     if by:
         return n.join(e, by, "left").fillna(0, ["n_edges"])
-    return n.withColumn("_k", F.lit(1)).join(e.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return side_by_side(n, e)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dendrospark.operators.graph import connected_components
 from dendrospark.operators.ordering import exact_percentiles
 from dendrospark.operators.spatial import edges_in_patch, nodes_in_patch
-from dendrospark.session import cut
+from dendrospark.session import cut, side_by_side
 
 # Metric columns and the names used in result files and reports.
 METRIC_NAMES = {
@@ -211,11 +211,9 @@ def patch_metrics(nodes: DataFrame, edges: DataFrame, offset: Sequence[float], s
     inside = nodes_in_patch(nodes, offset, shape)
     within = classify_edges(edge_labels(edges_in_patch(edges, nodes, offset, shape).select("src", "dst"), inside, label), omit_rule)
     merged = merge_labels(label_neuron_counts(inside, label), min_nodes)
-    n = edge_class_counts(within).withColumn("_k", F.lit(1))
-    m = merged_edges(within, merged).agg(F.count(F.lit(1)).alias("merged")).withColumn("_k", F.lit(1))
-    k = merged.agg(F.count(F.lit(1)).alias("n_merges")).withColumn("_k", F.lit(1))
-    g = inside.agg(F.count(F.lit(1)).alias("n_nodes")).withColumn("_k", F.lit(1))
-    out = n.join(m, "_k").join(k, "_k").join(g, "_k").drop("_k").withColumn(
+    out = side_by_side(
+        edge_class_counts(within), merged_edges(within, merged).agg(F.count(F.lit(1)).alias("merged")),
+        merged.agg(F.count(F.lit(1)).alias("n_merges")), inside.agg(F.count(F.lit(1)).alias("n_nodes"))).withColumn(
         "pct_merged", F.when(F.col("n_edges") > 0, F.lit(100.0) * F.col("merged") / F.col("n_edges")))
     return out.withColumn("edge_accuracy", edge_accuracy())
 
@@ -238,7 +236,7 @@ def edge_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     """
     pairs = a.select("src", "dst", F.col("edge_class").alias("class_a")).join(
         b.select("src", "dst", F.col("edge_class").alias("class_b")), ["src", "dst"])
-    cells = pairs.groupBy("class_a", "class_b").agg(F.count(F.lit(1)).alias("n"))  # nine rows at most
+    cells = cut(pairs.groupBy("class_a", "class_b").agg(F.count(F.lit(1)).alias("n")))  # nine rows at most
     rows, cols, all_ = Window.partitionBy("class_a"), Window.partitionBy("class_b"), Window.partitionBy(F.lit(1))
     cells = cells.withColumns({"_total": F.sum("n").over(all_), "_row": F.sum("n").over(rows), "_col": F.sum("n").over(cols)})
     cells = cells.withColumns({
@@ -247,9 +245,8 @@ def edge_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     marg_a = cells.select("class_a", "_row", "_total").distinct()
     marg_b = cells.select(F.col("class_b").alias("class_a"), "_col").distinct()
     expected = marg_a.join(marg_b, "class_a").agg(
-        F.coalesce(F.sum((F.col("_row") / F.col("_total")) * (F.col("_col") / F.col("_total"))), F.lit(0.0)).alias("expected"))
-    out = cells.withColumn("_k", F.lit(1)).join(expected.withColumn("_k", F.lit(1)), "_k")
-    return out.select("class_a", "class_b", "n", "observed", "expected",
+        F.sum((F.col("_row") / F.col("_total")) * (F.col("_col") / F.col("_total")))).first()[0] or 0.0
+    return cells.withColumn("expected", F.lit(expected)).select("class_a", "class_b", "n", "observed", "expected",
                       F.try_divide(F.col("observed") - F.col("expected"), F.lit(1.0) - F.col("expected")).alias("kappa"))
 
 
@@ -279,9 +276,9 @@ def label_gap_lengths(edges: DataFrame, candidates: DataFrame, threshold: float
         F.sum("length").alias("um"))
     per = cut(per)
     ends = per.agg(F.count(F.lit(1)).alias("n_labels"), F.min("um").alias("min_um"), F.max("um").alias("max_um"),
-                   F.count_if(F.col("um") >= threshold).alias("n_long"), F.lit(1).alias("_k"))
-    middle = exact_percentiles(per, "um", {"median_um": 0.5}).withColumn("_k", F.lit(1))
-    return ends.join(middle, "_k").select("n_labels", "min_um", "median_um", "max_um", "n_long")
+                   F.count_if(F.col("um") >= threshold).alias("n_long"))
+    middle = exact_percentiles(per, "um", {"median_um": 0.5})
+    return side_by_side(ends, middle).select("n_labels", "min_um", "median_um", "max_um", "n_long")
 
 
 def label_sets(candidate: DataFrame, scoring: DataFrame) -> DataFrame:

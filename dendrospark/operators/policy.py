@@ -183,9 +183,8 @@ def neuron_split(names: DataFrame, fraction: float = 0.33, seed: int = 0) -> Dat
     """``neuron, part``: whole neurons held out, max(1, round(n * fraction)) of them by seeded hash order."""
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("neuron").cast("string")))
     ranked = global_rank(names.select("neuron").distinct().withColumn("_h", key), [F.col("_h"), F.col("neuron")], "_r")
-    n = ranked.agg(F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * F.lit(fraction)).cast("bigint")).alias("_n"), F.lit(1).alias("_k"))
-    return ranked.withColumn("_k", F.lit(1)).join(F.broadcast(n), "_k").select(
-        "neuron", F.when(F.col("_r") <= F.col("_n"), "heldout").otherwise("train").alias("part"))
+    n = max(1, round(ranked.count() * fraction))  # half to even
+    return ranked.select("neuron", F.when(F.col("_r") <= n, "heldout").otherwise("train").alias("part"))
 
 
 def gate(candidate: DataFrame, parent: DataFrame, eps: float = 0.0, split_tol: float = 0.05) -> DataFrame:
@@ -317,10 +316,11 @@ def fit_proposals(features: DataFrame, label: str = "target", model: str = "logi
 
 def adaptive_threshold(df: DataFrame, distance: str, low: float, high: float, p_low: float = 0.1, p_high: float = 0.9) -> DataFrame:
     """Threshold that goes linearly from ``low`` to ``high`` between two percentiles of the distance."""
-    q = exact_percentiles(df, distance, {"_q0": p_low, "_q1": p_high}).withColumn("_k", F.lit(1))
-    share = F.coalesce(F.try_divide(F.col(distance) - F.col("_q0"), F.col("_q1") - F.col("_q0")), F.lit(0.0))
+    q = exact_percentiles(df, distance, {"q0": p_low, "q1": p_high}).first()
+    span = (q.q1 - q.q0) if q.q0 is not None else 0.0
+    share = (F.col(distance) - F.lit(q.q0)) / F.lit(span) if span > 0 else F.lit(0.0)
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
-    return df.withColumn("_k", F.lit(1)).join(F.broadcast(q), "_k").withColumn("threshold", F.lit(low) + share * (high - low)).drop("_q0", "_q1", "_k")
+    return df.withColumn("threshold", F.lit(low) + share * (high - low))
 
 
 def decile_rates(df: DataFrame, feature: str, positive: str, tie: str, bins: int = 10) -> DataFrame:

@@ -87,10 +87,10 @@ def regressions(delta: DataFrame) -> DataFrame:
 def headline(candidate: DataFrame, baseline: DataFrame) -> DataFrame:
     """Weighted means of the report's four metrics before and after."""
     names = ["edge_accuracy", "pct_merged", "n_merges", "pct_split"]
-    base = baseline.join(candidate.select("neuron").distinct(), "neuron", "left_semi").agg(
-        *[weighted_mean(m).alias(f"base_{m}") for m in names], F.lit(1).alias("_k"))
+    base = baseline.select("neuron", *[F.col(m).alias(f"base_{m}") for m in names])
     keys = [c for c in ("candidate_id",) if c in candidate.columns]
-    return candidate.groupBy(*keys).agg(*[weighted_mean(m).alias(m) for m in names], F.lit(1).alias("_k")).join(base, "_k").drop("_k")
+    both = [*names, *[f"base_{m}" for m in names]]
+    return candidate.join(base, "neuron", "left").groupBy(*keys).agg(*[weighted_mean(m).alias(m) for m in both])
 
 
 def targets_in_split(incidence: DataFrame, names: DataFrame, min_nodes: int = 50) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dendrospark.operators.ordering import global_rank, running_total
+from dendrospark.session import cut
 
 
 def chi2_2x2(df: DataFrame, group: Column, outcome: Column) -> DataFrame:
@@ -86,9 +87,8 @@ def bh_fdr(df: DataFrame, p: str, tie: str, alpha: float = 0.05) -> DataFrame:
     """How many tests stay significant: raw, Bonferroni, Benjamini-Hochberg."""
     known = df.filter(F.col(p).isNotNull())
     ranked = global_rank(known, [F.col(p), F.col(tie)], "_k")
-    m = ranked.agg(F.count(F.lit(1)).alias("_m"), F.lit(1).alias("_j"))
-    j = ranked.withColumn("_j", F.lit(1)).join(F.broadcast(m), "_j")
-    return j.agg(
+    ranked = cut(ranked)
+    return ranked.withColumn("_m", F.lit(ranked.count())).agg(
         F.count(F.lit(1)).alias("n_tests"), F.count_if(F.col(p) <= alpha).alias("n_raw"),
         F.count_if(F.col(p) <= F.lit(alpha) / F.col("_m")).alias("n_bonferroni"),
         F.coalesce(F.max(F.when(F.col(p) <= F.col("_k") * F.lit(alpha) / F.col("_m"), F.col("_k"))), F.lit(0)).alias("n_bh"))

@@ -13,7 +13,7 @@ from dendrospark.plans.catalog import query
 from dendrospark.plans.derived import with_tables
 from dendrospark.plans.metric_queries import MERGED_NODES, MIN_NODES, brain, merge_edits, scored_sql
 from dendrospark.plans.site_queries import BRANCH_SQL, COMPONENT_SQL
-from dendrospark.session import cut
+from dendrospark.session import cut, side_by_side
 
 
 def context(t, voxels=None):
@@ -41,8 +41,7 @@ def _(t):
 def _(t):
     s = stream(t).filter(F.col("kind") == "split")
     edits = P.policy_noop(s, context(t))
-    return s.agg(F.count(F.lit(1)).alias("n_sites"), F.lit(1).alias("k")).join(
-        edits.agg(F.count(F.lit(1)).alias("n_edits"), F.lit(1).alias("k")), "k").drop("k")
+    return side_by_side(s.agg(F.count(F.lit(1)).alias("n_sites")), edits.agg(F.count(F.lit(1)).alias("n_edits")))
 
 
 _SITE_REACH = """

@@ -10,6 +10,7 @@ from dendrospark.operators import spatial as SP
 from dendrospark.operators.ordering import exact_percentiles
 from dendrospark.plans.catalog import query
 from dendrospark.plans.derived import with_tables
+from dendrospark.session import side_by_side
 
 OFFSET, SHAPE = (20, 800, 0), (200, 2400, 4)
 
@@ -87,9 +88,8 @@ def _(t):
     from gt_node g join frag_node f on f.y between g.y - 200 and g.y + 200 group by g.node_id) q"""))
 def _(t):
     d = SP.nearest_distance(t.gt_node, t.frag_node, 5.0)
-    top = d.agg(F.round(F.max("distance"), 6).alias("max_d"), F.count(F.lit(1)).alias("n"), F.lit(1).alias("k"))
-    middle = exact_percentiles(d, "distance", {"median_d": 0.5}).select(F.round("median_d", 6).alias("median_d"), F.lit(1).alias("k"))
-    return top.join(middle, "k").drop("k")
+    top = d.agg(F.round(F.max("distance"), 6).alias("max_d"), F.count(F.lit(1)).alias("n"))
+    return side_by_side(top, exact_percentiles(d, "distance", {"median_d": 0.5}).select(F.round("median_d", 6).alias("median_d")))
 
 
 @query("j5_edge_labels", with_tables("gt_edge", "frag_node", extra={**PRED, "pe": PRED_EDGE_SQL}, body="""

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -61,5 +62,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def side_by_side(*frames: DataFrame) -> DataFrame:
+    """One row from several one-row frames with different columns: a union and an aggregate, no join."""
+    every = frames[0]
+    for f in frames[1:]:
+        every = every.unionByName(f, allowMissingColumns=True)
+    return every.agg(*[F.max(c).alias(c) for c in every.columns])
+
+
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
