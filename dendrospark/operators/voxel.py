@@ -96,8 +96,9 @@ def _patch_values(centres: DataFrame, keys: Sequence[str], voxels: DataFrame, sh
     hit = q.join(v, cells)
     for c, s in zip(ZYX, shape):
         hit = hit.filter((F.col(c) >= low[c]) & (F.col(c) < low[c] + F.lit(s)))
+    # rounded, so that equal samples stay equal after interpolation
     stats = hit.groupBy(*[f"c{c}" for c in ZYX]).agg(
-        F.avg("value").alias("mean"), F.max("value").cast("double").alias("max"), F.percentile("value", F.lit(0.9)).alias("p90"))
+        F.avg("value").alias("mean"), F.max("value").cast("double").alias("max"), F.round(F.percentile("value", F.lit(0.9)), 9).alias("p90"))
     return p.join(stats, [f"c{c}" for c in ZYX], "left")
 
 

@@ -89,7 +89,7 @@ def _(t):
 
 
 _PATCH = """
-  select p.site, avg(l.value) as mean, max(l.value) as max, quantile_cont(l.value, 0.9) as p90 from {pts} p join light l
+  select p.site, avg(l.value) as mean, max(l.value) as max, round(quantile_cont(l.value, 0.9), 9) as p90 from {pts} p join light l
     on l.z >= p.cz - 2 and l.z < p.cz + 2 and l.y >= p.cy - 8 and l.y < p.cy + 8 and l.x >= p.cx - 8 and l.x < p.cx + 8 group by p.site"""
 
 
