@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dendrospark.llm.quality import op6_quality
 from dendrospark.llm.secrets import op1_secrets
 from dendrospark.llm.sharding import op2_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_shards": op2_shards,
+    "op6_quality": op6_quality,
 }
 
 ORACLES: dict[str, str] = {}
