@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dendrospark.llm.near_dups import op4_near_dups
+from dendrospark.llm.packing import op5_packing
 from dendrospark.llm.quality import op6_quality
 from dendrospark.llm.secrets import op1_secrets
 from dendrospark.llm.sharding import op2_shards
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_shards": op2_shards,
     "op4_near_dups": op4_near_dups,
+    "op5_packing": op5_packing,
     "op6_quality": op6_quality,
 }
 
