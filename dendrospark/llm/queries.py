@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dendrospark.llm.mixing import op8_mixing
 from dendrospark.llm.near_dups import op4_near_dups
 from dendrospark.llm.packing import op5_packing
 from dendrospark.llm.quality import op6_quality
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_dups": op4_near_dups,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
+    "op8_mixing": op8_mixing,
 }
 
 ORACLES: dict[str, str] = {}
