@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dendrospark.llm.mixing import op8_mixing
 from dendrospark.llm.near_dups import op4_near_dups
+from dendrospark.llm.neighbours import op7_neighbours
 from dendrospark.llm.packing import op5_packing
 from dendrospark.llm.quality import op6_quality
 from dendrospark.llm.secrets import op1_secrets
 from dendrospark.llm.sharding import op2_shards
+from dendrospark.llm.substrings import op9_substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
@@ -19,7 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_dups": op4_near_dups,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
+    "op7_neighbours": op7_neighbours,
     "op8_mixing": op8_mixing,
+    "op9_substrings": op9_substrings,
 }
 
 ORACLES: dict[str, str] = {}
