@@ -82,14 +82,16 @@ def registers(elements: np.ndarray) -> np.ndarray:
         bound = (math.log(M) + 8.0) / n
         while True:
             least = np.full(M, np.inf)
-            e, o, s, x = elements, odd, shift, np.zeros(n)
-            for j in range(M):
-                x = x - np.log(_uniform(mix(e + _STEPS[j]))) / (M - j)
-                alive = x <= bound
-                e, o, s, x = e[alive], o[alive], s[alive], x[alive]
-                if not len(x):
-                    break
-                np.minimum.at(least, ((o * np.uint64(j) + s) & low).astype(np.int64), x)
+            e, o, s, x, j = elements, odd, shift, np.zeros(n), 0
+            block = min(64, int(M * bound) + 3)  # about as many values as an element has below the bound
+            while j < M and len(e):
+                steps = np.arange(j, min(M, j + block), dtype=np.uint64)
+                gaps = -np.log(_uniform(mix(e[:, None] + _STEPS[j: j + block]))) / (M - steps.astype(np.float64))
+                values = x[:, None] + np.cumsum(gaps, axis=1)
+                below = values <= bound
+                np.minimum.at(least, ((o[:, None] * steps + s[:, None]) & low)[below].astype(np.int64), values[below])
+                more = below[:, -1]
+                e, o, s, x, j = e[more], o[more], s[more], values[more, -1], j + block
             if least.max() <= bound:
                 break
             bound *= 2.0
