@@ -131,13 +131,13 @@ def _verified(pairs: DataFrame, reps: DataFrame, width: int, percent: int) -> Da
 
 
 def _stars(star_pairs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """``p, x, linked, n_diff`` and the prefixes of the difference, as the smaller and as the larger side of a pair."""
+    """``p, x, linked``, elements ``n``, of the difference ``d``, of these added ``a``, and the prefixes of the difference, as the smaller and as the larger side of a pair."""
     t = percent / 100.0
     c = (1.0 - t) / (1.0 + t)
 
     def compare(rows):
         for sets in _pair_sets(rows, width):
-            out = [[], [], [], [], [], []]
+            out = [[], [], [], [], [], [], [], []]
             for p, x, a, b in sets:
                 common = np.intersect1d(a, b, assume_unique=True)
                 linked = _linked(len(common), len(a), len(b), percent)
@@ -149,23 +149,32 @@ def _stars(star_pairs: DataFrame, reps: DataFrame, width: int, percent: int) ->
                 other = max(d, math.floor(c * (t * len(b) + len(a)))) if linked else d
                 small = max(1, math.ceil((other + d - h) / 2.0 - 1e-9))
                 large = max(1, math.ceil(d - h - 1e-9))
-                for column, value in zip(out, (p, x, linked, d, diff[: max(0, d - small + 1)], diff[: max(0, d - large + 1)])):
+                for column, value in zip(out, (p, x, linked, len(b), d, len(added), diff[: max(0, d - small + 1)], diff[: max(0, d - large + 1)])):
                     column.append(value)
-            types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(v, ty) for v, ty in zip(out, types)], names=["p", "x", "linked", "n_diff", "small", "large"])
+            types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(v, ty) for v, ty in zip(out, types)], names=["p", "x", "linked", "n", "d", "a", "small", "large"])
 
-    return _with_words(star_pairs, reps).mapInArrow(compare, "p long, x long, linked boolean, n_diff long, small array<long>, large array<long>")
+    return _with_words(star_pairs, reps).mapInArrow(compare, "p long, x long, linked boolean, n long, d long, a long, small array<long>, large array<long>")
 
 
-def _side_pairs(stars: DataFrame) -> DataFrame:
-    """Pairs of one star that share an element of their differences within the prefixes and are not both linked with the pivot."""
+def _side_pairs(stars: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one star that may be linked through a shared element of their differences, not both linked with the pivot.
+
+    A linked pair is met at the first element it shares, from where both differences still hold the overlap it needs.
+    """
+    c = (100.0 - percent) / (100.0 + percent)
     open_ = stars.filter(~F.col("linked")).select("p").distinct()
     rows = stars.join(open_, "p", "left_semi")
-    small = rows.select("p", F.col("x").alias("y"), F.col("linked").alias("l_y"), F.col("n_diff").alias("d_y"), F.explode("small").alias("e"))
-    large = rows.select("p", "x", F.col("linked").alias("l_x"), F.col("n_diff").alias("d_x"), F.explode("large").alias("e"))
-    met = small.join(large, ["p", "e"]).filter(
-        ~(F.col("l_x") & F.col("l_y")) & ((F.col("d_y") < F.col("d_x")) | ((F.col("d_y") == F.col("d_x")) & (F.col("y") < F.col("x")))))
-    return met.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+    side = lambda array, tag: rows.select(
+        "p", *[F.col(k).alias(f"{k}_{tag}") for k in ("x", "linked", "n", "d", "a")], F.posexplode(array).alias(f"i_{tag}", "e"))
+    y, z = side("small", "y"), side("large", "z")
+    col = F.col
+    need = (col("d_y") + col("d_z") - c * (col("n_y") + col("n_z"))) / 2.0 - 1e-6
+    gone = F.least(col("d_y") - F.greatest("i_y", "a_y"), col("d_z") - F.greatest("i_z", "a_z"))
+    fresh = F.greatest(F.least(col("a_y") - col("i_y"), col("a_z") - col("i_z")), F.lit(0))
+    met = y.join(z, (y["p"] == z["p"]) & (y["e"] == z["e"]) & ~(col("linked_y") & col("linked_z")) & (gone + fresh >= need)
+                 & ((col("d_y") < col("d_z")) | ((col("d_y") == col("d_z")) & (col("x_y") < col("x_z")))))
+    return met.select(F.least("x_y", "x_z").alias("u"), F.greatest("x_y", "x_z").alias("v")).distinct()
 
 
 def links(reps: DataFrame, width: int, percent: int, rows: int) -> DataFrame:
@@ -182,7 +191,7 @@ def links(reps: DataFrame, width: int, percent: int, rows: int) -> DataFrame:
     star_pairs = (crowded.join(pivot.select("_key", (-F.col("_top")["col2"]).alias("u")), "_key")
                   .select("u", F.col("_cid").alias("v")).filter("u != v").distinct())
     stars = cut(_stars(star_pairs, needed, width, percent))
-    side = _side_pairs(stars)
+    side = _side_pairs(stars, percent)
     pairs = cut(_likely(direct.unionByName(side).distinct(), needed, percent / 100.0))
     return _verified(pairs, needed, width, percent).unionByName(stars.filter("linked").select(F.col("p").alias("u"), F.col("x").alias("v")))
 
