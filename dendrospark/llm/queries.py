@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dendrospark.llm.licenses import op3_licenses
 from dendrospark.llm.mixing import op8_mixing
 from dendrospark.llm.near_dups import op4_near_dups
 from dendrospark.llm.neighbours import op7_neighbours
@@ -14,16 +15,19 @@ from dendrospark.llm.quality import op6_quality
 from dendrospark.llm.secrets import op1_secrets
 from dendrospark.llm.sharding import op2_shards
 from dendrospark.llm.substrings import op9_substrings
+from dendrospark.llm.toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_shards": op2_shards,
+    "op3_licenses": op3_licenses,
     "op4_near_dups": op4_near_dups,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
     "op7_neighbours": op7_neighbours,
     "op8_mixing": op8_mixing,
     "op9_substrings": op9_substrings,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
