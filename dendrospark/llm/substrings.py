@@ -68,25 +68,26 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def _surveyed(docs: DataFrame) -> DataFrame:
-    """``doc_id, _th, n_words, kept_sha256`` (as if nothing went) and the anchors of every row as ``_anchors``."""
+    """``doc_id, _th, n_words, kept_sha256`` (as if nothing went) and the distinct anchors of every row with how often each occurs."""
     schema = T.StructType([docs.schema["doc_id"], docs.schema["_th"], T.StructField("n_words", T.LongType()), T.StructField("kept_sha256", T.StringType()),
-                           T.StructField("_anchors", T.ArrayType(T.LongType()))])
+                           T.StructField("_anchors", T.ArrayType(T.LongType())), T.StructField("_counts", T.ArrayType(T.LongType()))])
 
     def survey(rows):
         known = WordHashes()
         for part, (texts,) in batches(rows, ["text"]):
-            n, sha, found = [], [], []
+            n, sha, found, counts = [], [], [], []
             for text in texts:
                 words = _words(text)
                 n.append(len(words))
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 if len(words) < WINDOW:
-                    found.append(None)
+                    found.append(None), counts.append(None)
                     continue
                 grams, at = anchors(_hashes(words, known))
-                found.append(np.unique(grams[np.unique(at)]).view(np.int64))
+                own, often = np.unique(grams[np.unique(at)], return_counts=True)
+                found.append(own.view(np.int64)), counts.append(often)
             arrays = [part.column(part.schema.get_field_index(c)) for c in ("doc_id", "_th")]
-            arrays += [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(found, pa.list_(pa.int64()))]
+            arrays += [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(found, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
 
     return docs.select("doc_id", "_th", "text").mapInArrow(survey, schema)
@@ -201,8 +202,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("_th"))
     survey = cut(_surveyed(keyed))
-    occurs = survey.filter("doc_id is not null").select("doc_id", "_th", F.explode("_anchors").alias("_a"))
-    repeated = occurs.groupBy("_a").agg(F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high")).filter("_low < _high")
+    occurs = survey.filter("doc_id is not null").select("doc_id", "_th", F.inline(F.arrays_zip(F.col("_anchors").alias("_a"), F.col("_counts").alias("_c"))))
+    repeated = occurs.groupBy("_a").agg(F.sum("_c").alias("_n"), F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high")).filter("_low < _high")
     of_docs = (occurs.join(repeated, "_a").groupBy("doc_id", "_th")
                .agg(F.collect_list(F.struct(F.col("_a").alias("a"), (F.col("_n") > GROUP).alias("many"))).alias("_repeated")))
     marked = cut(_packed(keyed.join(of_docs, ["doc_id", "_th"])))
@@ -215,7 +216,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     if not with_text:
         cleaned = cleaned.drop("kept_text")
     cleaned = cleaned.dropDuplicates(["doc_id", "_th"])  # equal rows were cleaned alike
-    return survey.drop("_anchors").join(cleaned, ["doc_id", "_th"], "left").select(
+    return survey.drop("_anchors", "_counts").join(cleaned, ["doc_id", "_th"], "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"), F.coalesce("_sha", "kept_sha256").alias("kept_sha256"),
         *(["kept_text"] if with_text else []))
 
