@@ -98,10 +98,10 @@ def mixed(docs: DataFrame, targets: dict[str, float] | None = None, block: int =
 
 def in_mixed_order(docs: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """All rows and columns of ``docs``, sorted by their place in the mix (range partitions, each sorted)."""
-    rows = cut(with_row_key(docs))
+    rows = cut(with_row_key(docs.select("doc_id", "source", F.struct("*").alias("_payload"))))
     place = mixed(rows, targets, keep_row=True).select("_rid", F.col("position").alias("_position"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (rows.join(place, "_rid").repartitionByRange(n, "_position").sortWithinPartitions("_position").select(*docs.columns))
+    return (rows.join(place, "_rid").repartitionByRange(n, "_position").sortWithinPartitions("_position").select("_payload.*"))
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

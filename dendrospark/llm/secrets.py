@@ -153,12 +153,10 @@ def redact(docs: DataFrame, reach: int = 200, mark: str = "[SECRET]") -> DataFra
 
     Rows without findings come back unchanged; no row is dropped. Null texts stay null.
     """
-    columns = docs.columns
-    known = scan_secrets(docs, reach, keep=tuple(columns))
-    clean = known.filter(F.size("spans") == 0)
-    hit = known.filter(F.size("spans") > 0)
+    packed = docs.select("doc_id", "text", F.struct("*").alias("_payload"))
+    known = scan_secrets(packed, reach, keep=("_payload",))
     # Cut from the left: the state is the text so far and the end of the last finding.
-    text = F.col("text")
+    text = F.col("_payload.text")
     state = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(s, x):
@@ -169,10 +167,12 @@ def redact(docs: DataFrame, reach: int = 200, mark: str = "[SECRET]") -> DataFra
             F.greatest(x["end"], s["at"]).alias("at"))
 
     new = F.aggregate("spans", state, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    hit = hit.withColumn("text", new)
-    if "n_chars" in columns:
-        hit = hit.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*columns).unionByName(hit.select(*columns))
+    hit = known.filter(F.size("spans") > 0).withColumn("_new", new)
+    payload = F.col("_payload").withField("text", F.col("_new"))
+    if "n_chars" in docs.columns:
+        payload = payload.withField("n_chars", F.length("_new").cast(docs.schema["n_chars"].dataType))
+    clean = known.filter(F.size("spans") == 0)
+    return clean.select("_payload.*").unionByName(hit.select(payload.alias("_payload")).select("_payload.*"))
 
 
 def op1_secrets(spark, sf_dir: str) -> DataFrame:
