@@ -23,7 +23,7 @@ from dendrospark.llm.common import batches, table
 WINDOW, STRIDE = 32, 16
 SAMPLE, PER_DOC = 700, 16
 BUCKETS, DIM, HIDDEN = 1 << 16, 12, 8
-ROUNDS, BATCH, SEED = 6, 512, 3
+ROUNDS, STEPS, BATCH, SEED = 6, 30, 512, 3  #: steps: least number in a round
 DECAY = 1e-4  #: of all weights per step
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_/"
 
@@ -195,7 +195,8 @@ def train(windows: list[list[str]], doc: np.ndarray, toxic: np.ndarray, seed: in
         if turn:  # a toxic document need not be toxic all over: go on with the half of its windows that looks more so
             logit = window_logits(w, words.inputs(w), index)
             used = np.flatnonzero(~apart & ((label == 0) | _upper_half(doc, logit)))
-        order = draw.permutation(used)
+        passes = max(1, -(-STEPS * BATCH // max(1, len(used))))
+        order = np.concatenate([draw.permutation(used) for _ in range(passes)])
         for at in range(0, len(order), BATCH):
             pick = order[at: at + BATCH]
             drop = np.ones((WINDOW, len(pick), 2 * DIM), np.float32)
