@@ -25,6 +25,7 @@ SAMPLE, PER_DOC = 700, 16
 BUCKETS, DIM, HIDDEN = 1 << 16, 12, 8
 ROUNDS, STEPS, BATCH, SEED = 6, 30, 512, 3  #: steps: least number in a round
 DECAY = 1e-4  #: of all weights per step
+COMMON = 4  #: documents of the sample in which a word or n-gram must occur to count
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_/"
 
 
@@ -190,6 +191,9 @@ def train(windows: list[list[str]], doc: np.ndarray, toxic: np.ndarray, seed: in
     first = {k: np.zeros_like(v) for k, v in w.items()}
     second = {k: np.zeros_like(v) for k, v in w.items()}
     apart = doc % 5 == 0  # documents that set the threshold
+    common = _common_buckets(words, index[~apart], doc[~apart])
+    for k in ("word", "char"):
+        w[k] *= common[k][:, None]
     step, used = 0, np.flatnonzero(~apart)
     for turn in range(ROUNDS):
         if turn:  # a toxic document need not be toxic all over: go on with the half of its windows that looks more so
@@ -209,6 +213,8 @@ def train(windows: list[list[str]], doc: np.ndarray, toxic: np.ndarray, seed: in
             g["word"], g["char"] = np.zeros_like(w["word"]), np.zeros_like(w["char"])
             np.add.at(g["word"], own.word, by_word[:, :DIM])
             np.add.at(g["char"], own.char, (by_word[:, DIM:] / own.size[:, None])[own.owner].astype(np.float32))
+            for k in ("word", "char"):
+                g[k] *= common[k][:, None]
             step += 1
             for k in w:
                 first[k] = 0.9 * first[k] + 0.1 * g[k]
@@ -225,6 +231,18 @@ def train(windows: list[list[str]], doc: np.ndarray, toxic: np.ndarray, seed: in
     return w
 
 
+def _common_buckets(words: Vocabulary, index: np.ndarray, doc: np.ndarray) -> dict[str, np.ndarray]:
+    """Buckets met in ``COMMON`` documents or more. Others stay zero: what is rare would be learnt by heart, not understood."""
+    pairs = np.unique(np.stack([np.repeat(doc, index.shape[1]), index.ravel()]), axis=1)
+    pairs = pairs[:, pairs[1] >= 0]
+    first = np.cumsum(words.size) - words.size
+    size = words.size[pairs[1]]
+    flat = np.repeat(first[pairs[1]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    met = {"word": (pairs[0], words.word[pairs[1]]), "char": (np.repeat(pairs[0], size), words.char[flat])}
+    once = {k: np.unique(d.astype(np.int64) * BUCKETS + b) % BUCKETS for k, (d, b) in met.items()}
+    return {k: (np.bincount(b, minlength=BUCKETS) >= COMMON).astype(np.float32) for k, b in once.items()}
+
+
 def _with_runs(index: np.ndarray, label: np.ndarray, draw: np.random.Generator) -> np.ndarray:
     """Some windows of clean documents as runs of a few of their words: saying a harmless word often does not make it toxic."""
     out = index.copy()

@@ -408,9 +408,7 @@ def test_gradients():
         assert abs((high - low) / 0.04 - value[at]) < 1e-3 + 0.02 * abs(value[at]), k
 
 
-def test_toxicity_on_held_out_rows(spark, odd, monkeypatch):
-    monkeypatch.setattr(toxicity, "SAMPLE", 150)
-    monkeypatch.setattr(toxicity, "PER_DOC", 12)
+def test_toxicity_on_held_out_rows(spark, odd):
     dir_ = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{dir_}/documents.parquet"), spark.read.parquet(f"{dir_}/labels.parquet")
     weights = toxicity.fit_on_sample(docs, labels)
