@@ -65,6 +65,7 @@ def nan_to_null(c: Column) -> Column:
 
 
 def belief_label(p: Column) -> Column:
+    # fixed values: thresholds and names
     return (F.when(p.isNull(), "Unknown").when(p >= 0.80, "Likely True").when(p >= 0.60, "Leaning True")
             .when(p > 0.40, "Uncertain").when(p > 0.20, "Leaning False").otherwise("Likely False"))
 
@@ -81,7 +82,7 @@ def run_timestamp(run_id: Column) -> Column:
 
 
 def base26_suffix(index: Column) -> Column:
-    """0 -> a, 25 -> z, 26 -> aa, ... (six letters at most)."""
+    """0 -> a, 25 -> z, 26 -> aa, ...; an index that needs more than six letters fails the query."""
     def letter(n):
         return F.char(F.lit(97) + (n % 26).cast("int"))
 
@@ -90,4 +91,4 @@ def base26_suffix(index: Column) -> Column:
     for _ in range(5):
         out = F.when(rest >= 0, F.concat(letter(rest), out)).otherwise(out)
         rest = F.floor(rest / 26) - 1
-    return out
+    return F.when(rest >= 0, F.raise_error(F.lit("suffix index too large")).cast("string")).otherwise(out)

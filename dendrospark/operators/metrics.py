@@ -27,6 +27,7 @@ METRIC_NAMES = {
     "split_rate": "Split Rate",
     "merge_rate": "Merge Rate",
 }
+# Which metrics are tracked, which count errors, which measure quality.
 TRACKED = ["edge_accuracy", "split_accuracy", "erl", "normalized_erl", "n_splits", "n_merges", "pct_split", "pct_omit", "pct_merged"]
 ERROR_METRICS = ["n_splits", "n_merges", "pct_split", "pct_omit", "pct_merged"]
 QUALITY_METRICS = ["erl", "normalized_erl", "edge_accuracy", "split_rate", "merge_rate"]

@@ -53,19 +53,19 @@ def ntile(df: DataFrame, order: list[Column], k: int, out: str = "tile") -> Data
 def exact_percentiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
     """One row with the exact percentiles (linear between neighbours) under the given names.
 
-    Found by rank, so the values are never gathered in one aggregate.
+    Found by running counts of distinct values, so the values are never gathered in one aggregate and ties are one row.
     """
     known = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"))
-    ranked = cut(global_rank(known, [F.col("_v")], "_r"))
-    n = ranked.count()
+    counts = known.groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = cut(running_total(counts, [F.col("_v")], "_c", "_r"))
+    n = ranked.agg(F.sum("_c")).first()[0] or 0
     wanted = {name: p * (n - 1) for name, p in shares.items()}
-    positions = sorted({int(w) + i for w in wanted.values() for i in (1, 2)})
-    few = ranked.filter(F.col("_r").isin(positions))
 
     def at(w: float) -> Column:
         low, part = int(w), w - int(w)
-        first = F.max(F.when(F.col("_r") == low + 1, F.col("_v")))
-        second = F.coalesce(F.max(F.when(F.col("_r") == low + 2, F.col("_v"))), first)
+        holds = lambda place: (F.col("_r") >= place) & (F.col("_r") - F.col("_c") < place)
+        first = F.max(F.when(holds(low + 1), F.col("_v")))
+        second = F.coalesce(F.max(F.when(holds(low + 2), F.col("_v"))), first)
         return first + F.lit(part) * (second - first)
 
-    return few.agg(*[at(w).alias(name) for name, w in wanted.items()])
+    return ranked.agg(*[at(w).alias(name) for name, w in wanted.items()])

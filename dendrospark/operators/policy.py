@@ -119,7 +119,7 @@ def policy_merge_cut(sites: DataFrame, ctx: Context, min_arm: float = 12.0, max_
 
 
 def policy_multisignal(sites: DataFrame, ctx: Context, near: float = 3.0, far: float = 6.0, max_angle: float = 50.0,
-                       max_ratio: float = 2.2, dim_share: float = 0.45, max_edits: int = 200) -> DataFrame:
+                       max_ratio: float = 2.2, dim_share: float = 0.45, max_edits: int | None = None) -> DataFrame:
     """Gap, tangents, calibre and image together; longer gaps need the image or a tighter angle."""
     s = _site_radii(_site_tangents(cut(_split_sites(sites, far)), ctx, 6.0, inward=True), ctx)
     off = F.lit(180.0) - _clipped_angle(dot("ta", "tb"))
@@ -136,8 +136,10 @@ def policy_multisignal(sites: DataFrame, ctx: Context, near: float = 3.0, far: f
         s = s.withColumn("_img", F.lit(None).cast("boolean"))
     short = (F.col("gap_um") <= near) & F.coalesce("_img", F.lit(True))
     long = (F.col("gap_um") > near) & F.coalesce("_img", F.col("_off") <= max_angle * 0.6)
-    # the cap is the policy's own safety limit, in stream order
-    return as_merge_edits(s.filter(short | long).orderBy("site_seq").limit(max_edits))
+    picked = s.filter(short | long)
+    if max_edits is not None:  # a report limit, in stream order
+        picked = global_rank(picked, [F.col("site_seq")], "_place").filter(F.col("_place") <= max_edits).drop("_place")
+    return as_merge_edits(picked)
 
 
 def policy_mutual(sites: DataFrame, ctx: Context, max_gap: float = 3.0, max_ratio: float = 2.0) -> DataFrame:
@@ -162,6 +164,7 @@ def policy_small_gap(sites: DataFrame, ctx: Context, max_gap: float = 3.0, max_d
 
 def confidence(gap: Column, degree_b: Column, cosine: Column, max_gap: float) -> Column:
     """0.30 gap + 0.40 terminal + 0.30 direction; direction counts for tip to tip only."""
+    # fixed values: weights and scores of the three parts
     c_gap = F.greatest(F.lit(0.0), 1.0 - gap / F.lit(max_gap))
     c_term = F.when(degree_b.isNull(), 0.5).when(degree_b == 1, 1.0).when(degree_b == 2, 0.4).otherwise(0.0)
     c_dir = F.when((degree_b == 1) & cosine.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1.0 - cosine) / 2.0))).otherwise(0.5)
@@ -201,16 +204,18 @@ def gate(candidate: DataFrame, parent: DataFrame, eps: float = 0.0, split_tol: f
         return F.format_string(f"%.{digits}f", F.col(c))
 
     better = F.coalesce(F.col("edge_accuracy") > F.col("parent_edge_accuracy") + F.lit(eps), F.lit(False))
+
+    def told(code, metric):
+        return F.concat_ws(" ", F.lit(code), num(f"parent_{metric}", 3), num(metric, 3))
+
+    # a code, the parent's value and the candidate's value of the metric that decided
     reason = (
-        F.when(~better, F.concat(F.lit("edge accuracy "), num("edge_accuracy", 3), F.lit(" did not beat "), num("parent_edge_accuracy", 3)))
-        .when(~F.col("has_split"), F.concat(F.lit("edge accuracy "), num("edge_accuracy", 3), F.lit(" beat "), num("parent_edge_accuracy", 3), F.lit(" (merge only)")))
-        .when(F.col("pct_merged") > F.col("parent_pct_merged") + 1e-9,
-              F.concat(F.lit("split raised % merged edges "), num("parent_pct_merged", 3), F.lit(" -> "), num("pct_merged", 3)))
-        .when(F.col("n_merges") > F.col("parent_n_merges") + 1e-9,
-              F.concat(F.lit("split raised # merges "), num("parent_n_merges", 2), F.lit(" -> "), num("n_merges", 2)))
-        .when(F.col("pct_split") > F.col("parent_pct_split") + F.lit(split_tol),
-              F.concat(F.lit("split cut too much: % split edges "), num("parent_pct_split", 3), F.lit(" -> "), num("pct_split", 3)))
-        .otherwise(F.concat(F.lit("edge accuracy "), num("edge_accuracy", 3), F.lit(" beat "), num("parent_edge_accuracy", 3), F.lit(" and merges were repaired"))))
+        F.when(~better, told("accuracy-not-better", "edge_accuracy"))
+        .when(~F.col("has_split"), told("accuracy-better", "edge_accuracy"))
+        .when(F.col("pct_merged") > F.col("parent_pct_merged") + 1e-9, told("merged-share-up", "pct_merged"))
+        .when(F.col("n_merges") > F.col("parent_n_merges") + 1e-9, told("merges-up", "n_merges"))
+        .when(F.col("pct_split") > F.col("parent_pct_split") + F.lit(split_tol), told("split-share-up", "pct_split"))
+        .otherwise(told("repaired", "edge_accuracy")))
     accepted = better & (~F.col("has_split") | (
         F.coalesce(F.col("pct_merged") <= F.col("parent_pct_merged") + 1e-9, F.lit(True))
         & F.coalesce(F.col("n_merges") <= F.col("parent_n_merges") + 1e-9, F.lit(True))

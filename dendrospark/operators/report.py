@@ -130,6 +130,7 @@ def format_report(comparison: DataFrame) -> DataFrame:
     def num(name):
         return F.coalesce(F.col(name), nan)
 
+    # fixed values: the two line formats of the report
     line = F.when(error, F.format_string("  %s: %.4f -> %.4f (reduction %.4f, corrected %.2f%%)", "metric", num("before"), num("after"),
                                          num("reduction"), num("corrected_pct"))).otherwise(
         F.format_string("  %s: %.4f -> %.4f (delta %.4f, relative %.2f%%)", "metric", num("before"), num("after"), num("delta"), num("relative_change_pct")))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from dendrospark.functions.scalar import BACKGROUND, angle_deg, radius_ratio
 from dendrospark.operators.graph import XYZ, connected_components, degrees, edge_length, labelled, symmetric
 from dendrospark.operators.greedy import suppress
+from dendrospark.operators.ordering import global_rank
 from dendrospark.operators.spatial import HOT_ROWS, as_build, nearest, within_distance
 from dendrospark.operators.walk import walk_arms
 from dendrospark.session import cut
@@ -59,13 +60,21 @@ def closest_per_label_pair(pairs: DataFrame, by: Sequence[str] = ()) -> DataFram
     return best.select(*by, "_s.*").withColumn("gap_um", F.sqrt("d2"))
 
 
-def split_sites(frag_node: DataFrame, frag_edge: DataFrame, max_gap: float = 15.0, max_sites: int | None = 5000,
+def split_sites(frag_node: DataFrame, frag_edge: DataFrame, max_gap: float = 15.0, max_sites: int | None = None,
                 tip_to_shaft: bool = True, by: Sequence[str] = ()) -> DataFrame:
-    """Candidate split sites, closest gaps first, at most ``max_sites`` (the report limit of the candidate stream)."""
+    """Candidate split sites, closest gaps first, all of them, or at most ``max_sites`` per ``by`` (a report limit), smallest gap first."""
     sites = closest_per_label_pair(tip_pairs(frag_node, frag_edge, max_gap, tip_to_shaft, by), by)
     if max_sites is None:
         return sites
-    return sites.orderBy("gap_um", "node_a", "node_b").limit(max_sites)
+    order = [F.col("gap_um"), F.col("node_a"), F.col("node_b")]
+    return _first_per(sites, order, max_sites, by)
+
+
+def _first_per(sites: DataFrame, order: list, most: int, by: Sequence[str]) -> DataFrame:
+    """The first ``most`` rows of each ``by``; of all when there is none."""
+    ranked = (sites.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))) if by
+              else global_rank(sites, order, "_place"))
+    return ranked.filter(F.col("_place") <= most).drop("_place")
 
 
 def mutual_nearest(pairs: DataFrame) -> DataFrame:
@@ -226,17 +235,18 @@ def merge_sites_component(frag_node: DataFrame, frag_edge: DataFrame, min_arm: f
     }).select(*MERGE_SITE_COLUMNS)
 
 
-def cap_sites(sites: DataFrame, max_per_label: int = 8, max_sites: int = 5000) -> DataFrame:
-    """The strongest sites of each label, then the strongest overall, by the shorter arm."""
+def cap_sites(sites: DataFrame, max_per_label: int | None = None, max_sites: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """The strongest sites of each label, then the strongest of each ``by`` (of all without it), by the shorter arm; no limit unless given."""
     strength = F.round(F.least("cable_a_um", "cable_b_um"), 6)
     order = [strength.desc(), F.col("cut_node"), F.col("seed_b_node"), F.col("detector")]
-    ranked = sites.withColumn("_rank", F.row_number().over(Window.partitionBy("label").orderBy(*order)))
-    return ranked.filter(F.col("_rank") <= max_per_label).drop("_rank").orderBy(*order).limit(max_sites)
+    if max_per_label is not None:
+        sites = _first_per(sites, order, max_per_label, [*by, "label"])
+    return sites if max_sites is None else _first_per(sites, order, max_sites, by)
 
 
 def merge_sites(frag_node: DataFrame, frag_edge: DataFrame, min_arm: float = 10.0, seed_depth: float = 8.0,
-                max_per_label: int = 8, max_sites: int = 5000) -> DataFrame:
-    """All three detectors, capped per label and overall."""
+                max_per_label: int | None = None, max_sites: int | None = None) -> DataFrame:
+    """All three detectors; limits per label and overall only if given."""
     found = merge_sites_branch(frag_node, frag_edge, min_arm, seed_depth)
     found = found.unionByName(merge_sites_bridge(frag_node, frag_edge, min_arm, seed_depth))
     found = found.unionByName(merge_sites_component(frag_node, frag_edge, min_arm))

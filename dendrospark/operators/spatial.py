@@ -17,10 +17,8 @@ from dendrospark.session import cut, is_empty
 
 XYZ = ("x", "y", "z")
 CELL = ("_cx", "_cy", "_cz")
-#: rows of one side that a single (scope, cell) may hold before it is salted
-HOT_ROWS = 500_000
-#: more hot cells than this are joined by shuffle, fewer are broadcast
-BROADCAST_CELLS = 50_000
+#: a single (scope, cell) may compare this number squared of pairs; beyond that both sides are dealt out in parts of this size
+HOT_ROWS = 5_000
 
 
 def squared_distance(a: Sequence[str], b: Sequence[str]) -> Column:
@@ -40,26 +38,23 @@ def _touched_cells(df: DataFrame, xyz: Sequence[str], size: float, radius: float
 
 
 def _salted(probe: DataFrame, build: DataFrame, keys: list[str], hot_rows: int):
-    """Split (scope, cell) groups over ``hot_rows`` into a grid of salted groups.
+    """Split (scope, cell) groups with over ``hot_rows`` squared pairs into a grid of salted groups.
 
     The counts are hash aggregates with map-side combine. When no group is hot
     the inputs come back untouched.
     """
     def occupancy(df, name):
-        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).filter(F.col(name) > hot_rows)
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
-    # a cell matters only when both sides are in it; either side alone may be the hot one
-    hot = occupancy(probe, "_np").join(occupancy(build, "_nb"), keys, "full_outer").select(
+    # what counts is the product of both sides: the pairs that one task would compare
+    both = occupancy(probe, "_np").join(occupancy(build, "_nb"), keys)
+    hot = cut(both.filter(F.col("_np").cast("double") * F.col("_nb") > float(hot_rows) ** 2).select(
         *keys,
-        F.ceil(F.coalesce("_np", F.lit(1)) / F.lit(hot_rows)).cast("int").alias("_sp"),
-        F.ceil(F.coalesce("_nb", F.lit(1)) / F.lit(hot_rows)).cast("int").alias("_sb"),
-    )
-    hot = cut(hot)
-    n_hot = hot.count()
-    if n_hot == 0:
+        F.ceil(F.col("_np") / F.lit(hot_rows)).cast("int").alias("_sp"),
+        F.ceil(F.col("_nb") / F.lit(hot_rows)).cast("int").alias("_sb"),
+    ))
+    if is_empty(hot):
         return probe, build, keys
-    if n_hot <= BROADCAST_CELLS:
-        hot = F.broadcast(hot)
 
     def own(df, mine, other):
         joined = df.join(hot, keys, "left").withColumns(

@@ -60,6 +60,8 @@ def step_tables(directed: DataFrame, limit: float) -> list[DataFrame]:
         if is_empty(double):
             break
         tables.append(double)
+    else:
+        raise ValueError("chains do not end: edges of no length form a cycle")
     return tables
 
 

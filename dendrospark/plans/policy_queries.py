@@ -82,7 +82,7 @@ def _(t):
       join frag_node ra on ra.node_id = node_a join frag_node rb on rb.node_id = node_b) q
   where off <= 50 and ratio <= 2.2 and (gap_um <= 6 or off <= 30)"""))
 def _(t):
-    return P.policy_multisignal(stream(t), context(t), near=6.0, far=12.0, max_edits=10**9).select("label_a", "label_b")
+    return P.policy_multisignal(stream(t), context(t), near=6.0, far=12.0).select("label_a", "label_b")
 
 
 @query("d6_policy_mutual", with_tables("split_site", extra={

@@ -6,6 +6,7 @@ Every reader takes a path or glob and returns a lazy DataFrame with an explicit
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,13 +67,16 @@ def with_brain_id(df: DataFrame, name: Column | str = "file_name") -> DataFrame:
 
 
 def parse_brain_lookup(lines: DataFrame, order: str = "pos") -> DataFrame:
-    """Brain -> segmentation id from marked-up text lines (``value`` and an order column); the first entry of a brain wins.
+    """Brain -> segmentation id from rich text (``value`` and an order column); the first entry of a brain wins.
 
-    Hyperlink instructions go first, then control words, then braces and backslashes.
+    A value is a line or a whole file; within a value, entries and groups may span lines. By the rules of the format line ends
+    mean nothing, a group that opens with an asterisk is not shown, and a control is a backslash with a word and number, a byte in hex, or one sign.
     """
-    text = F.regexp_replace("value", r"\{\\\*\\fldinst\{HYPERLINK[^}]*\}\}", "")
-    text = F.regexp_replace(text, r"\\[a-zA-Z]+-?\d* ?", " ")
-    text = F.regexp_replace(text, r"[{}\\]", " ")
+    text = F.translate("value", "\r\n", "")
+    text = F.regexp_replace(text, r"(?s)[{][\\][*](?:[^{}]|[{][^{}]*[}])*[}]", "")
+    text = F.regexp_replace(text, r"[\\](?:'[0-9a-fA-F]{2}|[a-z]{1,32}(?:-?[0-9]{1,10})?|.)", " ")
+    text = F.translate(text, "{}", "  ")
+    # fixed value: how an entry is written
     pattern = r"(\d{6})\s*,\s*([A-Za-z0-9_.]+)"
     found = lines.select(order, F.posexplode(F.regexp_extract_all(text, F.lit(pattern), 0)).alias("_i", "_hit"))
     pairs = found.select(F.struct(order, "_i").alias("_o"), F.regexp_extract("_hit", pattern, 1).alias("brain_id"),
@@ -80,6 +84,12 @@ def parse_brain_lookup(lines: DataFrame, order: str = "pos") -> DataFrame:
     return pairs.groupBy("brain_id").agg(F.min(F.struct("_o", "segmentation_id"))["segmentation_id"].alias("segmentation_id"))
 
 
+def read_brain_lookup(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Lookup of the entries in whole files, files by name."""
+    files = spark.read.text(path, wholetext=True)
+    return parse_brain_lookup(files.select("value", F.col("_metadata.file_path").alias("pos")))
+
+
 def require_brains(lookup: DataFrame, wanted: DataFrame) -> DataFrame:
     """Lookup rows of the wanted brains; a brain without an entry fails the query."""
     j = wanted.select("brain_id").distinct().join(lookup, "brain_id", "left")
@@ -159,9 +169,12 @@ def parse_hypotheses(docs: DataFrame, value: str = "value", file: str = "file")
 
 
 def read_hypotheses(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Hypothesis exports from files and folders (``*.json`` inside), each file once."""
+    """Hypothesis exports, each file once: files named one by one, whatever their ending, and ``*.json`` in folders."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    docs = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(paths)
+    docs = spark.read.text(paths, wholetext=True)
+    place = F.col("_metadata.file_path")
+    named = [place.endswith(p.split("://")[-1].lstrip("/")) for p in paths if not p.endswith("/")]
+    docs = docs.filter(reduce(lambda a, b: a | b, named, place.endswith(".json")))
     docs = docs.select("value", F.col("_metadata.file_path").alias("_p"), F.col("_metadata.file_name").alias("file"))
     return parse_hypotheses(docs.dropDuplicates(["_p"]))
 
