@@ -164,9 +164,20 @@ def _(t):
     return GR.suppress(points, [F.col("a")], 20.0).select("node_id")
 
 
-@query("g6_greedy_matching")
+# best first: an edge is taken when no earlier taken edge uses one of its ends
+_BEST_FIRST = """
+  select cast(0 as bigint) as i, cast([] as varchar[]) as used, cast([] as bigint[]) as kept
+  union all
+  select g.i + 1, case when list_contains(used, o.label_a) or list_contains(used, o.label_b) then used else list_concat(used, [o.label_a, o.label_b]) end,
+    case when list_contains(used, o.label_a) or list_contains(used, o.label_b) then kept else list_append(kept, o.i) end
+  from taken g join ordered o on o.i = g.i + 1"""
+_TAKEN = "i in (select unnest(kept) from (select kept from taken order by i desc limit 1) q)"
+
+
+@query("g6_greedy_matching", with_tables("split_site", recursive=True, extra={
+    "ordered": "select *, row_number() over (order by d2, node_a || '-' || node_b) as i from split_site", "taken": _BEST_FIRST}, body=f"""
+  select label_a, label_b, node_a, node_b, d2 from ordered where {_TAKEN}"""))
 def _(t):
-    """Sequential by nature; checked against a plain loop in the tests."""
     s = SI.split_sites(t.frag_node, t.frag_edge, 15.0, max_sites=None).withColumn("edge_id", F.concat_ws("-", "node_a", "node_b"))
     return GR.greedy_matching(s, [F.col("d2")], "label_a", "label_b").select("label_a", "label_b", "node_a", "node_b", "d2")
 
@@ -206,9 +217,13 @@ def _(t):
     return marked.agg(F.count(F.lit(1)).alias("n_proposals"), F.count_if("forms_cycle").alias("n_cycle_edges"))
 
 
-@query("g13_contested_matching")
+@query("g13_contested_matching", with_tables("tip_pair", recursive=True, extra={
+    "prop": """select * from (select *, row_number() over (partition by node_a order by d2, node_b) as rank from (
+      select *, row_number() over (partition by node_a, label_b order by d2, node_b) as rn from tip_pair) where rn = 1) where rank <= 3""",
+    "ordered": "select *, row_number() over (order by d2, node_a || '-' || node_b) as i from prop", "taken": _BEST_FIRST}, body=f"""
+  select node_a || '-' || node_b as edge_id, label_a as a, label_b as b, round(1 - d2 / 450.0::double, 6) as score from ordered where {_TAKEN}"""))
 def _(t):
-    """Locally dominant matching: at least half of the best total weight; checked against a plain loop in the tests."""
+    """Locally dominant matching: at least half of the best total weight."""
     return GR.greedy_matching(_proposals(t), [-F.col("score")]).select("edge_id", "a", "b", F.round("score", 6).alias("score"))
 
 
