@@ -43,12 +43,12 @@ def _(t):
                                          F.count_if(F.col("kind").isin(E.MERGE, E.SPLIT)).alias("n_effective"))
 
 
-# up to 30 seeds per label: no suffix wanted, so they go a..z, aa, ab, ...
+# no suffix wanted, so they go a..z, aa, ab, ...
 @query("e2_assign_suffixes", with_tables("frag_node", body="""
-  select neuron as label, rn - 1 as seed_idx, case when rn <= 26 then chr(cast(96 + rn as integer)) else 'a' || chr(cast(70 + rn as integer)) end as suffix
-  from (select neuron, row_number() over (partition by neuron order by ord) as rn from frag_node) q where rn <= 30"""))
+  select neuron as label, rn - 1 as seed_idx, case when rn <= 26 then '' else chr(cast(96 + (rn - 1) // 26 as integer)) end || chr(cast(97 + (rn - 1) % 26 as integer)) as suffix
+  from (select neuron, row_number() over (partition by neuron order by ord) as rn from frag_node) q"""))
 def _(t):
-    n = t.frag_node.withColumn("rn", F.row_number().over(Window.partitionBy("neuron").orderBy("ord"))).filter(F.col("rn") <= 30)
+    n = t.frag_node.withColumn("rn", F.row_number().over(Window.partitionBy("neuron").orderBy("ord")))
     seed = F.struct(F.lit(None).cast("string").alias("suffix"), *[F.col(c).cast("double").alias(c) for c in "xyz"], F.col("node_id").alias("node"))
     edits = n.select(F.lit("c").alias("candidate_id"), F.col("ord").alias("edit_seq"), F.lit(E.SPLIT).alias("kind"),
                      F.col("neuron").alias("label"), F.array(seed).cast(E.SEED_TYPE).alias("seeds"))
