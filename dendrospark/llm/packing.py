@@ -9,6 +9,10 @@ split by id and row. Only the last sequence is not full.
 from __future__ import annotations
 
 import math
+import os
+import re
+import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,34 +27,61 @@ from dendrospark.session import cut
 LENGTH = 2048
 END = 1  #: id that closes every document
 HASHED, DIMS, BITS = 512, 4, 12
-CACHE = 400_000  #: words whose ids a task remembers
+CACHE = 400_000  #: runs whose ids a task remembers
+
+
+_SIGNS = re.compile(rb"([!-/:-@\[-`{-~]+)")
+_OTHER_SIGNS = re.compile(r"[\x00-\x08\x0E-\x1F\x7F]|[^\x00-\x7F\w]")
+
+# The characters that stand for bytes in byte-level vocabularies (printable bytes for themselves, the others from 256 on).
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_SIGNS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 
 
 class Encoder:
     """Ids of texts by a tokenizer file.
 
-    The tokenizers used here never merge across white space, so the ids of a text are those of its words one after the other;
-    words repeat, so their ids are remembered. (Held to whole-text encoding by tests.)
+    The tokenizers used here never merge across white space, nor across the end of a run of letters or of signs, so the ids of a text are
+    those of its runs one after the other; runs repeat, so their ids are remembered. A run of letters is one call of the merge model, all
+    else goes through the whole tokenizer. (Held to whole-text encoding by tests.)
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
 
+    @staticmethod
+    def runs(text: str | None) -> list[bytes]:
+        """Pieces that can be encoded one by one. Signs are set apart and letters A-Z lowered only where that cannot change an id."""
+        if not text:
+            return []
+        if "'" in text or "<|" in text or _OTHER_SIGNS.search(text):
+            return text.encode("utf-8", "replace").split()
+        return _SIGNS.sub(rb" \1 ", text.encode("utf-8", "replace").lower()).split()
+
+    def _ids(self, run: bytes) -> list[int]:
+        if run.isalpha():
+            return [t.id for t in self.model.tokenize(run.lower().decode("ascii"))]
+        text = run.decode("utf-8")
+        if text.isalpha():
+            low = "".join([c.lower() for c in unicodedata.normalize("NFC", text)])
+            if low.isalpha():
+                return [t.id for t in self.model.tokenize("".join([_BYTE_SIGNS[b] for b in low.encode("utf-8")]))]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 16-bit ids of every text and the closing id."""
-        split = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
+        split = [self.runs(t) for t in texts]
         if len(self.known) > CACHE:
             self.known.clear()
-        new = list({w for words in split for w in words} - self.known.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at: at + 20_000]
-            coded = self.tokenizer.encode_batch([w.decode("utf-8") for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(c.ids, "<u2").tobytes()) for w, c in zip(part, coded))
-        end = np.array([END], "<u2").tobytes()
-        return [b"".join([*map(self.known.__getitem__, words), end]) for words in split]
+        for run in set().union(*split) - self.known.keys():
+            self.known[run] = array("H", self._ids(run)).tobytes()
+        end = array("H", [END]).tobytes()
+        return [b"".join([*map(self.known.__getitem__, runs), end]) for runs in split]
 
 
 def projection(vocabulary: int = 65536, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
