@@ -3,12 +3,14 @@
 Texts are cut into overlapping windows of words; for every length of template there is a window length and a step such that some window
 holds a whole occurrence. A window and the template in it then share so many of their five-word shingles that one of ``BANDS`` MinHash
 values agrees almost surely (similarity at least 0.26: missed with a chance below 0.74 ^ 48, one in a million). What the bands
-retrieve is verified by exact containment of the template's shingles. Windows without any word of a small set that meets every
-template shingle cannot share a shingle; they are not sketched, which loses nothing.
+retrieve is verified by exact containment of the template's shingles. Windows without an anchor (a long word or a whole shingle, such
+that every template shingle holds one) cannot share a shingle; they are not sketched, which loses nothing.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,15 +51,21 @@ def normal_words(text: Column) -> Column:
     return F.when(F.coalesce(bare, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(bare, " "))
 
 
-def hitting_words(templates=TEMPLATES) -> list[str]:
-    """Few words such that every template shingle holds one of them. Greedy; short words, which other texts have too, come last."""
+def anchors(templates=TEMPLATES) -> tuple[list[str], list[str]]:
+    """Few long words that most template shingles hold (greedy), and the shingles without a long word, as phrases."""
     open_ = {tuple(w[i: i + WIDTH]) for _, t in templates for w in [plain(t)] for i in range(len(w) - WIDTH + 1)}
     chosen = []
-    while open_:
-        best = max({w for s in open_ for w in s}, key=lambda w: (len(w) > 5, sum(w in s for s in open_), len(w), w))
+    while words := {w for s in open_ for w in s if len(w) > 5}:
+        best = max(words, key=lambda w: (sum(w in s for s in open_), len(w), w))
         chosen.append(best)
         open_ = {s for s in open_ if best not in s}
-    return sorted(chosen)
+    return sorted(chosen), sorted(" ".join(s) for s in open_)
+
+
+def anchor_pattern(words: list[str], phrases: list[str]) -> str:
+    """Matches every lower-case text that holds an anchor; between the words of a phrase stand signs and spaces."""
+    gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return f"(?<![a-z0-9])(?:{'|'.join([*words, *[p.replace(' ', gap) for p in phrases]])})(?![a-z0-9])"
 
 
 def shingles(words: Column) -> Column:
@@ -82,11 +90,12 @@ def template_table(spark: SparkSession) -> DataFrame:
     return made.withColumn("t_set", shingles(F.col("words"))).drop("words")
 
 
-def _windows(words: Column, size: int, step: int, anchors: Column) -> Column:
-    """Windows with an anchor word; the last one ends with the text."""
+def _windows(words: Column, size: int, step: int, known: Column, phrases: list[str]) -> Column:
+    """Windows with an anchor; the last one ends with the text."""
     last = F.greatest(F.size(words) - size, F.lit(0))
     starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(step)), F.array(last)))
-    return F.filter(F.transform(starts, lambda s: F.slice(words, s + 1, size)), lambda w: F.arrays_overlap(w, anchors))
+    return F.filter(F.transform(starts, lambda s: F.slice(words, s + 1, size)), lambda w: F.arrays_overlap(w, known) | reduce(
+        lambda a, p: a | F.contains(F.array_join(w, " "), F.lit(p)), phrases, F.lit(False)))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -95,14 +104,14 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     Null, empty and short texts have no license; repeated rows and null ids are kept as they are; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    anchors = hitting_words()
+    words, phrases = anchors()
     text = F.col("text")
-    maybe = F.coalesce(F.lower(text).rlike(f"(?<![a-z0-9])(?:{'|'.join(anchors)})(?![a-z0-9])"), F.lit(False))
+    maybe = F.coalesce(F.lower(text).rlike(anchor_pattern(words, phrases)), F.lit(False))
     found = cut(with_row_key(docs.select("doc_id", F.when(maybe, normal_words(text)).alias("_words"))))
-    listed = F.array(*[F.lit(a) for a in anchors])
+    listed = F.array(*[F.lit(a) for a in words])
 
     def of_class(number: int, size: int, step: int) -> Column:
-        return F.transform(_windows(F.col("_words"), size, step, listed), lambda w: F.struct(F.lit(number).alias("c"), w.alias("w")))
+        return F.transform(_windows(F.col("_words"), size, step, listed, phrases), lambda w: F.struct(F.lit(number).alias("c"), w.alias("w")))
 
     windows = found.filter(F.size("_words") >= WIDTH).select("_rid", F.explode(F.concat(*[of_class(c, size, step) for c, (_, size, step) in enumerate(CLASSES)])).alias("x"))
     sketched = windows.select("_rid", F.col("x.c").alias("t_class"), shingles(F.col("x.w")).alias("w_set")).filter(F.size("w_set") > 0)
