@@ -95,15 +95,21 @@ def _group_name(level: int, *parts: str) -> Column:
 
 
 def _with_groups(rows: DataFrame, least: int) -> DataFrame:
-    """``_group``: language and source; of the rest, those of a language together; of the rest, all. Null where even those are few."""
+    """``_group``: language and source; of the rest, those of a language together; of the rest, all. Null where even those are few.
+
+    Worked out on the table of languages and sources, whose written size lets the planner join it without moving the rows.
+    """
     fine = _group_name(2, "_lang", "_source")
-    for level, name in ((2, fine), (1, _group_name(1, "_lang")), (0, F.lit("0"))):
-        trial = rows.withColumn("_trial", F.when(~F.col("base_failed") & (F.col("_group").isNull() if level < 2 else F.lit(True)), name))
-        size = trial.filter(F.col("_trial").isNotNull()).groupBy("_trial").agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") >= least)
-        found = trial.join(size, "_trial", "left")
-        chosen = F.when(F.col("_size").isNotNull(), F.col("_trial"))
-        rows = found.withColumn("_group", chosen if level == 2 else F.coalesce("_group", chosen)).drop("_trial", "_size")
-    return rows
+    pairs = rows.filter("not base_failed").groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("_n")).withColumn("_fine", fine)
+    small = F.when(F.col("_n") < least, F.col("_n"))
+    of_lang = Window.partitionBy(_group_name(1, "_lang"))
+    pairs = pairs.withColumn("_rest", F.sum(small).over(of_lang))
+    last = F.when((F.col("_n") < least) & (F.col("_rest") < least), F.col("_n"))
+    pairs = pairs.withColumn("_all", F.sum(last).over(Window.partitionBy(F.lit(0))))  # one row per language and source
+    group = (F.when(F.col("_n") >= least, F.col("_fine")).when(F.col("_rest") >= least, _group_name(1, "_lang"))
+             .when(F.col("_all") >= least, F.lit("0")))
+    found = cut(pairs.select("_fine", group.alias("_group")))
+    return (rows.withColumn("_fine", F.when(~F.col("base_failed"), fine)).join(found, "_fine", "left").drop("_fine"))
 
 
 def _pairs() -> list[tuple[int, int]]:
@@ -179,9 +185,8 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = (), cutoff: float = 60.0, sha
     Groups of fewer than ``least`` rows are judged with the rest of their language, then with the rest of all; if these are few
     too, the plain rules decide alone. Ties have one distance and one verdict; repeated rows stay; empty tables give empty results.
     """
-    stats = cut(_with_features(statistics(docs, keep)))
-    rows = cut(_with_groups(stats, least))
-    found = rows.join(robust_shapes(rows, share), "_group", "left")
+    rows = _with_groups(cut(_with_features(statistics(docs, keep))), least)
+    found = rows.join(cut(robust_shapes(rows, share)), "_group", "left")
     d2 = F.col("_d2") / CONSISTENCY
     judged = _distance(found).withColumn("distance2", d2)
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(True))
