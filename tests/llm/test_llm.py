@@ -345,6 +345,33 @@ def test_mixing_keeps_to_the_weights(spark, odd):
     assert ordered.columns == odd.columns and ordered.count() == len(ROWS)
 
 
+@pytest.mark.parametrize("targets", [None, {"big": 0.5, **{f"s{i}": 0.5 / 18 for i in range(18)}, "rare": 0.0001}])
+def test_mixing_keeps_to_the_targets_themselves(spark, targets):
+    sizes = {"big": 3000, **{f"s{i}": 150 + i for i in range(18)}, "rare": 40, "none": 30}
+    rows = spark.createDataFrame([(i, s) for s, n in sizes.items() for i in range(n)], "doc_id long, source string")
+    got = sorted(mixing.mixed(rows, targets, block=1).collect(), key=lambda r: r["position"])
+    assert [r["position"] for r in got] == [r["slot"] for r in got] == list(range(len(got)))
+    assert all(r["release"] <= r["slot"] < r["due"] for r in got)
+    weight = {s: n ** 0.5 for s, n in sizes.items()} if targets is None else {s: targets.get(s, 0) for s in sizes}
+    total, seen = sum(weight.values()), Counter()
+    for t, r in enumerate(got):
+        seen[r["source"]] += 1
+        assert all(abs(seen[s] - w / total * (t + 1)) < 1 + 1e-6 for s, w in weight.items())
+        if seen[r["source"]] == sizes[r["source"]]:
+            break
+    assert t > 1500
+    if targets is not None:
+        assert {r["source"] for r in got[-30:]} == {"none"}
+
+
+def test_schedule_keeps_to_the_targets_however_long():
+    weights = [("a", 10 ** 6, 500_000), ("b", 10 ** 6, 499_900), ("c", 10 ** 6, 100)]
+    seen = Counter()
+    for t, (s, *_) in zip(range(100_000), mixing.schedule(weights, 1)):
+        seen[s] += 1
+        assert all(abs(seen[x] - w / 1_000_000 * (t + 1)) < 1 + 1e-6 for x, _, w in weights)
+
+
 # --- 9 ---------------------------------------------------------------------------------------------------------------
 
 
