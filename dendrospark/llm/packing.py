@@ -4,6 +4,9 @@ A document is tokenised and its token counts are hashed to a vector, projected t
 Hilbert curve is its key. Documents sorted by key form one stream of tokens, which is cut every ``length`` tokens. Where a
 document lies in the stream is a running total over range partitions, so no task sees more than its range, and ties (copies) are
 split by id and row. Only the last sequence is not full.
+
+With a ``stretch`` the mix of sources comes first: the mixed order is cut every ``stretch`` documents, and only within a stretch
+documents follow the curve. So every stretch of sequences holds the sources by their weights.
 """
 
 from __future__ import annotations
@@ -21,10 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dendrospark.llm.common import batches, table, with_row_key
+from dendrospark.llm.mixing import mixed
 from dendrospark.operators.ordering import running_total
 from dendrospark.session import cut
 
 LENGTH = 2048
+STRETCH = 1024  #: documents of the mixed order that the pipeline sorts along the curve
 END = 1  #: id that closes every document
 HASHED, DIMS, BITS = 512, 4, 12
 CACHE = 400_000  #: runs whose ids a task remembers
@@ -128,9 +133,10 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def tokenised(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, _ids`` (16-bit ids), ``_n`` (how many) and ``_key`` (place on the curve) of every row."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("_ids", T.BinaryType()), T.StructField("_n", T.LongType()), T.StructField("_key", T.LongType())])
+def tokenised(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the columns in ``keep``, ``_ids`` (16-bit ids), ``_n`` (how many) and ``_key`` (place on the curve) of every row."""
+    own = ["doc_id", *keep]
+    schema = T.StructType([*[docs.schema[c] for c in own], T.StructField("_ids", T.BinaryType()), T.StructField("_n", T.LongType()), T.StructField("_key", T.LongType())])
 
     def encode(rows):
         encoder, (slot, sign, matrix) = Encoder(path), projection()
@@ -139,13 +145,13 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
             points = [coordinates(np.frombuffer(c, "<u2"), slot, sign, matrix) for c in coded]
             keys = hilbert_keys(np.array(points).reshape(-1, DIMS))
             yield pa.RecordBatch.from_arrays(
-                [part.column(part.schema.get_field_index("doc_id")), pa.array(coded, pa.binary()), pa.array([len(c) // 2 for c in coded], pa.int64()), pa.array(keys, pa.int64())],
-                names=["doc_id", "_ids", "_n", "_key"])
+                [*[part.column(part.schema.get_field_index(c)) for c in own], pa.array(coded, pa.binary()), pa.array([len(c) // 2 for c in coded], pa.int64()), pa.array(keys, pa.int64())],
+                names=[*own, "_ids", "_n", "_key"])
 
-    return docs.select("doc_id", "text").mapInArrow(encode, schema)
+    return docs.select(*own, "text").mapInArrow(encode, schema)
 
 
-def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
+def pack(docs: DataFrame, path: str, length: int = LENGTH, stretch: int | None = None) -> DataFrame:
     """``doc_id, start, length, doc_tokens, sequence_id, offset, ids``: one row per piece of a document in a sequence.
 
     ``ids`` are the piece's tokens as little-endian 32-bit numbers; a sequence is its pieces by ``offset``. Null and empty texts are
@@ -153,9 +159,15 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     """
     if length < 1:
         raise ValueError("sequences hold one token at least")
-    coded = cut(with_row_key(tokenised(docs, path)))
+    coded = cut(with_row_key(tokenised(docs, path, () if stretch is None else ("source",))))
     order = [F.col("_key"), F.col("doc_id"), F.col("_rid")]
-    placed = running_total(coded.select("_key", "doc_id", "_rid", "_n"), order, "_n", "_end").select("_rid", (F.col("_end") - F.col("_n")).alias("_at"))
+    narrow = coded.select("_key", "doc_id", "_rid", "_n")
+    if stretch is not None:
+        # a place in the mix depends on ids and sources only, so it is the one of the mixing stage
+        place = mixed(coded.select("doc_id", "source", "_rid"), keep_row=True)
+        narrow = narrow.join(place.select("_rid", F.expr(f"position div {int(stretch)}").alias("_stretch")), "_rid")
+        order = [F.col("_stretch"), *order]
+    placed = running_total(narrow, order, "_n", "_end").select("_rid", (F.col("_end") - F.col("_n")).alias("_at"))
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")], T.StructField("ids", T.BinaryType())])
 
     def pieces(rows):

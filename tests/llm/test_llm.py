@@ -449,6 +449,19 @@ def test_toxicity_on_held_out_rows(spark, odd):
     assert all(r["predicted"] == 0 for r in some if r["doc_id"] in (3, 4, 5))
 
 
+def test_sequences_keep_the_mix(spark):
+    sizes = {"a": 2000, "b": 600, "c": 600}
+    rows = [(f"{s}{i}", f"{s} {s}{s} only{s} " * 5 + str(i), "en", s) for s, n in sizes.items() for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")
+    mixed_docs = corpus_pipeline.mix_sources(spark, docs, SF)
+    pieces = corpus_pipeline.pack_sequences(spark, mixed_docs, SF).filter("start = 0").orderBy("sequence_id", "offset").collect()
+    assert Counter(p["doc_id"] for p in pieces) == Counter(r[0] for r in rows)
+    total = sum(n ** 0.5 for n in sizes.values())
+    for at in range(0, 2048, packing.STRETCH):
+        seen = Counter(p["doc_id"][0] for p in pieces[: at + packing.STRETCH])
+        assert all(abs(seen[s] - (at + packing.STRETCH) * n ** 0.5 / total) < mixing.BLOCK for s, n in sizes.items())
+
+
 # --- all -------------------------------------------------------------------------------------------------------------
 
 
