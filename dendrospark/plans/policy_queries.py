@@ -12,7 +12,7 @@ from dendrospark.plans import scoring as SC
 from dendrospark.plans.catalog import query
 from dendrospark.plans.derived import with_tables
 from dendrospark.plans.metric_queries import MERGED_NODES, MIN_NODES, brain, merge_edits, scored_sql
-from dendrospark.plans.site_queries import BRANCH_SQL, COMPONENT_SQL
+from dendrospark.plans.site_queries import ALL_SQL, BRANCH_SQL, COMPONENT_SQL
 from dendrospark.session import cut, side_by_side
 
 
@@ -21,10 +21,9 @@ def context(t, voxels=None):
 
 
 def stream(t):
-    """All split sites, and the merge sites of the branch and component detectors; numbered once per session."""
+    """All split sites, and the merge sites of all three detectors; numbered once per session."""
     if not hasattr(t, "_stream"):
-        e = t.frag_edge.select("src", "dst")
-        found = SI.merge_sites_branch(t.frag_node, e).unionByName(SI.merge_sites_component(t.frag_node, e))
+        found = SI.merge_sites(t.frag_node, t.frag_edge.select("src", "dst"))
         split = SI.split_sites(t.frag_node, t.frag_edge, 15.0, max_sites=None)
         t._stream = cut(P.number_sites(SI.site_stream(split, found)))
     return t._stream
@@ -69,6 +68,15 @@ def _(t):
     union all select label, cut_node, seed_a_node, seed_b_node, branch_degree, angle_deg, radius_ratio, cable_a_um, cable_b_um, detector from component_site"""}, body="""
   select label, seed_a_node, seed_b_node from found where cable_a_um >= 12 and cable_b_um >= 12
     and (detector = 'component' or (angle_deg <= 130 and (radius_ratio >= 1.5 or branch_degree >= 4)))"""))
+def _(t):
+    # its SQL has no bridge sites; d4_policy_merge_cut_all has them
+    e = P.policy_merge_cut(stream(t).filter(F.coalesce("detector", F.lit("")) != "bridge"), context(t))
+    return e.select("label", F.col("seeds")[0]["node"].alias("seed_a_node"), F.col("seeds")[1]["node"].alias("seed_b_node"))
+
+
+@query("d4_policy_merge_cut_all", with_tables("frag_deg", recursive=True, extra=ALL_SQL, body="""
+  select label, seed_a_node, seed_b_node from found where cable_a_um >= 12 and cable_b_um >= 12
+    and (detector = 'component' or (angle_deg <= 130 and (radius_ratio >= 1.5 or branch_degree >= 4)))"""))
 def _(t):
     e = P.policy_merge_cut(stream(t), context(t))
     return e.select("label", F.col("seeds")[0]["node"].alias("seed_a_node"), F.col("seeds")[1]["node"].alias("seed_b_node"))

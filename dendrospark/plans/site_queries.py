@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from dendrospark.operators import graph as G
@@ -155,6 +157,48 @@ def _(t):
     return SI.site_counts(SI.site_stream(SI.split_sites(t.frag_node, t.frag_edge, 15.0, max_sites=None), found))
 
 
+# --- all three detectors; the three queries above are held to SQL without the bridge detector -------------------------
+
+# the bridge tables on the fragment graph, under names of their own
+_BRIDGE_SQL = {
+    (f"neck_{k}" if k in ("arms", "ends", "ranked") else k): re.sub(r"\b(arms|ends|ranked)\b", r"neck_\1", sql.replace("kink_", "frag_"))
+    for k, sql in _KINK.items() if k not in ("kink_sym", "kink_deg")}
+ALL_SQL = {**BRANCH_SQL, **COMPONENT_SQL, **_BRIDGE_SQL, "found": " union all ".join(
+    f"""select label, cut_node, seed_a_node, seed_b_node, branch_degree, angle_deg, radius_ratio, cable_a_um, cable_b_um, detector
+  from {site}""" for site in ("branch_site", "component_site", "bridge_site"))}
+
+
+def _all_sites(t):
+    return SI.merge_sites(t.frag_node, t.frag_edge.select("src", "dst"))
+
+
+def _all_stream(t):
+    return SI.site_stream(SI.split_sites(t.frag_node, t.frag_edge, 15.0, max_sites=None), _all_sites(t))
+
+
+@query("w2_cap_sites_all", with_tables("frag_deg", recursive=True, extra={**ALL_SQL, "per_label": """
+    select *, row_number() over (partition by label order by round(least(cable_a_um, cable_b_um), 6) desc, cut_node, seed_b_node, detector) as rn
+    from found"""}, body=f"""
+  {_ROUNDED} from (select * from per_label where rn <= 2
+    order by round(least(cable_a_um, cable_b_um), 6) desc, cut_node, seed_b_node, detector limit 50)"""))
+def _(t):
+    return _rounded(SI.cap_sites(_all_sites(t), max_per_label=2, max_sites=50))
+
+
+@query("u1_site_stream_all", with_tables("frag_deg", "split_site", recursive=True, extra=ALL_SQL, body="""
+  select 'merge' as kind, label as key, cut_node as node, detector from found
+  union all select 'split', label_a, node_a, null from split_site"""))
+def _(t):
+    return _all_stream(t).select("kind", F.coalesce("label", "label_a").alias("key"), F.coalesce("cut_node", "node_a").alias("node"), "detector")
+
+
+@query("a34_site_counts_all", with_tables("frag_deg", "split_site", recursive=True, extra=ALL_SQL, body="""
+  select 'merge' as kind, detector, count(*) as n from found group by detector
+  union all select 'split', '', count(*) from split_site"""))
+def _(t):
+    return SI.site_counts(_all_stream(t))
+
+
 @query("g5_suppress_necks", with_tables("kink_edge", recursive=True, extra=_KINK, body="select cut_node as node_id from bridge_site"))
 def _(t):
     # all necks found with no separation, then suppressed on their own
