@@ -72,6 +72,17 @@ def _(t):
     return E.split_seeds(edits).select("label", "seed_idx", "suffix")
 
 
+@query("e2_suffix_collisions_all")
+def _(t):
+    """Every node of every label as an edit that wants a and b, past z too; checked against a plain fold in the tests."""
+    def seed(suffix):
+        return F.struct(F.lit(suffix).alias("suffix"), *[F.col(c).cast("double").alias(c) for c in "xyz"], F.col("node_id").alias("node"))
+
+    edits = t.frag_node.select(F.lit("c").alias("candidate_id"), F.col("ord").alias("edit_seq"), F.lit(E.SPLIT).alias("kind"),
+                               F.col("neuron").alias("label"), F.array(seed("a"), seed("b")).cast(E.SEED_TYPE).alias("seeds"))
+    return E.split_seeds(edits).select("label", "seed_idx", "suffix")
+
+
 _CLS = {k: MERGED_NODES[k] for k in ("cand", "near", "grow0", "cls")}
 
 
