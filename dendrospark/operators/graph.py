@@ -119,26 +119,27 @@ def connected_components(nodes: DataFrame, edges: DataFrame, by: Sequence[str] =
 # --- reach and tangents ---------------------------------------------------------------------------------------------
 
 
-def reach(starts: DataFrame, sym: DataFrame, radius: float) -> DataFrame:
+def reach(starts: DataFrame, sym: DataFrame, radius: float, by: Sequence[str] = ()) -> DataFrame:
     """Nodes within path length ``radius`` of each start: ``start, node_id, dist``.
 
     ``sym`` is the symmetric edge view with ``length``. The frontier carries only
     improved distances, and the loop ends when none is left, at the latest after
     radius / shortest edge rounds.
     """
-    step = sym.select(F.col("src").alias("node_id"), F.col("dst").alias("_next"), "length")
-    seen = cut(starts.select(F.col("node_id").alias("start"), "node_id", F.lit(0.0).alias("dist")).distinct())
+    by = list(by)
+    step = sym.select(*by, F.col("src").alias("node_id"), F.col("dst").alias("_next"), "length")
+    seen = cut(starts.select(*by, F.col("node_id").alias("start"), "node_id", F.lit(0.0).alias("dist")).distinct())
     frontier = seen
     while True:
-        onward = frontier.join(step, "node_id").select(
-            "start", F.col("_next").alias("node_id"), (F.col("dist") + F.col("length")).alias("_new"))
-        onward = onward.filter(F.col("_new") <= radius).groupBy("start", "node_id").agg(F.min("_new").alias("_new"))
-        better = onward.join(seen, ["start", "node_id"], "left").filter(
+        onward = frontier.join(step, [*by, "node_id"]).select(
+            *by, "start", F.col("_next").alias("node_id"), (F.col("dist") + F.col("length")).alias("_new"))
+        onward = onward.filter(F.col("_new") <= radius).groupBy(*by, "start", "node_id").agg(F.min("_new").alias("_new"))
+        better = onward.join(seen, [*by, "start", "node_id"], "left").filter(
             F.col("dist").isNull() | (F.col("_new") < F.col("dist")))
-        frontier = cut(better.select("start", "node_id", F.col("_new").alias("dist")))
+        frontier = cut(better.select(*by, "start", "node_id", F.col("_new").alias("dist")))
         if is_empty(frontier):
             return seen
-        seen = cut(seen.unionByName(frontier).groupBy("start", "node_id").agg(F.min("dist").alias("dist")))
+        seen = cut(seen.unionByName(frontier).groupBy(*by, "start", "node_id").agg(F.min("dist").alias("dist")))
 
 
 def _normalised(prefix: str, eps: float = 1e-9) -> dict[str, Column]:
@@ -146,34 +147,34 @@ def _normalised(prefix: str, eps: float = 1e-9) -> dict[str, Column]:
     return {f"t{c}": F.when(norm > eps, F.col(f"{prefix}{c}") / norm) for c in XYZ}
 
 
-def tip_tangent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def tip_tangent(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Unit vector from the only neighbour to each tip (NULL when they coincide)."""
-    tips = degrees(nodes, edges).filter(F.col("degree") == 1).select("node_id", *XYZ)
-    near = symmetric(edges).select(F.col("src").alias("node_id"), F.col("dst").alias("_n"))
-    other = nodes.select(F.col("node_id").alias("_n"), *[F.col(c).alias(f"_n{c}") for c in XYZ])
-    diff = tips.join(near, "node_id").join(other, "_n").withColumns({f"_d{c}": F.col(c) - F.col(f"_n{c}") for c in XYZ})
-    return diff.withColumns(_normalised("_d")).select("node_id", *[f"t{c}" for c in XYZ])
+    tips = degrees(nodes, edges, by).filter(F.col("degree") == 1).select(*by, "node_id", *XYZ)
+    near = symmetric(edges, by).select(*by, F.col("src").alias("node_id"), F.col("dst").alias("_n"))
+    other = nodes.select(*by, F.col("node_id").alias("_n"), *[F.col(c).alias(f"_n{c}") for c in XYZ])
+    diff = tips.join(near, [*by, "node_id"]).join(other, [*by, "_n"]).withColumns({f"_d{c}": F.col(c) - F.col(f"_n{c}") for c in XYZ})
+    return diff.withColumns(_normalised("_d")).select(*by, "node_id", *[f"t{c}" for c in XYZ])
 
 
-def mean_tangent(nodes: DataFrame, reached: DataFrame, inward: bool = False) -> DataFrame:
+def mean_tangent(nodes: DataFrame, reached: DataFrame, inward: bool = False, by: Sequence[str] = ()) -> DataFrame:
     """Mean of the unit displacements from a start to the nodes in its reach, re-normalised.
 
     The mean points into the fragment; ``inward=False`` turns it outward.
     """
-    at = nodes.select("node_id", *XYZ)
-    start = at.select(F.col("node_id").alias("start"), *[F.col(c).alias(f"_s{c}") for c in XYZ])
-    unit = reached.filter(F.col("start") != F.col("node_id")).join(at, "node_id").join(start, "start").withColumns(
+    at = nodes.select(*by, "node_id", *XYZ)
+    start = at.select(*by, F.col("node_id").alias("start"), *[F.col(c).alias(f"_s{c}") for c in XYZ])
+    unit = reached.filter(F.col("start") != F.col("node_id")).join(at, [*by, "node_id"]).join(start, [*by, "start"]).withColumns(
         {f"_d{c}": F.col(c) - F.col(f"_s{c}") for c in XYZ}).withColumns(_normalised("_d"))
-    total = unit.groupBy("start").agg(*[F.sum(f"t{c}").alias(f"_m{c}") for c in XYZ])
+    total = unit.groupBy(*by, "start").agg(*[F.sum(f"t{c}").alias(f"_m{c}") for c in XYZ])
     sign = 1.0 if inward else -1.0
     return total.withColumns(_normalised("_m")).select(
-        F.col("start").alias("node_id"), *[(F.col(f"t{c}") * sign).alias(f"t{c}") for c in XYZ])
+        *by, F.col("start").alias("node_id"), *[(F.col(f"t{c}") * sign).alias(f"t{c}") for c in XYZ])
 
 
-def radius_variance(nodes: DataFrame, reached: DataFrame) -> DataFrame:
+def radius_variance(nodes: DataFrame, reached: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Population variance of the positive radii in the reach of each start."""
-    r = nodes.select("node_id", F.when(F.col("radius") > 0, F.col("radius").cast("double")).alias("_r"))
-    return reached.join(r, "node_id").groupBy(F.col("start").alias("node_id")).agg(
+    r = nodes.select(*by, "node_id", F.when(F.col("radius") > 0, F.col("radius").cast("double")).alias("_r"))
+    return reached.join(r, [*by, "node_id"]).groupBy(*by, F.col("start").alias("node_id")).agg(
         F.var_pop("_r").alias("radius_variance"), F.count("_r").alias("n_nodes"))
 
 
@@ -184,14 +185,14 @@ def run_length(edges_with_length: DataFrame, keys: Sequence[str]) -> DataFrame:
     return edges_with_length.groupBy(*keys).agg(F.sum("length").alias("run_length"), F.count(F.lit(1)).alias("n_edges"))
 
 
-def drop_short(nodes: DataFrame, edges: DataFrame, min_um: float) -> tuple[DataFrame, DataFrame]:
+def drop_short(nodes: DataFrame, edges: DataFrame, min_um: float, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Keep the components whose cable reaches ``min_um``."""
-    marked = cut(connected_components(nodes, edges))
-    comp = marked.select(F.col("node_id").alias("src"), "component")
-    lengths = edge_length(edges, nodes).join(comp, "src")
-    long_enough = lengths.groupBy("component").agg(F.sum("length").alias("_l")).filter(F.col("_l") >= min_um)
-    kept = marked.join(long_enough.select("component"), "component", "left_semi")
-    return kept, edges.join(kept.select(F.col("node_id").alias("src")), "src", "left_semi")
+    marked = cut(connected_components(nodes, edges, by))
+    comp = marked.select(*by, F.col("node_id").alias("src"), "component")
+    lengths = edge_length(edges, nodes, by).join(comp, [*by, "src"])
+    long_enough = lengths.groupBy(*by, "component").agg(F.sum("length").alias("_l")).filter(F.col("_l") >= min_um)
+    kept = marked.join(long_enough.select(*by, "component"), [*by, "component"], "left_semi")
+    return kept, edges.join(kept.select(*by, F.col("node_id").alias("src")), [*by, "src"], "left_semi")
 
 
 def sample_node(nodes: DataFrame, seed: int = 0, id_col: str = "node_id") -> DataFrame:

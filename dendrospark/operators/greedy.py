@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dendrospark.operators.graph import component_map
@@ -18,7 +18,7 @@ from dendrospark.session import cut, is_empty
 _CELL = ("_gx", "_gy", "_gz")
 
 
-def suppress(points: DataFrame, order: Sequence[Column], separation: float, id_col: str = "node_id") -> DataFrame:
+def suppress(points: DataFrame, order: Sequence[Column], separation: float, id_col: str = "node_id", by: Sequence[str] = ()) -> DataFrame:
     """Best-first suppression: keep a point unless a kept, better one is closer than ``separation``.
 
     Cells are so small that two points of one cell always conflict. A round looks
@@ -26,7 +26,7 @@ def suppress(points: DataFrame, order: Sequence[Column], separation: float, id_c
     in reach it is kept, and the live points near it go. So a crowded place costs
     one aggregate, never its pairs.
     """
-    size = separation / math.sqrt(3.0)
+    by, size = list(by), separation / math.sqrt(3.0)
     live = points.withColumns({
         **{c: F.floor(F.col(v) / F.lit(size)) for c, v in zip(_CELL, ("x", "y", "z"))},
         "_rank": F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(id_col).alias("oid")),
@@ -34,18 +34,18 @@ def suppress(points: DataFrame, order: Sequence[Column], separation: float, id_c
     live = cut(live)
     kept: DataFrame | None = None
     while True:
-        leaders = live.groupBy(*_CELL).agg(F.min("_rank").alias("_rank"))
-        around = _in_reach(leaders, [F.col("_rank").alias("_mine")])
-        beaten = around.join(leaders, list(_CELL)).filter(F.col("_rank") < F.col("_mine")).select(
-            F.col("_mine").alias("_rank")).distinct()
-        winners = cut(live.join(leaders.join(beaten, "_rank", "left_anti").select("_rank"), "_rank", "left_semi"))
+        leaders = live.groupBy(*by, *_CELL).agg(F.min("_rank").alias("_rank"))
+        around = _in_reach(leaders, [*by, F.col("_rank").alias("_mine")])
+        beaten = around.join(leaders, [*by, *_CELL]).filter(F.col("_rank") < F.col("_mine")).select(
+            *by, F.col("_mine").alias("_rank")).distinct()
+        winners = cut(live.join(leaders.join(beaten, [*by, "_rank"], "left_anti").select(*by, "_rank"), [*by, "_rank"], "left_semi"))
         kept = winners if kept is None else kept.unionByName(winners)
-        centre = _in_reach(winners, [F.col(c).alias(f"_w{c}") for c in ("x", "y", "z")])
+        centre = _in_reach(winners, [*by, *[F.col(c).alias(f"_w{c}") for c in ("x", "y", "z")]])
         d2 = ((F.col("x") - F.col("_wx")) * (F.col("x") - F.col("_wx"))
               + (F.col("y") - F.col("_wy")) * (F.col("y") - F.col("_wy"))
               + (F.col("z") - F.col("_wz")) * (F.col("z") - F.col("_wz")))
-        gone = live.join(centre, list(_CELL)).filter(d2 < separation * separation).select(id_col).distinct()
-        live = cut(live.join(gone, id_col, "left_anti"))
+        gone = live.join(centre, [*by, *_CELL]).filter(d2 < separation * separation).select(*by, id_col).distinct()
+        live = cut(live.join(gone, [*by, id_col], "left_anti"))
         if is_empty(live):
             return kept.drop(*_CELL, "_rank")
 
@@ -85,21 +85,29 @@ def greedy_matching(edges: DataFrame, order: Sequence[Column], a: str = "a", b:
 
 
 def edit_budget(edits: DataFrame, confidence: str, budget: int, id_col: str = "edge_id", a: str = "label_a",
-                b: str = "label_b") -> DataFrame:
-    """The ``budget`` most confident edits, at most one per label."""
-    chosen = greedy_matching(edits, [-F.col(confidence)], a, b, id_col)
-    return chosen.orderBy(F.col(confidence).desc(), id_col).limit(budget)
+                b: str = "label_b", by: Sequence[str] = ()) -> DataFrame:
+    """The ``budget`` most confident edits (of each ``by``), at most one per label."""
+    chosen = greedy_matching(edits, [-F.col(confidence)], a, b, id_col, by)
+    return _best_few(chosen, [F.col(confidence).desc(), F.col(id_col)], budget, by)
+
+
+def _best_few(rows: DataFrame, order: Sequence[Column], k: int, by: Sequence[str]) -> DataFrame:
+    """The first ``k`` rows of each ``by``, or of all."""
+    if not by:
+        return rows.orderBy(*order).limit(k)
+    return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_place") <= k).drop("_place")
 
 
 def label_cap(edits: DataFrame, stream_order: Sequence[Column], id_col: str = "edge_id", a: str = "label_a",
-              b: str = "label_b") -> DataFrame:
+              b: str = "label_b", by: Sequence[str] = ()) -> DataFrame:
     """First come, first served in stream order, at most one edit per label on either side."""
-    return greedy_matching(edits, stream_order, a, b, id_col)
+    return greedy_matching(edits, stream_order, a, b, id_col, by)
 
 
-def pick_spread(points: DataFrame, order: Sequence[Column], k: int, separation: float, id_col: str = "node_id") -> DataFrame:
-    """The first ``k`` points in order that keep ``separation`` from those picked before."""
-    return suppress(points, order, separation, id_col).orderBy(*order, id_col).limit(k)
+def pick_spread(points: DataFrame, order: Sequence[Column], k: int, separation: float, id_col: str = "node_id",
+                by: Sequence[str] = ()) -> DataFrame:
+    """The first ``k`` points in order (of each ``by``) that keep ``separation`` from those picked before."""
+    return _best_few(suppress(points, order, separation, id_col, by), [*order, F.col(id_col)], k, by)
 
 
 def spanning_forest(edges: DataFrame, order: Sequence[Column], a: str = "a", b: str = "b", id_col: str = "edge_id") -> DataFrame:

@@ -81,10 +81,9 @@ def split_counts(incidence: DataFrame, neurons: DataFrame | None = None, by: Seq
 
 
 def merge_segments(incidence: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Labels on two or more neurons, with the neurons and merges = neurons - 1."""
-    return incidence.groupBy(*by, "label").agg(
-        F.array_sort(F.collect_set("neuron")).alias("neurons"), (F.count(F.lit(1)) - 1).alias("n_merges")).filter(
-        F.col("n_merges") >= 1)
+    """Labels on two or more neurons: a row per neuron with merges = neurons - 1, so that no label gathers its neurons."""
+    spread = incidence.groupBy(*by, "label").agg((F.count(F.lit(1)) - 1).alias("n_merges")).filter(F.col("n_merges") >= 1)
+    return incidence.select(*by, "label", "neuron").join(spread, [*by, "label"])
 
 
 def supported(min_nodes: int, strict: bool = True) -> Column:
@@ -103,26 +102,30 @@ def merged_edges(edges: DataFrame, merged: DataFrame, by: Sequence[str] = ()) ->
     return same.join(merged.select(*by, F.col("label").alias("label_src")), [*by, "label_src"], "left_semi")
 
 
-def merge_targets(nodes: DataFrame, label: str = "label", min_nodes: int = 50, max_sites: int = 5) -> DataFrame:
-    """Merge labels with the neurons involved, their node counts and up to ``max_sites`` centroids.
+def merge_targets(nodes: DataFrame, label: str = "label", min_nodes: int = 50, max_sites: int = 5, by: Sequence[str] = ()) -> DataFrame:
+    """Merge labels with up to ``max_sites`` centroids of their neurons.
 
-    One row per label: ``neurons`` by node count descending, ``node_counts`` as a
-    map, ``sites`` as structs. ``n_neurons`` counts all, also beyond the sites.
+    One row per label: ``sites`` as structs, by node count descending. ``n_neurons`` and ``n_nodes`` count all
+    neurons, also beyond the sites; ``target_neurons`` lists them as rows.
     """
+    per = target_neurons(nodes, label, min_nodes, by)
+    row = F.struct("place", "neuron", *[F.col(f"c{c}").alias(c) for c in "xyz"], "n_nodes")
+    # ranked before they are gathered: a label hands on ``max_sites`` rows at most
+    listed = per.filter(F.col("place") <= max_sites).groupBy(*by, "label").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    total = per.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n_neurons"), F.sum("n_nodes").alias("n_nodes"))
+    return total.join(listed, [*by, "label"]).select(
+        *by, "label", "n_neurons", "n_nodes", F.transform("_rows", lambda r: r.dropFields("place")).alias("sites"))
+
+
+def target_neurons(nodes: DataFrame, label: str = "label", min_nodes: int = 50, by: Sequence[str] = ()) -> DataFrame:
+    """Neurons of the merge labels: ``label, neuron, n_nodes, cx, cy, cz`` and ``place`` by node count descending."""
     known = nodes.filter(F.col(label) != "0")
-    per = known.groupBy(F.col(label).alias("label"), "neuron").agg(
+    per = known.groupBy(*by, F.col(label).alias("label"), "neuron").agg(
         F.count(F.lit(1)).alias("n_nodes"), *[F.round(F.avg(c), 2).alias(f"c{c}") for c in "xyz"])
-    per = per.filter(supported(min_nodes))
-    row = F.struct((-F.col("n_nodes")).alias("neg"), "neuron", "n_nodes", "cx", "cy", "cz")
-    # one element per neuron of the label, not per node
-    gathered = per.groupBy("label").agg(F.array_sort(F.collect_list(row)).alias("_rows"), F.count(F.lit(1)).alias("n_neurons"),
-                                        F.sum("n_nodes").alias("n_nodes")).filter(F.col("n_neurons") >= 2)
-    return gathered.select(
-        "label", "n_neurons", "n_nodes", F.col("_rows.neuron").alias("neurons"),
-        F.map_from_entries(F.transform("_rows", lambda r: F.struct(r["neuron"], r["n_nodes"]))).alias("node_counts"),
-        F.transform(F.slice("_rows", 1, max_sites), lambda r: F.struct(
-            r["neuron"].alias("neuron"), r["cx"].alias("x"), r["cy"].alias("y"), r["cz"].alias("z"),
-            r["n_nodes"].alias("n_nodes"))).alias("sites"))
+    per = cut(per.filter(supported(min_nodes)))
+    shared = per.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= 2)
+    order = Window.partitionBy(*by, "label").orderBy(F.desc("n_nodes"), "neuron")
+    return per.join(shared.drop("_n"), [*by, "label"]).withColumn("place", F.row_number().over(order))
 
 
 def edge_accuracy() -> Column:

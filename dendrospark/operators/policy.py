@@ -32,15 +32,16 @@ class Context:
     frag_edge: DataFrame
     voxels: DataFrame | None = None  # z, y, x, value
     anisotropy: tuple[float, float, float] = (1.0, 1.0, 1.0)
+    by: Sequence[str] = ()  # columns that tell brains apart, in all tables and in the sites
 
 
 Policy = Callable[[DataFrame, Context], DataFrame]
 
 
-def number_sites(stream: DataFrame) -> DataFrame:
+def number_sites(stream: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Stream order as ``site_seq``: split sites by gap, then merge sites by the shorter arm."""
     order = [F.col("kind").desc(), F.col("gap_um").asc_nulls_last(), F.least("cable_a_um", "cable_b_um").desc(),
-             F.coalesce("node_a", "cut_node"), F.coalesce("node_b", "seed_b_node")]
+             F.coalesce("node_a", "cut_node"), F.coalesce("node_b", "seed_b_node"), *[F.col(c) for c in by]]
     return global_rank(stream, order, "site_seq")
 
 
@@ -48,32 +49,32 @@ def _split_sites(sites: DataFrame, max_gap: float) -> DataFrame:
     return sites.filter((F.col("kind") == "split") & (F.col("gap_um") <= max_gap) & (F.col("label_a") != F.col("label_b")))
 
 
-def as_merge_edits(sites: DataFrame) -> DataFrame:
-    return sites.select(F.col("site_seq").alias("edit_seq"), F.lit(E.MERGE).alias("kind"), "label_a", "label_b",
+def as_merge_edits(sites: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return sites.select(*by, F.col("site_seq").alias("edit_seq"), F.lit(E.MERGE).alias("kind"), "label_a", "label_b",
                         F.lit(None).cast("string").alias("label"), F.lit(None).cast(E.SEED_TYPE).alias("seeds"))
 
 
-def as_split_edits(sites: DataFrame) -> DataFrame:
+def as_split_edits(sites: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     def seed(tag):
         return F.struct(F.lit(tag).alias("suffix"), *[F.col(f"seed_{tag}_{c}").cast("double").alias(c) for c in XYZ],
                         F.col(f"seed_{tag}_node").alias("node"))
 
-    return sites.select(F.col("site_seq").alias("edit_seq"), F.lit(E.SPLIT).alias("kind"), F.lit(None).cast("string").alias("label_a"),
+    return sites.select(*by, F.col("site_seq").alias("edit_seq"), F.lit(E.SPLIT).alias("kind"), F.lit(None).cast("string").alias("label_a"),
                         F.lit(None).cast("string").alias("label_b"), "label", F.array(seed("a"), seed("b")).cast(E.SEED_TYPE).alias("seeds"))
 
 
 def _site_tangents(sites: DataFrame, ctx: Context, radius: float, inward: bool) -> DataFrame:
     """Sites with the neighbourhood tangent at both ends as ``ta*``, ``tb*``."""
-    ends = sites.select(F.explode(F.array("node_a", "node_b")).alias("node_id")).distinct()
-    sym = cut(symmetric(edge_length(ctx.frag_edge.select("src", "dst"), ctx.frag_node), carry=["length"]))
-    tangent = cut(mean_tangent(ctx.frag_node, reach(ends, sym, radius), inward))
-    return _attach_tangents(sites, tangent)
+    ends = sites.select(*ctx.by, F.explode(F.array("node_a", "node_b")).alias("node_id")).distinct()
+    sym = cut(symmetric(edge_length(ctx.frag_edge.select(*ctx.by, "src", "dst"), ctx.frag_node, ctx.by), ctx.by, carry=["length"]))
+    tangent = cut(mean_tangent(ctx.frag_node, reach(ends, sym, radius, ctx.by), inward, ctx.by))
+    return _attach_tangents(sites, tangent, ctx.by)
 
 
-def _attach_tangents(sites: DataFrame, tangent: DataFrame) -> DataFrame:
+def _attach_tangents(sites: DataFrame, tangent: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     for tag in ("a", "b"):
-        sites = sites.join(tangent.select(F.col("node_id").alias(f"node_{tag}"), *[F.col(f"t{c}").alias(f"t{tag}{c}") for c in XYZ]),
-                           f"node_{tag}", "left")
+        sites = sites.join(tangent.select(*by, F.col("node_id").alias(f"node_{tag}"), *[F.col(f"t{c}").alias(f"t{tag}{c}") for c in XYZ]),
+                           [*by, f"node_{tag}"], "left")
     return sites
 
 
@@ -83,8 +84,8 @@ def _clipped_angle(cosine: Column) -> Column:
 
 def _site_radii(sites: DataFrame, ctx: Context) -> DataFrame:
     for tag in ("a", "b"):
-        sites = sites.join(ctx.frag_node.select(F.col("node_id").alias(f"node_{tag}"), F.col("radius").cast("double").alias(f"radius_{tag}")),
-                           f"node_{tag}", "left")
+        sites = sites.join(ctx.frag_node.select(*ctx.by, F.col("node_id").alias(f"node_{tag}"), F.col("radius").cast("double").alias(f"radius_{tag}")),
+                           [*ctx.by, f"node_{tag}"], "left")
     return sites
 
 
@@ -93,13 +94,13 @@ def _site_radii(sites: DataFrame, ctx: Context) -> DataFrame:
 
 def policy_noop(sites: DataFrame, ctx: Context) -> DataFrame:
     """No edits."""
-    return as_merge_edits(sites.filter(F.lit(False)))
+    return as_merge_edits(sites.filter(F.lit(False)), ctx.by)
 
 
 def policy_tangent(sites: DataFrame, ctx: Context, max_gap: float = 4.0, radius: float = 12.0, max_angle: float = 35.0) -> DataFrame:
     """Small gap and outward tangents that point at each other."""
     s = _site_tangents(cut(_split_sites(sites, max_gap)), ctx, radius, inward=False)
-    return as_merge_edits(s.filter(_clipped_angle(-dot("ta", "tb")) <= max_angle))
+    return as_merge_edits(s.filter(_clipped_angle(-dot("ta", "tb")) <= max_angle), ctx.by)
 
 
 def policy_merge_cut(sites: DataFrame, ctx: Context, min_arm: float = 12.0, max_angle: float = 130.0, min_ratio: float = 1.5,
@@ -115,7 +116,7 @@ def policy_merge_cut(sites: DataFrame, ctx: Context, min_arm: float = 12.0, max_
         valley = V.merge_cut_evidence(seeds, ctx.voxels, ctx.anisotropy).filter(
             (F.col("valley_ratio") <= max_valley) & F.col("valley_pos").between(0.25, 0.75))
         m = m.join(valley.select(F.col("site").alias("site_seq")), "site_seq", "left_semi")
-    return as_split_edits(m)
+    return as_split_edits(m, ctx.by)
 
 
 def policy_multisignal(sites: DataFrame, ctx: Context, near: float = 3.0, far: float = 6.0, max_angle: float = 50.0,
@@ -139,7 +140,7 @@ def policy_multisignal(sites: DataFrame, ctx: Context, near: float = 3.0, far: f
     picked = s.filter(short | long)
     if max_edits is not None:  # a report limit, in stream order
         picked = global_rank(picked, [F.col("site_seq")], "_place").filter(F.col("_place") <= max_edits).drop("_place")
-    return as_merge_edits(picked)
+    return as_merge_edits(picked, ctx.by)
 
 
 def policy_mutual(sites: DataFrame, ctx: Context, max_gap: float = 3.0, max_ratio: float = 2.0) -> DataFrame:
@@ -148,18 +149,18 @@ def policy_mutual(sites: DataFrame, ctx: Context, max_gap: float = 3.0, max_rati
     Reciprocity is tested on the raw tip pairs; the site stream keeps only one
     direction per label pair.
     """
-    pairs = SI.tip_pairs(ctx.frag_node, ctx.frag_edge, max_gap, tip_to_shaft=False)
+    pairs = SI.tip_pairs(ctx.frag_node, ctx.frag_edge, max_gap, tip_to_shaft=False, by=ctx.by)
     ratio = radius_ratio(F.col("radius_a"), F.col("radius_b"))
     pairs = _site_radii(pairs, ctx).filter(ratio.isNull() | (ratio <= max_ratio))
-    mutual = SI.mutual_nearest(pairs).select(F.least("label_a", "label_b").alias("_lo"), F.greatest("label_a", "label_b").alias("_hi")).distinct()
+    mutual = SI.mutual_nearest(pairs, ctx.by).select(*ctx.by, F.least("label_a", "label_b").alias("_lo"), F.greatest("label_a", "label_b").alias("_hi")).distinct()
     keyed = _split_sites(sites, max_gap).withColumns({"_lo": F.least("label_a", "label_b"), "_hi": F.greatest("label_a", "label_b")})
-    return as_merge_edits(keyed.join(mutual, ["_lo", "_hi"], "left_semi"))
+    return as_merge_edits(keyed.join(mutual, [*ctx.by, "_lo", "_hi"], "left_semi"), ctx.by)
 
 
 def policy_small_gap(sites: DataFrame, ctx: Context, max_gap: float = 3.0, max_degree: int = 2) -> DataFrame:
     """Small gaps onto a tip or shaft, at most one per label, first come first served."""
     s = _split_sites(sites, max_gap).filter(F.col("degree_b") <= max_degree).withColumn("edge_id", F.col("site_seq"))
-    return as_merge_edits(label_cap(s, [F.col("site_seq")]))
+    return as_merge_edits(label_cap(s, [F.col("site_seq")], by=ctx.by), ctx.by)
 
 
 def confidence(gap: Column, degree_b: Column, cosine: Column, max_gap: float) -> Column:
@@ -173,10 +174,11 @@ def confidence(gap: Column, degree_b: Column, cosine: Column, max_gap: float) ->
 
 def policy_budget(sites: DataFrame, ctx: Context, max_gap: float = 4.0, budget: int = 1, min_confidence: float = 0.55) -> DataFrame:
     """The few most confident reattachments, one per label."""
-    s = _attach_tangents(_split_sites(sites, max_gap), tip_tangent(ctx.frag_node, ctx.frag_edge.select("src", "dst")))
+    tangent = tip_tangent(ctx.frag_node, ctx.frag_edge.select(*ctx.by, "src", "dst"), ctx.by)
+    s = _attach_tangents(_split_sites(sites, max_gap), tangent, ctx.by)
     s = s.withColumns({"confidence": F.round(confidence(F.col("gap_um"), F.col("degree_b"), dot("ta", "tb"), max_gap), 9),
                        "edge_id": F.col("site_seq")}).filter(F.col("confidence") >= min_confidence)
-    return as_merge_edits(edit_budget(s, "confidence", budget))
+    return as_merge_edits(edit_budget(s, "confidence", budget, by=ctx.by), ctx.by)
 
 
 # --- split, gate, tournament ----------------------------------------------------------------------------------------
@@ -247,7 +249,7 @@ def propose(policies: Mapping[str, Policy], sites: DataFrame, ctx: Context) -> D
     """Edits of all policies in one table, ``candidate_id`` = policy name."""
     from dendrospark.plans.scoring import union_all
 
-    return union_all([p(sites, ctx).withColumn("candidate_id", F.lit(name)) for name, p in policies.items()]).select(*E.EDIT_SCHEMA.fieldNames())
+    return union_all([p(sites, ctx).withColumn("candidate_id", F.lit(name)) for name, p in policies.items()]).select(*ctx.by, *E.EDIT_SCHEMA.fieldNames())
 
 
 def tournament(brain, policies: Mapping[str, Policy], sites: DataFrame, ctx: Context, parts: DataFrame, eps: float = 0.0,

@@ -77,31 +77,31 @@ def _first_per(sites: DataFrame, order: list, most: int, by: Sequence[str]) -> D
     return ranked.filter(F.col("_place") <= most).drop("_place")
 
 
-def mutual_nearest(pairs: DataFrame) -> DataFrame:
+def mutual_nearest(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Tip pairs that are each other's nearest partner.
 
     Built on the raw pairs: the per-label-pair choice keeps one direction only,
     so reciprocity cannot be tested after it.
     """
-    first = pairs.groupBy("node_a").agg(F.min(F.struct("d2", "node_b", "label_a", "label_b")).alias("_n")).select(
-        "node_a", "_n.*")
-    back = first.select(F.col("node_b").alias("node_a"), F.col("node_a").alias("node_b"))
-    return first.join(back, ["node_a", "node_b"]).filter(F.col("node_a") < F.col("node_b"))
+    first = pairs.groupBy(*by, "node_a").agg(F.min(F.struct("d2", "node_b", "label_a", "label_b")).alias("_n")).select(
+        *by, "node_a", "_n.*")
+    back = first.select(*by, F.col("node_b").alias("node_a"), F.col("node_a").alias("node_b"))
+    return first.join(back, [*by, "node_a", "node_b"]).filter(F.col("node_a") < F.col("node_b"))
 
 
-def proposals(pairs: DataFrame, k: int = 3) -> DataFrame:
+def proposals(pairs: DataFrame, k: int = 3, by: Sequence[str] = ()) -> DataFrame:
     """At most ``k`` partners per leaf, one per other label, nearest first."""
-    one_each = pairs.groupBy("node_a", "label_b").agg(
-        F.min(F.struct("d2", "node_b", "label_a", "degree_b")).alias("_n")).select("node_a", "label_b", "_n.*")
-    order = Window.partitionBy("node_a").orderBy("d2", "node_b")
+    one_each = pairs.groupBy(*by, "node_a", "label_b").agg(
+        F.min(F.struct("d2", "node_b", "label_a", "degree_b")).alias("_n")).select(*by, "node_a", "label_b", "_n.*")
+    order = Window.partitionBy(*by, "node_a").orderBy("d2", "node_b")
     return one_each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def label_proposals(props: DataFrame, node_to_neuron: DataFrame) -> DataFrame:
+def label_proposals(props: DataFrame, node_to_neuron: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Truth of each proposal: accept, reject or unknown by the neurons of its two ends."""
     for end in ("node_a", "node_b"):
-        props = props.join(node_to_neuron.select(F.col("node_id").alias(end), F.col("neuron").alias(f"neuron_{end}")),
-                           end, "left")
+        props = props.join(node_to_neuron.select(*by, F.col("node_id").alias(end), F.col("neuron").alias(f"neuron_{end}")),
+                           [*by, end], "left")
     same = F.col("neuron_node_a") == F.col("neuron_node_b")
     return props.withColumn("truth", F.when(same, "accept").when(~same, "reject").otherwise("unknown"))
 
@@ -109,27 +109,27 @@ def label_proposals(props: DataFrame, node_to_neuron: DataFrame) -> DataFrame:
 # --- merge sites ----------------------------------------------------------------------------------------------------
 
 
-def _place(sites: DataFrame, frag_node: DataFrame, node: str, prefix: str) -> DataFrame:
-    at = frag_node.select(F.col("node_id").alias(node), *[F.col(c).alias(f"{prefix}_{c}") for c in XYZ])
-    return sites.join(at, node)
+def _place(sites: DataFrame, frag_node: DataFrame, node: str, prefix: str, by: Sequence[str] = ()) -> DataFrame:
+    at = frag_node.select(*by, F.col("node_id").alias(node), *[F.col(c).alias(f"{prefix}_{c}") for c in XYZ])
+    return sites.join(at, [*by, node])
 
 
-def _two_sides(arms: DataFrame) -> DataFrame:
+def _two_sides(arms: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Pivot the two chosen arms (rank 1, 2) of each cut into one row."""
     def pick(rank, col):
         return F.max(F.when(F.col("_rank") == rank, F.col(col)))
 
     aggs = [pick(rank, col).alias(f"{col}_{tag}") for tag, rank in (("a", 1), ("b", 2))
             for col in ("end_node", "seed_node", "cable", "mean_radius")]
-    return arms.groupBy("node_id").agg(*aggs).filter(F.col("cable_b").isNotNull())
+    return arms.groupBy(*by, "node_id").agg(*aggs).filter(F.col("cable_b").isNotNull())
 
 
-def _with_geometry(sides: DataFrame, frag_node: DataFrame) -> DataFrame:
+def _with_geometry(sides: DataFrame, frag_node: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Cut and seed coordinates, and the angle between the two sides at the cut."""
     s = sides.withColumnsRenamed({"node_id": "cut_node", "seed_node_a": "seed_a_node", "seed_node_b": "seed_b_node"})
     for node, prefix in (("cut_node", "cut"), ("seed_a_node", "seed_a"), ("seed_b_node", "seed_b"),
                          ("end_node_a", "end_a"), ("end_node_b", "end_b")):
-        s = _place(s, frag_node, node, prefix)
+        s = _place(s, frag_node, node, prefix, by)
     s = s.withColumns({f"_{t}{c}": (F.col(f"end_{t}_{c}") - F.col(f"cut_{c}")).cast("double") for t in "ab" for c in XYZ})
     return s.withColumns({
         "angle_deg": angle_deg("_a", "_b"),
@@ -137,94 +137,96 @@ def _with_geometry(sides: DataFrame, frag_node: DataFrame) -> DataFrame:
     }).withColumnsRenamed({"cable_a": "cable_a_um", "cable_b": "cable_b_um"})
 
 
-def merge_sites_branch(frag_node: DataFrame, frag_edge: DataFrame, min_arm: float = 10.0, seed_depth: float = 8.0) -> DataFrame:
+def merge_sites_branch(frag_node: DataFrame, frag_edge: DataFrame, min_arm: float = 10.0, seed_depth: float = 8.0,
+                       by: Sequence[str] = ()) -> DataFrame:
     """Nodes of degree 3 or more whose two longest arms both reach ``min_arm``."""
-    known = labelled(degrees(frag_node, frag_edge))
+    known = labelled(degrees(frag_node, frag_edge, by))
     branches = known.filter(F.col("degree") >= 3)
-    arms = walk_arms(frag_node, frag_edge, branches, 3.0 * seed_depth, seed_depth)
+    arms = walk_arms(frag_node, frag_edge, branches, 3.0 * seed_depth, seed_depth, by=by)
     # rounding keeps arms of equal length in neighbour order
-    order = Window.partitionBy("node_id").orderBy(F.round("cable", 6).desc(), "arm")
+    order = Window.partitionBy(*by, "node_id").orderBy(F.round("cable", 6).desc(), "arm")
     top = arms.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= 2)
-    sides = _two_sides(top).filter(F.col("cable_b") >= min_arm)
-    sites = _with_geometry(sides, frag_node).join(
-        branches.select(F.col("node_id").alias("cut_node"), "label", F.col("degree").alias("branch_degree")), "cut_node")
-    return sites.withColumn("detector", F.lit("branch")).select(*MERGE_SITE_COLUMNS)
+    sides = _two_sides(top, by).filter(F.col("cable_b") >= min_arm)
+    sites = _with_geometry(sides, frag_node, by).join(
+        branches.select(*by, F.col("node_id").alias("cut_node"), "label", F.col("degree").alias("branch_degree")), [*by, "cut_node"])
+    return sites.withColumn("detector", F.lit("branch")).select(*by, *MERGE_SITE_COLUMNS)
 
 
 def merge_sites_bridge(frag_node: DataFrame, frag_edge: DataFrame, min_arm: float = 10.0, seed_depth: float = 8.0,
-                       max_angle: float = 120.0, separation: float = 20.0) -> DataFrame:
+                       max_angle: float = 120.0, separation: float = 20.0, by: Sequence[str] = ()) -> DataFrame:
     """Kinked necks: degree 2, both sides long, angle at most ``max_angle``; sharpest first within ``separation``."""
-    known = labelled(degrees(frag_node, frag_edge))
+    known = labelled(degrees(frag_node, frag_edge, by))
     necks = known.filter(F.col("degree") == 2)
-    arms = walk_arms(frag_node, frag_edge, necks, 3.0 * seed_depth, seed_depth, from_neighbour=True)
-    order = Window.partitionBy("node_id").orderBy("arm")
-    both = _two_sides(arms.withColumn("_rank", F.row_number().over(order)))
+    arms = walk_arms(frag_node, frag_edge, necks, 3.0 * seed_depth, seed_depth, from_neighbour=True, by=by)
+    order = Window.partitionBy(*by, "node_id").orderBy("arm")
+    both = _two_sides(arms.withColumn("_rank", F.row_number().over(order)), by)
     both = both.filter((F.col("cable_a") >= min_arm) & (F.col("cable_b") >= min_arm))
-    sites = _with_geometry(both, frag_node).join(
-        necks.select(F.col("node_id").alias("cut_node"), "label"), "cut_node")
+    sites = _with_geometry(both, frag_node, by).join(
+        necks.select(*by, F.col("node_id").alias("cut_node"), "label"), [*by, "cut_node"])
     sites = cut(sites.filter(F.col("angle_deg") <= max_angle))
-    points = sites.select(F.col("cut_node").alias("node_id"), F.round("angle_deg", 6).alias("_a"),
+    points = sites.select(*by, F.col("cut_node").alias("node_id"), F.round("angle_deg", 6).alias("_a"),
                           *[F.col(f"cut_{c}").alias(c) for c in XYZ])
-    kept = suppress(points, [F.col("_a")], separation).select(F.col("node_id").alias("cut_node"))
-    return sites.join(kept, "cut_node", "left_semi").withColumns(
-        {"branch_degree": F.lit(2).cast("bigint"), "detector": F.lit("bridge")}).select(*MERGE_SITE_COLUMNS)
+    kept = suppress(points, [F.col("_a")], separation, by=by).select(*by, F.col("node_id").alias("cut_node"))
+    return sites.join(kept, [*by, "cut_node"], "left_semi").withColumns(
+        {"branch_degree": F.lit(2).cast("bigint"), "detector": F.lit("bridge")}).select(*by, *MERGE_SITE_COLUMNS)
 
 
-def component_sizes(frag_node: DataFrame, frag_edge: DataFrame) -> tuple[DataFrame, DataFrame]:
+def component_sizes(frag_node: DataFrame, frag_edge: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Labelled nodes with their component inside the label, and cable and mean radius per component."""
     nodes = labelled(frag_node)
-    tag = nodes.select("node_id", F.col("label").alias("_l"))
+    tag = nodes.select(*by, "node_id", F.col("label").alias("_l"))
     inside = (
-        edge_length(frag_edge.select("src", "dst"), nodes)
-        .join(tag.withColumnsRenamed({"node_id": "src", "_l": "_ls"}), "src")
-        .join(tag.withColumnsRenamed({"node_id": "dst", "_l": "_ld"}), "dst")
+        edge_length(frag_edge.select(*by, "src", "dst"), nodes, by)
+        .join(tag.withColumnsRenamed({"node_id": "src", "_l": "_ls"}), [*by, "src"])
+        .join(tag.withColumnsRenamed({"node_id": "dst", "_l": "_ld"}), [*by, "dst"])
         .filter(F.col("_ls") == F.col("_ld"))
-        .select("src", "dst", "length"))
-    marked = cut(connected_components(nodes, inside))
-    cable = inside.join(marked.select(F.col("node_id").alias("src"), "component"), "src").groupBy("component").agg(
+        .select(*by, "src", "dst", "length"))
+    marked = cut(connected_components(nodes, inside, by))
+    cable = inside.join(marked.select(*by, F.col("node_id").alias("src"), "component"), [*by, "src"]).groupBy(*by, "component").agg(
         F.sum("length").alias("cable"))
     r = F.col("radius").cast("double")
-    sized = marked.groupBy("label", "component").agg(
+    sized = marked.groupBy(*by, "label", "component").agg(
         F.avg(F.when(r > 0, r)).alias("mean_radius"), F.count(F.lit(1)).alias("n_nodes")).join(
-        cable, "component", "left").withColumn("cable", F.coalesce("cable", F.lit(0.0)))
+        cable, [*by, "component"], "left").withColumn("cable", F.coalesce("cable", F.lit(0.0)))
     return marked, cut(sized)
 
 
-def closest_component_pair(marked: DataFrame, sized: DataFrame, start: float = 20.0) -> DataFrame:
+def closest_component_pair(marked: DataFrame, sized: DataFrame, start: float = 20.0, by: Sequence[str] = ()) -> DataFrame:
     """Per label: the largest component against each other one, at their closest node pair.
 
     Looks from the smaller components to the largest with a growing radius, so
     no pair of far nodes is ever formed.
     """
-    top = sized.groupBy("label").agg(
+    scope = [*by, "label"]
+    top = sized.groupBy(*scope).agg(
         F.max(F.struct(F.round("cable", 6).alias("c"), (-F.col("component")).alias("neg"))).alias("_t"),
         F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= 2)
-    big = top.select("label", (-F.col("_t.neg")).alias("component_a"))
-    ranked = sized.join(big, "label")
+    big = top.select(*scope, (-F.col("_t.neg")).alias("component_a"))
+    ranked = sized.join(big, scope)
     small = ranked.filter(F.col("component") != F.col("component_a")).select(
-        "label", F.col("component"), "component_a")
-    probe = marked.join(small.select("component"), "component")
-    build = marked.join(big.select(F.col("component_a").alias("component")), "component", "left_semi")
-    hit = nearest(probe, as_build(build, by=["label"]), probe_id="node_id", build_id="b_id", radius=start, by=["label"],
+        *scope, F.col("component"), "component_a")
+    probe = marked.join(small.select(*by, "component"), [*by, "component"])
+    build = marked.join(big.select(*by, F.col("component_a").alias("component")), [*by, "component"], "left_semi")
+    hit = nearest(probe, as_build(build, by=scope), probe_id="node_id", build_id="b_id", radius=start, by=scope,
                   bounded=False)
-    pairs = hit.join(probe.select("node_id", "component"), "node_id").groupBy("label", "component").agg(
+    pairs = hit.join(probe.select(*by, "node_id", "component"), [*by, "node_id"]).groupBy(*scope, "component").agg(
         F.min(F.struct("d2", F.col("node_id").alias("node_b"), F.col("b_id").alias("node_a"))).alias("_p"))
-    return pairs.select("label", F.col("component").alias("component_b"), "_p.node_a", "_p.node_b", "_p.d2").join(big, "label")
+    return pairs.select(*scope, F.col("component").alias("component_b"), "_p.node_a", "_p.node_b", "_p.d2").join(big, scope)
 
 
-def merge_sites_component(frag_node: DataFrame, frag_edge: DataFrame, min_arm: float = 10.0) -> DataFrame:
+def merge_sites_component(frag_node: DataFrame, frag_edge: DataFrame, min_arm: float = 10.0, by: Sequence[str] = ()) -> DataFrame:
     """One label over two or more unconnected pieces of at least ``min_arm`` cable."""
-    marked, sized = component_sizes(frag_node, frag_edge)
+    marked, sized = component_sizes(frag_node, frag_edge, by)
     sized = sized.filter(F.col("cable") >= min_arm)
-    pairs = closest_component_pair(marked, sized)
+    pairs = closest_component_pair(marked, sized, by=by)
 
     def info(tag):
-        return sized.select(F.col("component").alias(f"component_{tag}"), F.col("cable").alias(f"cable_{tag}_um"),
+        return sized.select(*by, F.col("component").alias(f"component_{tag}"), F.col("cable").alias(f"cable_{tag}_um"),
                             F.col("mean_radius").alias(f"_r{tag}"))
 
-    s = pairs.join(info("a"), "component_a").join(info("b"), "component_b")
+    s = pairs.join(info("a"), [*by, "component_a"]).join(info("b"), [*by, "component_b"])
     s = s.withColumnsRenamed({"node_a": "seed_a_node", "node_b": "seed_b_node"})
-    s = _place(_place(s, frag_node, "seed_a_node", "seed_a"), frag_node, "seed_b_node", "seed_b")
+    s = _place(_place(s, frag_node, "seed_a_node", "seed_a", by), frag_node, "seed_b_node", "seed_b", by)
     return s.withColumns({
         **{f"cut_{c}": (F.col(f"seed_a_{c}") + F.col(f"seed_b_{c}")) / 2.0 for c in XYZ},
         "cut_node": F.col("seed_a_node"),
@@ -232,7 +234,7 @@ def merge_sites_component(frag_node: DataFrame, frag_edge: DataFrame, min_arm: f
         "angle_deg": F.lit(None).cast("double"),
         "radius_ratio": radius_ratio(F.col("_ra"), F.col("_rb")),
         "detector": F.lit("component"),
-    }).select(*MERGE_SITE_COLUMNS)
+    }).select(*by, *MERGE_SITE_COLUMNS)
 
 
 def cap_sites(sites: DataFrame, max_per_label: int | None = None, max_sites: int | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -245,12 +247,12 @@ def cap_sites(sites: DataFrame, max_per_label: int | None = None, max_sites: int
 
 
 def merge_sites(frag_node: DataFrame, frag_edge: DataFrame, min_arm: float = 10.0, seed_depth: float = 8.0,
-                max_per_label: int | None = None, max_sites: int | None = None) -> DataFrame:
-    """All three detectors; limits per label and overall only if given."""
-    found = merge_sites_branch(frag_node, frag_edge, min_arm, seed_depth)
-    found = found.unionByName(merge_sites_bridge(frag_node, frag_edge, min_arm, seed_depth))
-    found = found.unionByName(merge_sites_component(frag_node, frag_edge, min_arm))
-    return cap_sites(found, max_per_label, max_sites)
+                max_per_label: int | None = None, max_sites: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """All three detectors; limits per label and overall (of each ``by``) only if given."""
+    found = merge_sites_branch(frag_node, frag_edge, min_arm, seed_depth, by)
+    found = found.unionByName(merge_sites_bridge(frag_node, frag_edge, min_arm, seed_depth, by=by))
+    found = found.unionByName(merge_sites_component(frag_node, frag_edge, min_arm, by))
+    return cap_sites(found, max_per_label, max_sites, by)
 
 
 def site_stream(split: DataFrame, merge: DataFrame) -> DataFrame:
@@ -259,8 +261,8 @@ def site_stream(split: DataFrame, merge: DataFrame) -> DataFrame:
         merge.withColumn("kind", F.lit("merge")), allowMissingColumns=True)
 
 
-def site_counts(stream: DataFrame) -> DataFrame:
-    return stream.groupBy("kind", F.coalesce("detector", F.lit("")).alias("detector")).agg(F.count(F.lit(1)).alias("n"))
+def site_counts(stream: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return stream.groupBy(*by, "kind", F.coalesce("detector", F.lit("")).alias("detector")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- severing -------------------------------------------------------------------------------------------------------

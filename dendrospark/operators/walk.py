@@ -45,16 +45,16 @@ def single_steps(directed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         *by, "u", "v", F.col("v").alias("nu"), "nv", "c", "rs", "rc")
 
 
-def step_tables(directed: DataFrame, limit: float) -> list[DataFrame]:
+def step_tables(directed: DataFrame, limit: float, by: Sequence[str] = ()) -> list[DataFrame]:
     """Tables of 2^k steps, as long as some of them stay below ``limit``."""
-    tables = [cut(single_steps(directed))]
+    tables = [cut(single_steps(directed, by))]
     for _ in range(40):
         last = tables[-1].filter(F.col("c") < limit)
         second = last.select(
-            F.col("u").alias("nu"), F.col("v").alias("nv"), F.col("nu").alias("_u"), F.col("nv").alias("_v"),
+            *by, F.col("u").alias("nu"), F.col("v").alias("nv"), F.col("nu").alias("_u"), F.col("nv").alias("_v"),
             F.col("c").alias("_c"), F.col("rs").alias("_rs"), F.col("rc").alias("_rc"))
-        double = last.join(second, ["nu", "nv"]).select(
-            "u", "v", F.col("_u").alias("nu"), F.col("_v").alias("nv"), (F.col("c") + F.col("_c")).alias("c"),
+        double = last.join(second, [*by, "nu", "nv"]).select(
+            *by, "u", "v", F.col("_u").alias("nu"), F.col("_v").alias("nv"), (F.col("c") + F.col("_c")).alias("c"),
             (F.col("rs") + F.col("_rs")).alias("rs"), (F.col("rc") + F.col("_rc")).alias("rc"))
         double = cut(double.filter(F.col("c") < limit))
         if is_empty(double):
@@ -65,13 +65,13 @@ def step_tables(directed: DataFrame, limit: float) -> list[DataFrame]:
     return tables
 
 
-def walk_until(starts: DataFrame, tables: list[DataFrame], limit: float) -> DataFrame:
+def walk_until(starts: DataFrame, tables: list[DataFrame], limit: float, by: Sequence[str] = ()) -> DataFrame:
     """Advance ``u, v, cable, rsum, rcnt``: step while the cable is below ``limit`` and the chain goes on."""
     keep = [c for c in starts.columns if c not in ("u", "v", "cable", "rsum", "rcnt")]
 
     def advance(state: DataFrame, table: DataFrame, below) -> DataFrame:
         go = below
-        return state.join(table, ["u", "v"], "left").select(
+        return state.join(table, [*by, "u", "v"], "left").select(
             *keep,
             F.when(go, F.col("nu")).otherwise(F.col("u")).alias("u"),
             F.when(go, F.col("nv")).otherwise(F.col("v")).alias("v"),
@@ -86,7 +86,7 @@ def walk_until(starts: DataFrame, tables: list[DataFrame], limit: float) -> Data
 
 
 def walk_arms(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_um: float, seed_um: float,
-              from_neighbour: bool = False) -> DataFrame:
+              from_neighbour: bool = False, by: Sequence[str] = ()) -> DataFrame:
     """Arms out of ``starts`` (``node_id``), one row per start and neighbour.
 
     ``from_neighbour=False``: the arm begins at the start, the first edge counts
@@ -94,25 +94,26 @@ def walk_arms(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_um: flo
     The limit is tested before each step, so the cable may overshoot. Returns
     ``node_id, arm, end_node, cable, seed_node, mean_radius``.
     """
-    directed = directed_edges(nodes, edges)
-    tables = step_tables(directed, max_um)
-    arms = directed.join(starts.select(F.col("node_id").alias("u")), "u", "left_semi").withColumns(
+    by = list(by)
+    directed = directed_edges(nodes, edges, by=by)
+    tables = step_tables(directed, max_um, by)
+    arms = directed.join(starts.select(*by, F.col("node_id").alias("u")), [*by, "u"], "left_semi").withColumns(
         {"node_id": F.col("u"), "arm": F.col("v")})
     if from_neighbour:
-        arms = arms.select("node_id", "arm", "u", "v", F.lit(0.0).alias("cable"), "rsum", "rcnt")
+        arms = arms.select(*by, "node_id", "arm", "u", "v", F.lit(0.0).alias("cable"), "rsum", "rcnt")
     else:
         r = F.col("radius").cast("double")
-        own = nodes.select(F.col("node_id").alias("u"), F.when(r > 0, r).otherwise(0.0).alias("_r"),
+        own = nodes.select(*by, F.col("node_id").alias("u"), F.when(r > 0, r).otherwise(0.0).alias("_r"),
                            F.when(r > 0, 1).otherwise(0).alias("_n"))
-        arms = arms.join(own, "u").select(
-            "node_id", "arm", "u", "v", F.col("length").alias("cable"), (F.col("rsum") + F.col("_r")).alias("rsum"),
+        arms = arms.join(own, [*by, "u"]).select(
+            *by, "node_id", "arm", "u", "v", F.col("length").alias("cable"), (F.col("rsum") + F.col("_r")).alias("rsum"),
             (F.col("rcnt") + F.col("_n")).alias("rcnt"))
     arms = cut(arms)
-    ends = walk_until(arms, tables, max_um).select(
-        "node_id", "arm", F.col("v").alias("end_node"), "cable",
+    ends = walk_until(arms, tables, max_um, by).select(
+        *by, "node_id", "arm", F.col("v").alias("end_node"), "cable",
         F.when(F.col("rcnt") > 0, F.col("rsum") / F.col("rcnt")).alias("mean_radius"))
-    seeds = walk_until(arms, tables, seed_um).select("node_id", "arm", F.col("v").alias("seed_node"))
-    return ends.join(seeds, ["node_id", "arm"])
+    seeds = walk_until(arms, tables, seed_um, by).select(*by, "node_id", "arm", F.col("v").alias("seed_node"))
+    return ends.join(seeds, [*by, "node_id", "arm"])
 
 
 def chain_ends(directed: DataFrame, by: Sequence[str] = ()) -> DataFrame:

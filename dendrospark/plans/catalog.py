@@ -45,3 +45,4 @@ def load_all() -> None:
         statistic_queries,
         voxel_queries,
     )
+    from dendrospark.plans import brain_queries  # noqa: F401  (uses the SQL of the others)

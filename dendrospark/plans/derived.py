@@ -19,7 +19,8 @@ class Tables:
     them, and a lost block is recomputed from the files.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, merged_run: int = 1):
+        self.merged_run = merged_run  # the run of an odd user that carries its neighbour's label
         self.spark = spark
         self.sf_dir = sf_dir
 
@@ -48,7 +49,7 @@ class Tables:
             (F.col("v") % 4).cast("bigint").alias("z"), F.floor((F.col("ord") - 1) / 20).cast("bigint").alias("run"))
         label = (
             F.when(F.col("event_type") == "error", F.lit("0"))
-            .when((F.col("run") == 1) & (F.col("neuron") % 2 == 1),
+            .when((F.col("run") == self.merged_run) & (F.col("neuron") % 2 == 1),
                   ((F.col("neuron") - 1) * 1000 + F.col("run")).cast("string"))
             .otherwise((F.col("neuron") * 1000 + F.col("run")).cast("string")))
         return self._keep(g.select(
@@ -105,13 +106,30 @@ class Tables:
 _CACHE: dict[tuple[str, str], Tables] = {}
 
 
-def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    key = (spark.sparkContext.applicationId, sf_dir)
+def tables(spark: SparkSession, sf_dir: str, merged_run: int = 1) -> Tables:
+    key = (spark.sparkContext.applicationId, sf_dir, merged_run)
     if key not in _CACHE:
-        _CACHE[key] = Tables(spark, sf_dir)
+        _CACHE[key] = Tables(spark, sf_dir, merged_run)
     return _CACHE[key]
 
 
+class Brains:
+    """Two brains in one set of tables, told apart by ``brain`` alone: same node ids, same coordinates, other labels."""
+
+    def __init__(self, t: Tables):
+        self.spark, self.one, self.two = t.spark, t, tables(t.spark, t.sf_dir, 2)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        a, b = (getattr(x, name).withColumn("brain", F.lit(tag)) for x, tag in ((self.one, "a"), (self.two, "b")))
+        return a.unionByName(b)
+
+
+def by_brain(sql: str) -> str:
+    """SQL over both brains from the SQL over one."""
+    other = sql.replace("when run = 1 and neuron % 2 = 1", "when run = 2 and neuron % 2 = 1")
+    return f"select 'a' as brain, q.* from ({sql}) q union all select 'b' as brain, q.* from ({other}) q"
+
+
 # The same tables as SQL, in order of dependence.
 _SQL = {
     "gt_node": """

@@ -54,11 +54,9 @@ def _(t):
 
 
 @query("a4_merge_segments", with_tables("gt_node", extra={"inc": _INC}, body="""
-  select label, string_agg(cast(neuron as varchar), ',' order by neuron) as neurons, count(*) - 1 as n_merges from inc
-  group by label having count(*) >= 2"""))
+  select label, neuron, n - 1 as n_merges from (select label, neuron, count(*) over (partition by label) as n from inc) q where n >= 2"""))
 def _(t):
-    m = M.merge_segments(_incidence(t))
-    return m.select("label", F.array_join(F.col("neurons").cast("array<string>"), ",").alias("neurons"), "n_merges")
+    return M.merge_segments(_incidence(t)).select("label", "neuron", "n_merges")
 
 
 @query("a5_merged_edges", with_tables("gt_le", extra={"inc": _INC, "merged": _MERGED}, body="""
@@ -72,14 +70,24 @@ def _(t):
 @query("a6_merge_targets", with_tables("gt_node", extra={"inc": """
     select raw_label as label, neuron, count(*) as n_nodes, avg(x) as cx, avg(y) as cy, avg(z) as cz from gt_node
     where raw_label <> '0' group by all"""}, body=f"""
-  select label, count(*) as n_neurons, sum(n_nodes)::bigint as n_nodes, string_agg(neuron || ':' || n_nodes, ',' order by n_nodes desc, neuron) as counts,
-    string_agg(printf('%.2f', round(cx, 2)), ',' order by n_nodes desc, neuron) as sites_x
-  from inc where n_nodes > {MIN_NODES} group by label having count(*) >= 2"""))
+  select label, count(*) as n_neurons, sum(n_nodes)::bigint as n_nodes,
+    string_agg(neuron || ':' || n_nodes || printf('@%.2f/%.2f/%.2f', round(cx, 2), round(cy, 2), round(cz, 2)), ',' order by place) filter (place <= 5) as sites
+  from (select *, row_number() over (partition by label order by n_nodes desc, neuron) as place from inc where n_nodes > {MIN_NODES}) q
+  group by label having count(*) >= 2"""))
 def _(t):
     m = M.merge_targets(t.gt_node, "raw_label", MIN_NODES)
-    return m.select("label", "n_neurons", "n_nodes",
-                    F.array_join(F.transform("neurons", lambda n: F.concat(n.cast("string"), F.lit(":"), F.col("node_counts")[n])), ",").alias("counts"),
-                    F.array_join(F.transform("sites", lambda s: F.format_string("%.2f", s["x"])), ",").alias("sites_x"))
+    return m.select("label", "n_neurons", "n_nodes", F.array_join(F.transform("sites", lambda s: F.format_string(
+        "%d:%d@%.2f/%.2f/%.2f", s["neuron"], s["n_nodes"], s["x"], s["y"], s["z"])), ",").alias("sites"))
+
+
+@query("a6_target_neurons", with_tables("gt_node", extra={"inc": """
+    select raw_label as label, neuron, count(*) as n_nodes, avg(x) as cx, avg(y) as cy, avg(z) as cz from gt_node
+    where raw_label <> '0' group by all"""}, body=f"""
+  select label, neuron, n_nodes, place, round(cx, 2) as cx, round(cy, 2) as cy, round(cz, 2) as cz from (
+    select *, row_number() over (partition by label order by n_nodes desc, neuron) as place, count(*) over (partition by label) as k
+    from inc where n_nodes > {MIN_NODES}) q where k >= 2"""))
+def _(t):
+    return M.target_neurons(t.gt_node, "raw_label", MIN_NODES)
 
 
 _EDGE_ACC = f"""

@@ -12,7 +12,7 @@ from dendrospark.plans import scoring as SC
 from dendrospark.plans.catalog import query
 from dendrospark.plans.derived import with_tables
 from dendrospark.plans.metric_queries import MERGED_NODES, MIN_NODES, brain, merge_edits, scored_sql
-from dendrospark.plans.site_queries import ALL_SQL, BRANCH_SQL, COMPONENT_SQL
+from dendrospark.plans.site_queries import ALL_SQL
 from dendrospark.session import cut, side_by_side
 
 
@@ -63,18 +63,7 @@ def _(t):
     return P.policy_tangent(stream(t), context(t), max_gap=12.0).select("label_a", "label_b")
 
 
-@query("d4_policy_merge_cut", with_tables("frag_deg", recursive=True, extra={**BRANCH_SQL, **COMPONENT_SQL, "found": """
-    select label, cut_node, seed_a_node, seed_b_node, branch_degree, angle_deg, radius_ratio, cable_a_um, cable_b_um, detector from branch_site
-    union all select label, cut_node, seed_a_node, seed_b_node, branch_degree, angle_deg, radius_ratio, cable_a_um, cable_b_um, detector from component_site"""}, body="""
-  select label, seed_a_node, seed_b_node from found where cable_a_um >= 12 and cable_b_um >= 12
-    and (detector = 'component' or (angle_deg <= 130 and (radius_ratio >= 1.5 or branch_degree >= 4)))"""))
-def _(t):
-    # its SQL has no bridge sites; d4_policy_merge_cut_all has them
-    e = P.policy_merge_cut(stream(t).filter(F.coalesce("detector", F.lit("")) != "bridge"), context(t))
-    return e.select("label", F.col("seeds")[0]["node"].alias("seed_a_node"), F.col("seeds")[1]["node"].alias("seed_b_node"))
-
-
-@query("d4_policy_merge_cut_all", with_tables("frag_deg", recursive=True, extra=ALL_SQL, body="""
+@query("d4_policy_merge_cut", with_tables("frag_deg", recursive=True, extra=ALL_SQL, body="""
   select label, seed_a_node, seed_b_node from found where cable_a_um >= 12 and cable_b_um >= 12
     and (detector = 'component' or (angle_deg <= 130 and (radius_ratio >= 1.5 or branch_degree >= 4)))"""))
 def _(t):

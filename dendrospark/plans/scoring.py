@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dendrospark.functions.scalar import BACKGROUND
 from dendrospark.operators import edits as E
 from dendrospark.operators import metrics as M
 from dendrospark.operators.graph import connected_components, edge_length
@@ -43,6 +44,17 @@ class PreparedBrain:
     min_nodes: int
 
 
+def pooled(df: DataFrame, by: Sequence[str], ids: Sequence[str] = (), labels: Sequence[str] = (), names: Sequence[str] = ()) -> DataFrame:
+    """Tables of several brains as one: ids become structs with the brain in front, labels (but background) and names get it as a prefix.
+
+    What is then joined, united or compared by id, label or neuron stays inside its brain.
+    """
+    key = F.concat_ws("/", *by)
+    out = {c: F.struct(*by, F.col(c).alias("id")) for c in ids}
+    out |= {c: F.when(F.col(c) == BACKGROUND, F.col(c)).otherwise(F.concat(key, F.lit("/"), c)) for c in labels}
+    return df.withColumns(out | {c: F.concat(key, F.lit("/"), F.col(c).cast("string")) for c in names})
+
+
 def prepare(gt_node: DataFrame, gt_edge: DataFrame, frag_node: DataFrame, frag_edge: DataFrame, label: str = "raw_label",
             omit_rule: str = "either", min_nodes: int = 50) -> PreparedBrain:
     nodes = gt_node.select("node_id", "neuron", F.col(label).alias("raw_label"), "x", "y", "z")

@@ -35,8 +35,8 @@ BRANCH_SQL = {
 }
 
 
-def _rounded(df):
-    return df.select(*_SITE_COLS, F.round("angle_deg", 4).alias("angle_deg"), F.round("radius_ratio", 6).alias("radius_ratio"),
+def rounded_sites(df, *keys):
+    return df.select(*keys, *_SITE_COLS, F.round("angle_deg", 4).alias("angle_deg"), F.round("radius_ratio", 6).alias("radius_ratio"),
                      F.round("cable_a_um", 6).alias("cable_a_um"), F.round("cable_b_um", 6).alias("cable_b_um"))
 
 
@@ -46,7 +46,7 @@ _ROUNDED = """select label, cut_node, seed_a_node, seed_b_node, branch_degree, d
 
 @query("g7_merge_sites_branch", with_tables("frag_deg", recursive=True, extra=BRANCH_SQL, body=f"{_ROUNDED} from branch_site"))
 def _(t):
-    return _rounded(SI.merge_sites_branch(t.frag_node, t.frag_edge.select("src", "dst")))
+    return rounded_sites(SI.merge_sites_branch(t.frag_node, t.frag_edge.select("src", "dst")))
 
 
 # kinks of the V-shaped fixture are suppressed only by kinks of the same user, whose order is a plain chain,
@@ -83,7 +83,7 @@ _KINK = {
 
 @query("g8_merge_sites_bridge", with_tables("kink_edge", recursive=True, extra=_KINK, body=f"{_ROUNDED} from bridge_site"))
 def _(t):
-    return _rounded(SI.merge_sites_bridge(t.kink_node, t.kink_edge.select("src", "dst")))
+    return rounded_sites(SI.merge_sites_bridge(t.kink_node, t.kink_edge.select("src", "dst")))
 
 
 COMPONENT_SQL = {
@@ -110,7 +110,7 @@ COMPONENT_SQL = {
 
 @query("g9_merge_sites_component", with_tables("frag_sym", recursive=True, extra=COMPONENT_SQL, body=f"{_ROUNDED} from component_site"))
 def _(t):
-    return _rounded(SI.merge_sites_component(t.frag_node, t.frag_edge.select("src", "dst")))
+    return rounded_sites(SI.merge_sites_component(t.frag_node, t.frag_edge.select("src", "dst")))
 
 
 @query("j6_closest_component_pair", with_tables("frag_sym", recursive=True, extra=COMPONENT_SQL, body="""
@@ -121,43 +121,7 @@ def _(t):
     return pairs.select("label", "component_b", "node_a", "node_b", "d2")
 
 
-_ALL_SQL = {**BRANCH_SQL, **{k: v for k, v in COMPONENT_SQL.items()}, "found": """
-  select label, cut_node, seed_a_node, seed_b_node, branch_degree, angle_deg, radius_ratio, cable_a_um, cable_b_um, detector from branch_site
-  union all select label, cut_node, seed_a_node, seed_b_node, branch_degree, angle_deg, radius_ratio, cable_a_um, cable_b_um, detector
-  from component_site"""}
-
-
-@query("w2_cap_sites", with_tables("frag_deg", recursive=True, extra={**_ALL_SQL, "per_label": """
-    select *, row_number() over (partition by label order by round(least(cable_a_um, cable_b_um), 6) desc, cut_node, seed_b_node, detector) as rn
-    from found"""}, body=f"""
-  {_ROUNDED} from (select * from per_label where rn <= 2
-    order by round(least(cable_a_um, cable_b_um), 6) desc, cut_node, seed_b_node, detector limit 50)"""))
-def _(t):
-    e = t.frag_edge.select("src", "dst")
-    found = SI.merge_sites_branch(t.frag_node, e).unionByName(SI.merge_sites_component(t.frag_node, e))
-    return _rounded(SI.cap_sites(found, max_per_label=2, max_sites=50))
-
-
-@query("u1_site_stream", with_tables("frag_deg", "split_site", recursive=True, extra=_ALL_SQL, body="""
-  select 'merge' as kind, label as key, cut_node as node, detector from found
-  union all select 'split', label_a, node_a, null from split_site"""))
-def _(t):
-    e = t.frag_edge.select("src", "dst")
-    found = SI.merge_sites_branch(t.frag_node, e).unionByName(SI.merge_sites_component(t.frag_node, e))
-    stream = SI.site_stream(SI.split_sites(t.frag_node, t.frag_edge, 15.0, max_sites=None), found)
-    return stream.select("kind", F.coalesce("label", "label_a").alias("key"), F.coalesce("cut_node", "node_a").alias("node"), "detector")
-
-
-@query("a34_site_counts", with_tables("frag_deg", "split_site", recursive=True, extra=_ALL_SQL, body="""
-  select 'merge' as kind, detector, count(*) as n from found group by detector
-  union all select 'split', '', count(*) from split_site"""))
-def _(t):
-    e = t.frag_edge.select("src", "dst")
-    found = SI.merge_sites_branch(t.frag_node, e).unionByName(SI.merge_sites_component(t.frag_node, e))
-    return SI.site_counts(SI.site_stream(SI.split_sites(t.frag_node, t.frag_edge, 15.0, max_sites=None), found))
-
-
-# --- all three detectors; the three queries above are held to SQL without the bridge detector -------------------------
+# --- all three detectors --------------------------------------------------------------------------------------------
 
 # the bridge tables on the fragment graph, under names of their own
 _BRIDGE_SQL = {
@@ -176,23 +140,23 @@ def _all_stream(t):
     return SI.site_stream(SI.split_sites(t.frag_node, t.frag_edge, 15.0, max_sites=None), _all_sites(t))
 
 
-@query("w2_cap_sites_all", with_tables("frag_deg", recursive=True, extra={**ALL_SQL, "per_label": """
+@query("w2_cap_sites", with_tables("frag_deg", recursive=True, extra={**ALL_SQL, "per_label": """
     select *, row_number() over (partition by label order by round(least(cable_a_um, cable_b_um), 6) desc, cut_node, seed_b_node, detector) as rn
     from found"""}, body=f"""
   {_ROUNDED} from (select * from per_label where rn <= 2
     order by round(least(cable_a_um, cable_b_um), 6) desc, cut_node, seed_b_node, detector limit 50)"""))
 def _(t):
-    return _rounded(SI.cap_sites(_all_sites(t), max_per_label=2, max_sites=50))
+    return rounded_sites(SI.cap_sites(_all_sites(t), max_per_label=2, max_sites=50))
 
 
-@query("u1_site_stream_all", with_tables("frag_deg", "split_site", recursive=True, extra=ALL_SQL, body="""
+@query("u1_site_stream", with_tables("frag_deg", "split_site", recursive=True, extra=ALL_SQL, body="""
   select 'merge' as kind, label as key, cut_node as node, detector from found
   union all select 'split', label_a, node_a, null from split_site"""))
 def _(t):
     return _all_stream(t).select("kind", F.coalesce("label", "label_a").alias("key"), F.coalesce("cut_node", "node_a").alias("node"), "detector")
 
 
-@query("a34_site_counts_all", with_tables("frag_deg", "split_site", recursive=True, extra=ALL_SQL, body="""
+@query("a34_site_counts", with_tables("frag_deg", "split_site", recursive=True, extra=ALL_SQL, body="""
   select 'merge' as kind, detector, count(*) as n from found group by detector
   union all select 'split', '', count(*) from split_site"""))
 def _(t):

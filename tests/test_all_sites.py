@@ -15,7 +15,7 @@ def test_policies_are_fed_all_detectors(spark):
     assert found == {None, "branch", "component", "bridge"}
 
 
-@pytest.mark.parametrize("name", ["a34_site_counts_all", "u1_site_stream_all", "w2_cap_sites_all", "d4_policy_merge_cut_all", "d4_policy_merge_cut"])
+@pytest.mark.parametrize("name", ["a34_site_counts", "u1_site_stream", "w2_cap_sites", "d4_policy_merge_cut", "merge_sites_by_brain", "d8_budget_by_brain"])
 def test_query(spark, name):
     message, _, good = compare(spark, connect(SF), name, entry.queries()[name], entry.oracle_sql()[name], SF)
     assert good, message
