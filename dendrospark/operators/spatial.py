@@ -7,10 +7,9 @@ the join is an ordinary hash join on (scope, cell) followed by the exact filter.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dendrospark.session import cut, is_empty
@@ -101,11 +100,6 @@ def _best(pairs: DataFrame, group: list[str], build_id: str, carry: list[str]) -
     return pairs.groupBy(*group).agg(best).select(*group, "_best.*")
 
 
-def _densest(build: DataFrame, by: Sequence[str], xyz: Sequence[str], size: float) -> int:
-    counts = _own_cell(build, xyz, size).groupBy(*by, *CELL).count()
-    return counts.agg(F.max("count")).first()[0] or 0
-
-
 def nearest(
     probe: DataFrame,
     build: DataFrame,
@@ -118,17 +112,12 @@ def nearest(
     probe_xyz: Sequence[str] = XYZ,
     build_xyz: Sequence[str] = ("bx", "by", "bz"),
     bounded: bool = True,
-    dense_rows: int = 100_000,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Nearest build point of every probe point: ``by, probe_id, d2, build_id, carry``.
-
-    ``bounded`` looks no farther than ``radius`` and leaves the others out.
-    Otherwise the radius grows fourfold, for the rows still unmatched only,
-    until each has its neighbour. A match found within r is final, since every
-    point within r was seen. When some cell is denser than ``dense_rows`` the
-    search starts with a smaller ball for the same reason, so that crowded
-    regions are settled in small cells. Ties go to the smaller ``build_id``.
+    """Nearest build point of every probe point: ``by, probe_id, d2, build_id, carry``. Ties go to the smaller ``build_id``.
+
+    ``bounded`` looks no farther than ``radius`` and leaves the others out. Otherwise rows without a match in that
+    ball, which is final when there is one, go down a pyramid of cells of the build side (``_descend``).
     """
     group = [*by, probe_id]
     carry = list(carry)
@@ -137,51 +126,90 @@ def nearest(
     build = build.groupBy(*by, *build_xyz).agg(F.min(F.struct(build_id, *carry)).alias("_b")).select(
         *by, *build_xyz, "_b.*")
     probe = probe.select(*group, *probe_xyz)
-
     if not bounded:  # several passes over both sides follow
         probe, build = cut(probe), cut(build)
-    start, top = radius, radius
-    shrink = 0
-    while shrink < 6 and _densest(build, by, build_xyz, 2.0 * start) > dense_rows:
-        start, shrink = start / 2.0, shrink + 1
-    if not bounded:
-        if is_empty(build):
-            return _best(within_distance(probe, build, radius, by=by, probe_xyz=probe_xyz, build_xyz=build_xyz),
-                         group, build_id, carry)
-        top = _diameter(probe, build, probe_xyz, build_xyz)
-        # a probe whose scope has no build point can never match
-        if by:
-            probe = probe.join(build.select(*by).distinct(), list(by), "left_semi")
-
-    found: DataFrame | None = None
-    r = start
+    step = _best(
+        within_distance(probe, build, radius, by=by, probe_xyz=probe_xyz, build_xyz=build_xyz, hot_rows=hot_rows),
+        group, build_id, carry)
+    if bounded:
+        return step
+    step = cut(step)
+    far = probe.join(step.select(*group), group, "left_anti")
+    if by:  # a probe whose scope has no build point can never match
+        far = far.join(build.select(*by).distinct(), list(by), "left_semi")
+    far = cut(far)
+    if is_empty(far) or is_empty(build):
+        return step
+    return step.unionByName(_descend(far, build, group, build_id, radius, list(by), carry, probe_xyz, build_xyz))
+
+
+def _pyramid(build: DataFrame, by: list[str], xyz: Sequence[str], radius: float, leaf_rows: int) -> list[DataFrame]:
+    """Occupied cells with the bounds of their points, fine to coarse; sides grow fourfold until a scope fits in few cells.
+
+    The finest side is ``radius``, or less where one cell holds many different points.
+    """
+    side = float(radius)
+
+    def finest(size: float) -> DataFrame:
+        return cut(_own_cell(build, xyz, size).groupBy(*by, *CELL).agg(
+            F.count(F.lit(1)).alias("_rows"), *[f(v).alias(f"_{tag}{c}") for c, v in zip(CELL, xyz) for f, tag in ((F.min, "lo"), (F.max, "hi"))]))
+
+    level = finest(side)
+    while side > radius / 1024 and (level.agg(F.max("_rows")).first()[0] or 0) > leaf_rows:
+        side /= 4.0
+        level = finest(side)
+    levels = [(side, level)]
     while True:
-        step = _best(
-            within_distance(probe, build, r, by=by, probe_xyz=probe_xyz, build_xyz=build_xyz, hot_rows=hot_rows),
-            group, build_id, carry)
-        if r >= top and bounded:
-            return step if found is None else found.unionByName(step)
-        step = cut(step)
-        found = step if found is None else found.unionByName(step)
-        if r >= top:
-            return found
-        probe = cut(probe.join(step.select(*group), group, "left_anti"))
-        if is_empty(probe):
-            return found
-        r = min(r * (2.0 if r < radius else 4.0), max(top, radius))
-
-
-def _diameter(probe, build, probe_xyz, build_xyz) -> float:
-    def extent(df, xyz):
-        aggs = [f(F.col(c).cast("double")) for c in xyz for f in (F.min, F.max)]
-        row = df.agg(*aggs).first()
-        return [None if v is None else float(v) for v in row]
-
-    p, b = extent(probe, probe_xyz), extent(build, build_xyz)
-    if p[0] is None:
-        return 0.0
-    sides = [max(p[i + 1], b[i + 1]) - min(p[i], b[i]) for i in (0, 2, 4)]
-    return math.sqrt(sum(s * s for s in sides)) + 1.0
+        side, level = levels[-1]
+        per_scope = level.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+        if per_scope <= 8:
+            return levels
+        up = level.withColumns({c: F.floor(F.col(c) / 4) for c in CELL}).groupBy(*by, *CELL).agg(
+            F.sum("_rows").alias("_rows"), *[f(f"_{tag}{c}").alias(f"_{tag}{c}") for c in CELL for f, tag in ((F.min, "lo"), (F.max, "hi"))])
+        levels.append((side * 4.0, cut(up)))
+
+
+def _box_distances(probe_xyz: Sequence[str]) -> tuple[Column, Column]:
+    """Least squared distance from a probe to the bounds of a cell, and to the farthest corner: no point of the cell lies beyond."""
+    near, far = [], []
+    for c, v in zip(CELL, probe_xyz):
+        lo, hi, x = F.col(f"_lo{c}"), F.col(f"_hi{c}"), F.col(v)
+        gap = F.greatest(lo - x, x - hi, (x - x))
+        reach = F.greatest(hi - x, x - lo)
+        near.append(gap * gap), far.append(reach * reach)
+    return near[0] + near[1] + near[2], far[0] + far[1] + far[2]
+
+
+def _descend(probe: DataFrame, build: DataFrame, group: list[str], build_id: str, radius: float, by: list[str], carry: list[str],
+             probe_xyz: Sequence[str], build_xyz: Sequence[str], leaf_rows: int = 64) -> DataFrame:
+    """Nearest build point however far, coarse to fine.
+
+    At every level a probe keeps the cells that may hold its nearest point: those no farther than the farthest corner of the
+    cell that bounds it best. The next level looks at the children of these cells only, so a far probe touches a few cells of each level,
+    never the whole build side. The points of the last cells are compared exactly.
+    """
+    levels = _pyramid(build, by, build_xyz, radius, leaf_rows)
+    near, far = _box_distances(probe_xyz)
+    bounds = [f"_{tag}{c}" for c in CELL for tag in ("lo", "hi")]
+
+    def kept(met: DataFrame) -> DataFrame:
+        limit = F.min("_far").over(Window.partitionBy(*group))
+        met = met.select(*group, *probe_xyz, *CELL, near.alias("_near"), far.alias("_far")).withColumn("_limit", limit)
+        return cut(met.filter(F.col("_near") <= F.col("_limit")).select(*group, *probe_xyz, *CELL))
+
+    top = levels[-1][1].select(*by, *CELL, *bounds)
+    if by:
+        live = kept(probe.join(top, by))
+    else:  # eight cells at most
+        cells = [F.struct(*[F.lit(v).alias(c) for c, v in r.asDict().items()]) for r in top.collect()]
+        live = kept(probe.withColumn("_cell", F.explode(F.array(*cells))).select(*group, *probe_xyz, "_cell.*"))
+    for _, level in reversed(levels[:-1]):
+        parent = level.select(*by, *[F.floor(F.col(c) / 4).alias(f"_p{c}") for c in CELL], *CELL, *bounds)
+        up = live.withColumnsRenamed({c: f"_p{c}" for c in CELL})
+        live = kept(up.join(parent, [*by, *[f"_p{c}" for c in CELL]]))
+    points = _own_cell(build, build_xyz, levels[0][0])
+    pairs = live.join(points, [*by, *CELL]).withColumn("d2", squared_distance(probe_xyz, build_xyz))
+    return cut(_best(pairs, group, build_id, carry))
 
 
 def as_build(nodes: DataFrame, id_col: str = "node_id", new_id: str = "b_id", keep: dict[str, str] | None = None,

@@ -82,6 +82,15 @@ def _(t):
     return SP.nearest_distance(t.gt_node, t.frag_node, 5.0).select("node_id", "d2")
 
 
+@query("j4_nearest_distance_far", with_tables("frag_node", body="""
+  select g.node_id, min((g.x+100000-f.x)*(g.x+100000-f.x) + (g.y-f.y)*(g.y-f.y) + (g.z-f.z)*(g.z-f.z)) as d2
+  from gt_node g join frag_node f on true group by g.node_id"""))
+def _(t):
+    """True nodes in a frame of their own, far from every fragment."""
+    moved = t.gt_node.withColumn("x", F.col("x") + 100_000)
+    return SP.nearest_distance(moved, t.frag_node, 5.0).select("node_id", "d2")
+
+
 @query("j4_distance_summary", with_tables("frag_node", body="""
   select round(max(d), 6) as max_d, round(median(d), 6) as median_d, count(*) as n from (
     select sqrt(min((g.x-f.x)*(g.x-f.x) + (g.y-f.y)*(g.y-f.y) + (g.z-f.z)*(g.z-f.z))) as d

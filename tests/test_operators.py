@@ -43,12 +43,12 @@ def test_within_distance_also_when_a_cell_is_hot(spark, hot_rows):
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
-@pytest.mark.parametrize("dense_rows", [100_000, 5])
+@pytest.mark.parametrize("shift", [0, 50_000])
 @pytest.mark.parametrize("bounded", [True, False])
-def test_nearest(spark, bounded, dense_rows):
-    a, b = cloud(150, 3, hot=0.3), cloud(150, 4, hot=0.3)
+def test_nearest(spark, bounded, shift):
+    a, b = [(i, x + shift, *rest) for i, x, *rest in cloud(150, 3, hot=0.3)], cloud(150, 4, hot=0.3)
     got = SP.nearest(spark.createDataFrame(a, NODE), SP.as_build(spark.createDataFrame(b, NODE)), probe_id="node_id", build_id="b_id",
-                     radius=8.0, bounded=bounded, dense_rows=dense_rows)
+                     radius=8.0, bounded=bounded)
     want = {}
     for p in a:
         best = min((d2(p, q), q[0]) for q in b)
@@ -58,6 +58,21 @@ def test_nearest(spark, bounded, dense_rows):
     assert len(rows) == len(want) and {r.node_id: r.b_id for r in rows} == want
 
 
+@pytest.mark.parametrize("leaf_rows", [1, 64])
+def test_descent_keeps_scopes_and_ties(spark, leaf_rows):
+    """Every probe goes down the pyramid: several scopes, fine and coarse structure, negative places, ties to the smaller id."""
+    rng = random.Random(12)
+    scale = [1.0, 30.0, 4000.0]
+    b = [(s, i, *[rng.choice([-1, 1]) * rng.random() * scale[i % 3] for _ in range(3)]) for s in "xy" for i in range(120)]
+    b += [("x", 500, 7.0, 0.0, 0.0), ("x", 400, -7.0, 0.0, 0.0)] + [("z", i, 1e-3 * i, 0.0, 0.0) for i in range(40)]
+    a = [(s, i, rng.uniform(-9000, 9000), rng.uniform(-50, 50), 0.0) for s in "xyzw" for i in range(40)] + [("x", 99, 0.0, 0.0, 0.0)]
+    build = spark.createDataFrame(b, "s string, b_id long, bx double, by double, bz double")
+    probe = spark.createDataFrame(a, "s string, node_id long, x double, y double, z double")
+    got = SP._descend(probe.filter("s <> 'w'"), build, ["s", "node_id"], "b_id", 0.5, ["s"], [], ("x", "y", "z"), ("bx", "by", "bz"), leaf_rows).collect()
+    want = {(s, i): min(((x - q[2]) ** 2 + (y - q[3]) ** 2 + (z - q[4]) ** 2, q[1]) for q in b if q[0] == s)[1] for s, i, x, y, z in a if s != "w"}
+    assert len(got) == len(want) and {(r.s, r.node_id): r.b_id for r in got} == want
+
+
 def test_components_of_random_graphs_and_long_chains(spark):
     rng = random.Random(7)
     ids = list(range(300))
