@@ -5,7 +5,8 @@ from its rarest term: the postings of that term, less the term's offset in the w
 They are intersected with the offset-adjusted postings of the second rarest term, and what is left with those of all others at once, so
 the long lists of common words are only read for the few documents that are still possible. Joins are on (row, term, place): a passage
 that a third of all documents share is spread over as many keys. With a ``slop`` the lists are intersected with that tolerance
-(proximity matches). Test windows and the vocabulary are tables; the planner broadcasts them by their written size, or sorts and merges.
+(proximity matches). Tables of test windows, of their terms and of the rows still possible are broadcast where they count ``FEW`` rows at
+most (numbers and words, so some tens of MB); beyond that the same joins sort and merge.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from dendrospark.llm.common import table, with_row_key
 from dendrospark.session import cut
 
 WINDOW = 10
+FEW = 400_000  #: rows of a table that may be broadcast
 
 # What separates words before A-Z is lower-cased (fixed by the data contract).
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -34,6 +36,11 @@ def plain_case(word: Column) -> Column:
     return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, string.ascii_uppercase, string.ascii_lowercase))
 
 
+def _sized(df: DataFrame) -> DataFrame:
+    """The table, marked for broadcast if it is small. ``df`` reads written tables."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def item_windows(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """Distinct windows (``window, terms``) and which items have them (``window, item_id``)."""
     words = items.select("item_id", F.transform(split_words(F.col("text")), plain_case).alias("w"))
@@ -50,7 +57,7 @@ def build_index(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFra
     tokens = cut(with_row_key(docs.select("doc_id", split_words(F.col("text")).alias("_words"))))
     rows = tokens.select("_rid", "doc_id", F.size("_words").cast("bigint").alias("n_words"))
     each = tokens.select("_rid", F.posexplode("_words").alias("place", "word")).withColumn("word", plain_case(F.col("word")))
-    return rows, cut(each.join(vocabulary, "word").select("term", "_rid", "place")), vocabulary
+    return rows, cut(each.join(_sized(vocabulary), "word").select("term", "_rid", "place")), vocabulary
 
 
 def rarest_first(windows: DataFrame, postings: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -64,9 +71,9 @@ def rarest_first(windows: DataFrame, postings: DataFrame, vocabulary: DataFrame)
 
 def _at(postings: DataFrame, terms: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Postings of the given terms, in the given rows, as ``_rid, term, found``."""
-    part = postings.join(terms.select("term").distinct(), "term", "left_semi")
+    part = postings.join(_sized(terms.select("term").distinct()), "term", "left_semi")
     if rows is not None:
-        part = part.join(rows.select("_rid").distinct(), "_rid", "left_semi")
+        part = part.join(_sized(rows.select("_rid").distinct()), "_rid", "left_semi")
     return part.select("_rid", "term", F.col("place").alias("found"))
 
 
@@ -84,16 +91,17 @@ def _meet(wanted: DataFrame, lists: DataFrame, slop: int) -> DataFrame:
 def find_windows(plans: DataFrame, postings: DataFrame, slop: int = 0) -> DataFrame:
     """``_rid, window, size, start``: where the windows occur. With a ``slop``, the rarest term stands in its place and all others
     within so many words of theirs."""
-    first = plans.select("window", "size", "plan", F.col("plan")[0]["term"].alias("term"), F.col("plan")[0]["off"].alias("off"))
-    starts = postings.join(first, "term").select("_rid", "window", "size", "plan", (F.col("place") - F.col("off")).alias("start"))
-    starts = starts.filter("start >= 0") if not slop else starts
     key = ["_rid", "window", "size", "start"]
+    ends = lambda i: (F.get("plan", F.lit(i))["term"], F.get("plan", F.lit(i))["off"])
+    first = plans.select("window", "size", *[c.alias(f"{n}{i}") for i in (0, 1) for c, n in zip(ends(i), ("_term", "_off"))])
+    starts = postings.join(_sized(first.withColumnRenamed("_term0", "term")), "term").withColumn("start", F.col("place") - F.col("_off0"))
+    starts = starts.filter("start >= 0") if not slop else starts
     alone = starts.filter("size = 1").select(key)
-    second = plans.filter("size > 1").select(F.col("plan")[1]["term"].alias("term"))
-    pairs = starts.filter("size > 1").select(*key, F.col("plan")[1]["term"].alias("term"), (F.col("start") + F.col("plan")[1]["off"]).alias("place"))
+    pairs = starts.filter("size > 1").select(*key, F.col("_term1").alias("term"), (F.col("start") + F.col("_off1")).alias("place"))
+    second = first.filter("size > 1").select(F.col("_term1").alias("term"))
     both = cut(_meet(pairs, _at(postings, second), slop).select(key))
     later = plans.select("window", F.inline(F.slice("plan", 3, F.greatest(F.size("plan") - 2, F.lit(0))))).drop("n")
-    rest = both.filter("size > 2").join(later, "window")
+    rest = both.filter("size > 2").join(_sized(later), "window")
     rest = rest.select(*key, "term", "off", (F.col("start") + F.col("off")).alias("place"))
     whole = _meet(rest, _at(postings, later, both), slop).groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n = size - 2").select(key)
     return alone.unionByName(both.filter("size = 2")).unionByName(whole)
