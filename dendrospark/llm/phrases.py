@@ -23,8 +23,8 @@ from dendrospark.llm.common import batches, table
 from dendrospark.session import cut
 
 DEPTH = 3
-BUDGET = 2_000_000  #: suffixes, after counting equal ones within a task, that a group holds
-CHUNK = 4_000_000  #: suffixes that a task holds before it hands out its runs
+BUDGET = 1_000_000  #: suffixes, after counting equal ones within a task, that a group holds
+CHUNK = 2_000_000  #: suffixes that a task holds before it hands out its runs
 STEP = 1_000_000  #: words of a long text that are taken in at a time
 BITS = 21  #: in a task a suffix is three word numbers of so many bits; number 0 is the end mark
 
@@ -130,9 +130,11 @@ def _runs(docs: DataFrame, buckets: int) -> DataFrame:
             columns = [[], [], [], [], []]
             for lang, (numbers, parts) in texts_of.items():
                 packed, counts = np.unique(np.concatenate(parts), return_counts=True)
+                if not len(packed):
+                    continue
                 words = list(numbers)
                 place = (prefix_hash(words, packed, lang, 1) % np.uint64(buckets)).astype(np.int64)
-                totals = np.bincount(place, weights=counts, minlength=buckets).astype(np.int64) if len(packed) else []
+                totals = np.bincount(place, weights=counts, minlength=buckets).astype(np.int64)
                 for bucket, run, n in _handed_out(words, packed, counts, place):
                     for column, value in zip(columns, (lang, bucket, run, n, int(totals[bucket]))):
                         column.append(value)
