@@ -49,29 +49,43 @@ def merge_pairs(edits: DataFrame) -> DataFrame:
     return edits.filter(real).select("candidate_id", "edit_seq", "label_a", "label_b")
 
 
+#: wanted suffixes of a label that travel as one array
+CHUNK = 64
+
+
+def suffix_index(name: Column) -> Column:
+    """Place of a suffix in a, b, ..., z, aa, ...; null for other names (and for those too long ever to be given out)."""
+    letters = F.split(name, "")
+    place = F.aggregate(letters, F.lit(0).cast("bigint"), lambda acc, c: F.when(c == "", acc).otherwise(acc * 26 + F.ascii(c) - 96)) - 1
+    return F.when(name.rlike("^[a-z]{1,9}$"), place)
+
+
 def split_seeds(edits: DataFrame) -> DataFrame:
     """Seeds of the split edits with a suffix that is unique in their label, numbered in edit order.
 
-    A given suffix is kept if still unused in that label, otherwise the smallest
-    unused one of a, b, ..., z, aa, ... is taken. The fold runs over the seeds of
-    one label of one candidate, a handful of rows.
+    A given suffix is kept if still unused in that label, otherwise the smallest unused one of a, b, ..., z, aa, ... is taken.
+    No fold is needed for that. Every seed uses up one name, so with ``A`` seeds before that repeat a wish or have none, the smallest unused name
+    is the one of rank ``A`` among the names nobody has wanted before. Going up the wanted names in order finds it; they come
+    in arrays of ``CHUNK`` names, one after the other. A first wish is granted unless that smallest name has passed it.
     """
-    s = edits.filter(F.col("kind") == SPLIT).select("candidate_id", "edit_seq", "label", F.posexplode("seeds").alias("_pos", "s"))
-    ordered = s.groupBy("candidate_id", "label").agg(F.array_sort(F.collect_list(
-        F.struct("edit_seq", "_pos", "s"))).alias("_all"))
-
-    def choose(used: Column, wanted: Column) -> Column:
-        free = F.filter(F.transform(F.sequence(F.lit(0), F.size(used)), lambda i: base26_suffix(i)),
-                        lambda name: ~F.array_contains(used, name))
-        return F.when(wanted.isNotNull() & ~F.array_contains(used, wanted), wanted).otherwise(free[0])
-
-    suffixes = F.aggregate(
-        F.col("_all"), F.array().cast("array<string>"),
-        lambda acc, row: F.array_append(acc, choose(acc, row["s"]["suffix"])))
-    return ordered.withColumn("_suffix", suffixes).select(
-        "candidate_id", "label", F.posexplode(F.arrays_zip("_all", "_suffix")).alias("seed_idx", "_z")).select(
-        "candidate_id", "label", "seed_idx", F.col("_z._suffix").alias("suffix"), F.col("_z._all.s.x").alias("x"),
-        F.col("_z._all.s.y").alias("y"), F.col("_z._all.s.z").alias("z"))
+    key = ["candidate_id", "label"]
+    s = edits.filter(F.col("kind") == SPLIT).select(*key, "edit_seq", F.posexplode("seeds").alias("_pos", "s"))
+    s = s.select(*key, "edit_seq", "_pos", F.col("s.suffix").alias("_wish"), *[F.col(f"s.{c}").alias(c) for c in XYZ])
+    order = Window.partitionBy(*key).orderBy("edit_seq", "_pos")
+    s = s.withColumn("seed_idx", F.row_number().over(order).cast("int") - 1)
+    first = F.row_number().over(Window.partitionBy(*key, "_wish").orderBy("seed_idx")) == 1
+    s = s.withColumns({"_first": F.col("_wish").isNotNull() & first, "_k": suffix_index(F.col("_wish"))})
+    before = Window.partitionBy(*key).orderBy("seed_idx").rowsBetween(Window.unboundedPreceding, -1)
+    s = cut(s.withColumn("_m", F.coalesce(F.sum(F.when(F.col("_first"), 0).otherwise(1)).over(before), F.lit(0)).cast("bigint")))
+    wanted = s.filter(F.col("_first") & F.col("_k").isNotNull()).withColumn(
+        "_chunk", F.floor((F.row_number().over(Window.partitionBy(*key).orderBy("_k")) - 1) / CHUNK))
+    chunks = cut(wanted.groupBy(*key, "_chunk").agg(F.sort_array(F.collect_list(F.struct(F.col("_k").alias("k"), F.col("seed_idx").alias("at")))).alias("_names")))
+    for c in range((chunks.agg(F.max("_chunk")).first()[0] or 0) + 1):
+        passed = F.aggregate("_names", F.col("_m"), lambda m, w: m + F.when((w["at"] < F.col("seed_idx")) & (w["k"] <= m), 1).otherwise(0))
+        s = s.join(chunks.filter(F.col("_chunk") == c).drop("_chunk"), key, "left").withColumn("_m", F.coalesce(passed, "_m")).drop("_names")
+        s = cut(s) if c else s
+    granted = F.col("_first") & (F.col("_k").isNull() | (F.col("_m") <= F.col("_k")))
+    return s.select(*key, "seed_idx", F.when(granted, F.col("_wish")).otherwise(base26_suffix(F.col("_m"))).alias("suffix"), *XYZ)
 
 
 # --- merge classes --------------------------------------------------------------------------------------------------

@@ -55,26 +55,14 @@ def _(t):
     return E.split_seeds(edits).select("label", "seed_idx", "suffix")
 
 
-# every edit wants a and b: the first gets them, later ones the next free letters
+# every edit of every node wants a and b: the first gets them, later ones the next free names in order
 @query("e2_suffix_collisions", with_tables("frag_node", body="""
-  select neuron as label, rn - 1 as seed_idx, chr(cast(96 + rn as integer)) as suffix
-  from (select neuron, unnest(range(1, 7)) as rn from (select neuron from frag_node where ord % 20 = 5 group by neuron having count(*) >= 3) q) p"""))
+  select neuron as label, i as seed_idx, case when i < 26 then chr(cast(97 + i as integer))
+    when i < 702 then chr(cast(96 + i // 26 as integer)) || chr(cast(97 + i % 26 as integer))
+    else chr(cast(97 + (i - 702) // 676 as integer)) || chr(cast(97 + (i - 702) // 26 % 26 as integer)) || chr(cast(97 + (i - 702) % 26 as integer)) end as suffix
+  from (select neuron, unnest(range(2 * count(*))) as i from frag_node group by neuron) q"""))
 def _(t):
-    n = t.frag_node.filter(F.col("ord") % 20 == 5)
-    n = n.withColumn("rn", F.row_number().over(Window.partitionBy("neuron").orderBy("ord"))).filter(F.col("rn") <= 3)
-    n = n.join(n.filter(F.col("rn") == 3).select("neuron"), "neuron", "left_semi")
-
-    def seed(suffix):
-        return F.struct(F.lit(suffix).alias("suffix"), *[F.col(c).cast("double").alias(c) for c in "xyz"], F.col("node_id").alias("node"))
-
-    edits = n.select(F.lit("c").alias("candidate_id"), F.col("ord").alias("edit_seq"), F.lit(E.SPLIT).alias("kind"),
-                     F.col("neuron").alias("label"), F.array(seed("a"), seed("b")).cast(E.SEED_TYPE).alias("seeds"))
-    return E.split_seeds(edits).select("label", "seed_idx", "suffix")
-
-
-@query("e2_suffix_collisions_all")
-def _(t):
-    """Every node of every label as an edit that wants a and b, past z too; checked against a plain fold in the tests."""
+    """Every node of every label as an edit that wants a and b, past z too."""
     def seed(suffix):
         return F.struct(F.lit(suffix).alias("suffix"), *[F.col(c).cast("double").alias(c) for c in "xyz"], F.col("node_id").alias("node"))
 
