@@ -193,14 +193,20 @@ def class_members(classes: DataFrame) -> DataFrame:
 def assign_seed_euclid(points: DataFrame, seeds: DataFrame) -> DataFrame:
     """Points (``candidate_id, label, x, y, z``) with the ``suffix`` of the nearest seed of their label; ties to the earlier seed.
 
-    The few seeds of a label travel as one array, so a point stays one row.
+    Seeds come to the points in arrays of at most ``CHUNK``, one after the other, with a running best; a point stays one row.
     """
-    packed = seeds.groupBy("candidate_id", "label").agg(
+    key = ["candidate_id", "label"]
+    packed = seeds.groupBy(*key, F.floor(F.col("seed_idx") / CHUNK).alias("_chunk")).agg(
         F.collect_list(F.struct("seed_idx", "suffix", "x", "y", "z")).alias("_seeds"))
     ranked = F.transform("_seeds", lambda s: F.struct(
         sum(((F.col(c) - s[c]) * (F.col(c) - s[c]) for c in XYZ), F.lit(0.0)).alias("d2"), s["seed_idx"].alias("i"),
         s["suffix"].alias("suffix")))
-    return points.join(packed, ["candidate_id", "label"]).withColumn("suffix", F.array_min(ranked)["suffix"]).drop("_seeds")
+    out = points.join(seeds.select(*key).distinct(), key, "left_semi").withColumn("_best", F.lit(None).cast("struct<d2:double,i:int,suffix:string>"))
+    for c in range(int((seeds.agg(F.max("seed_idx")).first()[0] or 0) // CHUNK) + 1):
+        part = packed.filter(F.col("_chunk") == c).drop("_chunk")
+        better = F.least("_best", F.array_min(ranked).cast("struct<d2:double,i:int,suffix:string>"))
+        out = out.join(part, key, "left").withColumn("_best", better).drop("_seeds")
+    return out.withColumn("suffix", F.col("_best.suffix")).drop("_best")
 
 
 def split_nodes(nodes: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -107,15 +107,22 @@ def targets_in_split(incidence: DataFrame, names: DataFrame, min_nodes: int = 50
 
 
 def failure_report(candidate: DataFrame, baseline: DataFrame, incidence: DataFrame, merges: DataFrame, edits: DataFrame,
-                   names: DataFrame, min_nodes: int = 50) -> dict[str, DataFrame]:
-    """The parts of a candidate's report as tables."""
+                   names: DataFrame, min_nodes: int = 50, nodes: DataFrame | None = None, label: str = "raw_label") -> dict[str, DataFrame]:
+    """The parts of a candidate's report as tables. With the true ``nodes`` also ``target_sites``: where each listed
+    merge label lies on each neuron inside, with the node count."""
     from dendrospark.operators.edits import edit_histogram, render_edits
+    from dendrospark.operators.metrics import target_neurons
 
     mine = candidate.join(names.select("neuron"), "neuron", "left_semi")
     delta = per_neuron_delta(mine, baseline)
-    return {
+    targets = targets_in_split(incidence, names, min_nodes).filter("listed")
+    sites = {}
+    if nodes is not None:
+        sites["target_sites"] = target_neurons(nodes, label, min_nodes).join(targets.select("label"), "label", "left_semi").join(
+            names.select("neuron").distinct(), "neuron", "left_semi")
+    return sites | {
         "headline": headline(mine, baseline), "delta": delta, "regressions": regressions(delta),
-        "targets": targets_in_split(incidence, names, min_nodes).filter("listed").orderBy(F.col("n_nodes_inside").desc(), "label"),
+        "targets": targets.orderBy(F.col("n_nodes_inside").desc(), "label"),
         "caused_merges": merges.filter("caused_by_edit").join(names.select("neuron"), "neuron", "left_semi"),
         "edit_kinds": edit_histogram(edits), "edits": render_edits(edits)}
 

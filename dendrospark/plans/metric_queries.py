@@ -210,18 +210,6 @@ def _(t):
 _DISPLAY = " ".join(f"when '{k}' then '{v}'" for k, v in M.METRIC_NAMES.items())
 
 
-@query("a15_before_after", with_tables(*_PN_TABLES, recursive=True, extra={
-    **_PER_NEURON, "b": _long(M.ERROR_METRICS + M.QUALITY_METRICS, report_sql, "pn where neuron % 2 = 0"),
-    "a": _long(M.ERROR_METRICS + M.QUALITY_METRICS, report_sql, "pn where neuron % 2 = 1")}, body=f"""
-  select case metric {_DISPLAY} end as metric, round(b.value, 4) as before, round(a.value, 4) as after, round(a.value - b.value, 4) as delta,
-    round(case when metric in ({', '.join(repr(m) for m in M.ERROR_METRICS)}) then b.value - a.value end, 4) as reduction
-  from b join a using (metric)"""))
-def _(t):
-    pn = brain(t).baseline
-    c = M.compare_before_after(M.report_metrics(pn.filter(F.col("neuron") % 2 == 0)), M.report_metrics(pn.filter(F.col("neuron") % 2 == 1)))
-    return c.select("metric", *[F.round(x, 4).alias(x) for x in ("before", "after", "delta", "reduction")])
-
-
 @query("a16_score_no_edit", with_tables(*_PN_TABLES, recursive=True, extra=_PER_NEURON, body=f"select 'none' as candidate_id, {_ROUND_PN} from pn"))
 def _(t):
     none = t.spark.createDataFrame([], E.EDIT_SCHEMA)
@@ -335,8 +323,12 @@ def _(t):
     return round_per_neuron(SC.score(brain(t), split_edits(t), ["split"]), "candidate_id")
 
 
-@query("a17_merge_count", with_tables("frag_node", recursive=True, extra=MERGED_NODES | {"len2": "select 1"}, body="""
-  select candidate_id, label, n_neurons from (select candidate_id, label, count(*) as n_neurons from inc2 group by all) q where n_neurons >= 2"""))
+@query("a17_merge_count", with_tables("frag_sym", recursive=True, extra=MERGED_NODES | {"len2": "select 1", "comp": COMP_SQL,
+    "top": "select node_id, min(root) as component from comp group by node_id",
+    "piece2": """select m.candidate_id, coalesce(c.class, n.label) as label, count(distinct t.component) as n_pieces from frag_node n join top t using (node_id)
+      join names m on true left join cls c on c.candidate_id = m.candidate_id and c.label = n.label group by all"""}, body="""
+  select candidate_id, label, n_pieces, n_neurons from (select candidate_id, label, count(*) as n_neurons from inc2 group by all) q
+    join piece2 using (candidate_id, label) where n_neurons >= 2"""))
 def _(t):
     classes = E.merge_classes(merge_edits(t))
     names = F.explode(F.array(F.lit("within"), F.lit("across"))).alias("candidate_id")
@@ -347,17 +339,22 @@ def _(t):
     inc = renamed(brain(t).incidence, "label", "neuron", "n_nodes").groupBy("candidate_id", "label", "neuron").agg(F.sum("n_nodes").alias("n_nodes"))
     comp = G.connected_components(t.frag_node.select("node_id", "label"), t.frag_edge.select("src", "dst"), out="piece")
     pieces = renamed(comp.select("label", "piece").distinct(), "label", "piece")
-    return SC.merge_count(pieces, inc).select("candidate_id", "label", "n_neurons")
+    return SC.merge_count(pieces, inc).select("candidate_id", "label", "n_pieces", "n_neurons")
 
 
 _CEILING = {"inc0": _INC, "probe": f"select label from inc0 where n_nodes >= {MIN_NODES} group by label having count(*) >= 2",
-            "node2": "select 'p' as candidate_id, node_id, neuron, case when raw_label in (select label from probe) then raw_label || '#' || neuron else raw_label end as raw_label from gt_node",
+            "node2": "select 'p' as candidate_id, node_id, neuron, case when raw_label in (select label from probe) then raw_label || '#' || neuron else raw_label end as raw_label from gt_node union all select 'base', node_id, neuron, raw_label from gt_node",
             "len2": MERGED_NODES["len2"], "inc2": MERGED_NODES["inc2"]}
 
 
-@query("a18_split_ceiling", with_tables("gt_len", recursive=True, extra=scored_sql(_CEILING), body=_long(M.TRACKED, weighted_sql, "pn").replace("as value", "as perfect")))
+_CEILING |= {"perfect": _long(M.TRACKED, weighted_sql, "pn where candidate_id = 'p'"), "plain": _long(M.TRACKED, weighted_sql, "pn where candidate_id = 'base'")}
+_CEILING_SQL = scored_sql({k: v for k, v in _CEILING.items() if k not in ("perfect", "plain")}) | {k: _CEILING[k] for k in ("perfect", "plain")}
+
+
+@query("a18_split_ceiling", with_tables("gt_len", recursive=True, extra=_CEILING_SQL, body="""
+  select metric, b.value as baseline, p.value as perfect, round(p.value - b.value, 3) as delta from perfect p join plain b using (metric)"""))
 def _(t):
-    return SC.split_ceiling(brain(t), MIN_NODES).select("metric", F.round("perfect", 5).alias("perfect"))
+    return SC.split_ceiling(brain(t), MIN_NODES).select("metric", F.round("baseline", 5).alias("baseline"), F.round("perfect", 5).alias("perfect"), F.round("delta", 3).alias("delta"))
 
 
 @query("a21_patch_metrics", with_tables("gt_le", extra={

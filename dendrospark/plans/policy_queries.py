@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dendrospark.operators import edits as E
 from dendrospark.operators import graph as G
+from dendrospark.operators import metrics as M
 from dendrospark.operators import policy as P
 from dendrospark.operators import report as R
 from dendrospark.operators import sites as SI
 from dendrospark.plans import scoring as SC
 from dendrospark.plans.catalog import query
 from dendrospark.plans.derived import with_tables
-from dendrospark.plans.metric_queries import MERGED_NODES, MIN_NODES, brain, merge_edits, scored_sql
+from dendrospark.plans.metric_queries import _DISPLAY, MERGED_NODES, MIN_NODES, _long, brain, merge_edits, report_sql, scored_sql
 from dendrospark.plans.site_queries import ALL_SQL
 from dendrospark.session import cut, side_by_side
 
@@ -173,6 +175,8 @@ def _(t):
     """Sites, policies, scores and gate in one plan; its parts are checked one by one elsewhere."""
     policies = {
         "noop": P.policy_noop, "small_gap": lambda s, c: P.policy_small_gap(s, c, max_gap=8.0),
+        "tangent": lambda s, c: P.policy_tangent(s, c, max_gap=12.0), "mutual": lambda s, c: P.policy_mutual(s, c, max_gap=10.0),
+        "multisignal": lambda s, c: P.policy_multisignal(s, c, near=6.0, far=12.0),
         "budget": lambda s, c: P.policy_budget(s, c, max_gap=15.0, budget=25), "merge_cut": P.policy_merge_cut}
     out = P.tournament(brain(t), policies, stream(t), context(t), P.neuron_split(t.gt_node, 0.33, 11))
     return out.select("candidate_id", "n_edits", "has_split", "accepted", F.round("edge_accuracy", 4).alias("edge_accuracy"),
@@ -265,13 +269,54 @@ def _(t):
     round(sum(c.n_merges * c.run_length) / sum(c.run_length), 5) as n_merges, round(sum(b.n_merges * b.run_length) / sum(b.run_length), 5) as base_n_merges
   from pn c join pn b on b.candidate_id = 'base' and b.neuron = c.neuron where c.candidate_id <> 'base' and c.neuron % 3 <> 0 group by c.candidate_id"""))
 def _(t):
-    names = t.gt_node.select("neuron").distinct().filter(F.col("neuron") % 3 != 0)
-    inc = brain(t).incidence.withColumn("candidate_id", F.lit("within"))
-    merges = SC.attribute_merges(inc, merge_edits(t).limit(0).select("candidate_id", F.col("label").alias("class"), "label"))
-    h = R.failure_report(_scored(t), brain(t).baseline, brain(t).incidence, merges, merge_edits(t), names, MIN_NODES)["headline"]
+    h = _report(t)["headline"]
     return h.select("candidate_id", *[F.round(c, 5).alias(c) for c in ("edge_accuracy", "base_edge_accuracy", "n_merges", "base_n_merges")])
 
 
+def _report(t):
+    """All parts of the report on the merge candidates, with the classes their edits make."""
+    names = t.gt_node.select("neuron").distinct().filter(F.col("neuron") % 3 != 0)
+    classes = cut(E.merge_classes(merge_edits(t)))
+    both = F.explode(F.array(F.lit("within"), F.lit("across"))).alias("candidate_id")
+    inc = brain(t).incidence.select(both, "label", "neuron", "n_nodes").join(classes, ["candidate_id", "label"], "left").groupBy(
+        "candidate_id", F.coalesce("class", "label").alias("label"), "neuron").agg(F.sum("n_nodes").alias("n_nodes"))
+    return R.failure_report(_scored(t), brain(t).baseline, brain(t).incidence, SC.attribute_merges(inc, classes), merge_edits(t), names, MIN_NODES, t.gt_node)
+
+
+@query("a28_caused_merges", with_tables("gt_node", recursive=True, extra={k: v for k, v in MERGED_NODES.items() if k != "len2"} | {
+    "size": "select candidate_id, class as label, count(*) as n_fused from cls group by all having count(*) >= 2",
+    "spread": "select candidate_id, label, count(*) as n_neurons from inc2 group by all having count(*) >= 2"}, body="""
+  select i.candidate_id, i.label, i.neuron, i.n_nodes, p.n_neurons, s.n_fused from inc2 i join spread p using (candidate_id, label)
+    join size s using (candidate_id, label) where i.neuron % 3 <> 0"""))
+def _(t):
+    return _report(t)["caused_merges"].select("candidate_id", "label", "neuron", "n_nodes", "n_neurons", "n_fused")
+
+
+@query("a28_target_sites", with_tables("gt_node", extra={"inc": """
+    select raw_label as label, neuron, count(*) as n_nodes, round(avg(x), 2) as cx, round(avg(y), 2) as cy, round(avg(z), 2) as cz from gt_node
+    where raw_label <> '0' group by all""",
+    "big": f"select *, count(*) filter (neuron % 3 <> 0) over (partition by label) as inside, count(*) over (partition by label) as k from inc where n_nodes > {MIN_NODES}"}, body="""
+  select label, neuron, n_nodes, cx, cy, cz from big where k >= 2 and inside >= 2 and neuron % 3 <> 0"""))
+def _(t):
+    return _report(t)["target_sites"].select("label", "neuron", "n_nodes", "cx", "cy", "cz")
+
+
+_REPORTED = M.ERROR_METRICS + M.QUALITY_METRICS
+
+
+@query("a15_before_after", with_tables("gt_len", recursive=True, extra={
+    **{k: v for k, v in _PAIR.items() if k != "delta"}, "b": _long(_REPORTED, report_sql, "pn where candidate_id = 'base'"),
+    "a": _long(_REPORTED, report_sql, "pn where candidate_id = 'across'")}, body=f"""
+  select case metric {_DISPLAY} end as metric, round(b.value, 3) as before, round(a.value, 3) as after, round(a.value - b.value, 2) + 0.0 as delta,
+    round(case when error then b.value - a.value end, 2) + 0.0 as reduction, round(case when error then 100 * (b.value - a.value) / nullif(b.value, 0) end, 1) + 0.0 as corrected_pct,
+    round(100 * (a.value - b.value) / nullif(b.value, 0), 1) + 0.0 as relative_change_pct
+  from (select *, metric in ({', '.join(repr(m) for m in M.ERROR_METRICS)}) as error from b) b join a using (metric)"""))
+def _(t):
+    """No edits against the candidate that unites labels across neurons, over all neurons."""
+    c = M.compare_before_after(M.report_metrics(brain(t).baseline), M.report_metrics(_scored(t).filter("candidate_id = 'across'").drop("candidate_id")))
+    return c.select("metric", *[(F.round(x, d) + 0.0).alias(x) for x, d in (("before", 3), ("after", 3), ("delta", 2), ("reduction", 2), ("corrected_pct", 1), ("relative_change_pct", 1))])
+
+
 @query("a28_report_targets", with_tables("gt_node", extra={"inc": "select raw_label as label, neuron, count(*) as n from gt_node where raw_label <> '0' group by all"}, body=f"""
   select label, count(*) as n_neurons, count(*) filter (neuron % 3 <> 0) as n_inside, coalesce(sum(n) filter (neuron % 3 <> 0), 0)::bigint as n_nodes_inside,
     count(*) filter (neuron % 3 <> 0) >= 2 as listed from inc where n > {MIN_NODES} group by label having count(*) >= 2"""))

@@ -190,9 +190,19 @@ def _(t):
     return GR.greedy_matching(s, [F.col("d2")], "label_a", "label_b").select("label_a", "label_b", "node_a", "node_b", "d2")
 
 
-@query("w7_pick_spread")
+@query("w7_pick_spread", with_tables("gt_le", recursive=True, extra={
+    "mid": """select row_number() over (order by e.src) as ord, e.src as node_id, (a.x + b.x) / 2.0::double as x, (a.y + b.y) / 2.0::double as y, (a.z + b.z) / 2.0::double as z
+      from gt_le e join gt_node a on a.node_id = e.src join gt_node b on b.node_id = e.dst
+      where e.label_src <> e.label_dst and e.label_src <> '0' and e.label_dst <> '0'""",
+    "conflict": """select a.ord as better, b.ord as worse from mid a join mid b on a.ord < b.ord and abs(a.x - b.x) < 60 and
+      (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) < 3600""",
+    "pass": """
+      select cast(0 as bigint) as i, cast([] as bigint[]) as kept
+      union all
+      select i + 1, case when exists (select 1 from conflict c where c.worse = i + 1 and list_contains(kept, c.better)) then kept
+        else list_append(kept, i + 1) end from pass where i < (select count(*) from mid) and len(kept) < 20"""}, body="""
+  select node_id, x, y, z from mid where ord in (select unnest(kept) from (select kept from pass order by i desc limit 1) q)"""))
 def _(t):
-    """Sequential by nature; checked against a plain loop in the tests."""
     split = t.gt_labelled_edge.filter(
         (F.col("label_src") != F.col("label_dst")) & (F.col("label_src") != "0") & (F.col("label_dst") != "0"))
     mids = G.edge_midpoints(split.select("src", "dst"), t.gt_node).select(
