@@ -1,13 +1,15 @@
 """Removal of repeated passages by prefix-partitioned suffix trees.
 
-A passage is a window of ``WINDOW`` words. Suffixes are taken where it matters: every window has an anchor, its ``GRAM``-word prefix
+A passage is a window of ``WINDOW`` words. Suffixes are taken where it matters: every window has an anchor, its ``GRAM``-word run
 with the least hash (leftmost of equals), so equal windows have equal anchors at equal distance, and about one position in twenty
 is an anchor. Anchors that occur in one document only cannot belong to a repeated window and are left out, which is exact.
 
-The remaining suffixes are split by variable-length prefixes into groups that fit in memory: by the anchor's words, many anchors
-to a group; an anchor with more than ``GROUP`` occurrences is split by longer prefixes, all ``WINDOW`` words of each window, and these
-are aggregated instead of gathered. In a group the suffixes are sorted; runs of equal windows are the internal nodes at least
-``WINDOW`` words deep. The least document below a node keeps the passage, all others lose it.
+The remaining suffixes are split by variable-length prefixes into groups that fit in memory: by the ``GRAM`` words of their anchor, many
+anchors to a group. A group holds the words around its anchors, not hashes. Its suffixes are sorted by words (ranks of 1, 2, 4, ... 32
+words, each from two of the ones before), the common prefix of neighbours is read from the same ranks, and the places where it falls
+below ``WINDOW`` words part the nodes of that depth. An anchor with more than ``GROUP`` occurrences does not fit: there the prefix grows to
+all ``WINDOW`` words, so a group is one node, which is aggregated on 64-bit hashes and never gathered. Either way gives the same rows.
+The least document below a node keeps the passage, all others lose it. ``repeats`` lists the repeated passages themselves.
 """
 
 from __future__ import annotations
@@ -16,8 +18,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +30,7 @@ from dendrospark.session import cut
 
 WINDOW, GRAM = 50, 8
 GROUP = 20_000  #: occurrences of an anchor that are gathered in one task
-PER_TASK = 40_000  #: occurrences in a group of anchors, about
+PER_TASK = 20_000  #: occurrences in a group of anchors, about
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)  # odd, so it has an inverse modulo 2^64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -94,69 +97,99 @@ def _surveyed(docs: DataFrame) -> DataFrame:
 
 
 def _suffixes(marked: DataFrame) -> DataFrame:
-    """``_a`` (anchor), ``_many``, ``doc_id, _th``, ``_lo`` (first window) and ``_w`` (hashes of the windows) per occurrence of a repeated anchor."""
+    """``_a`` (anchor), ``_many``, ``doc_id, _th``, ``_lo`` (first window) per occurrence of a repeated anchor, with its windows: the words ``_s``, or hashes ``_w`` if many."""
     schema = T.StructType([T.StructField("_a", T.LongType()), T.StructField("_many", T.BooleanType()), marked.schema["doc_id"], marked.schema["_th"],
-                           T.StructField("_lo", T.IntegerType()), T.StructField("_w", T.ArrayType(T.LongType()))])
+                           T.StructField("_lo", T.IntegerType()), T.StructField("_s", T.BinaryType()), T.StructField("_w", T.ArrayType(T.LongType()))])
 
     def spread(rows):
         known, unpack = WordHashes(), zstandard.ZstdDecompressor()
         for part, (packed, repeated) in batches(rows, ["_packed", "_repeated"], 128):
-            row, key, many, low, out = [], [], [], [], []
+            row, key, many, low, near, out = [], [], [], [], [], []
             for i, (p, r) in enumerate(zip(packed, repeated)):
-                h = _hashes(unpack.decompress(p).split(b" "), known)
+                words = unpack.decompress(p).split(b" ")
+                h = _hashes(words, known)
                 grams, at = anchors(h)
                 windows = run_hashes(h, WINDOW).view(np.int64)
                 size = {x["a"]: x["many"] for x in r}
                 first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
                 for lo, hi, a in zip(first.tolist(), [*first[1:].tolist(), len(at)], grams[at[first]].view(np.int64).tolist()):
                     if a in size:
-                        row.append(i), key.append(a), many.append(size[a]), low.append(lo), out.append(windows[lo:hi])
+                        row.append(i), key.append(a), many.append(size[a]), low.append(lo)
+                        near.append(None if size[a] else b" ".join(words[lo:hi + WINDOW - 1])), out.append(windows[lo:hi] if size[a] else None)
             own = [part.column(part.schema.get_field_index(c)).take(pa.array(row, pa.int64())) for c in ("doc_id", "_th")]
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(many, pa.bool_()), *own, pa.array(low, pa.int32()), pa.array(out, pa.list_(pa.int64()))],
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(many, pa.bool_()), *own, pa.array(low, pa.int32()), pa.array(near, pa.binary()), pa.array(out, pa.list_(pa.int64()))],
                                              names=[f.name for f in schema.fields])
 
     return marked.select("doc_id", "_th", "_packed", "_repeated").mapInArrow(spread, schema)
 
 
-def deep_nodes(key: np.ndarray, window: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each suffix whether a smaller document lies below its node of equal windows."""
-    order = np.lexsort((doc, window, key))
-    k, w, d = key[order], window[order], doc[order]
-    head = np.r_[True, (k[1:] != k[:-1]) | (w[1:] != w[:-1])]
-    least = d[np.maximum.accumulate(np.where(head, np.arange(len(d)), 0))]  # sorted by document inside a node
-    later = np.empty(len(d), bool)
-    later[order] = d > least
-    return later
-
-
-def _gathered(rows: DataFrame, groups: int) -> DataFrame:
-    """Windows to remove, from groups of anchors."""
-    schema = T.StructType([rows.schema["doc_id"], rows.schema["_th"], T.StructField("_at", T.ArrayType(T.IntegerType()))])
+def _ranks(words: np.ndarray) -> list[np.ndarray]:
+    """Ranks of the runs of 1, 2, 4, ... words that start at every place, as long as ``WINDOW`` holds them."""
+    levels, span = [words.astype(np.int64)], 1
+    while span * 2 <= WINDOW:
+        last = levels[-1]
+        key = last * (len(words) + 1)
+        key[:-span] += last[span:] + 1
+        levels.append(np.unique(key, return_inverse=True)[1])
+        span *= 2
+    return levels
+
+
+def sorted_suffixes(words: np.ndarray, starts: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes at ``starts`` by their first ``WINDOW`` words (equal ones by ``tie``), and the common prefix of each with the one before."""
+    levels = _ranks(words)
+    top = levels[-1]
+    order = np.lexsort((tie, top[starts + WINDOW - (1 << len(levels) - 1)], top[starts]))
+    at = starts[order]
+    common = np.zeros(max(len(at) - 1, 0), np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        fits = common + (1 << k) <= WINDOW
+        common += np.where(fits & (levels[k][np.where(fits, at[1:] + common, 0)] == levels[k][np.where(fits, at[:-1] + common, 0)]), 1 << k, 0)
+    return order, np.r_[np.zeros(min(len(at), 1), np.int64), common]
+
+
+def deep_nodes(words: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix the least document below its node of depth ``WINDOW``, and the suffixes below it."""
+    order, common = sorted_suffixes(words, starts, doc)
+    node = np.cumsum(common < WINDOW) - 1
+    head = np.flatnonzero(common < WINDOW)
+    least, size = np.empty(len(doc), doc.dtype), np.empty(len(doc), np.int64)
+    least[order] = doc[order][head][node]  # sorted by document inside a node
+    size[order] = np.bincount(node, minlength=len(head))[node] if len(doc) else 0
+    return least, size
+
+
+def _gathered(rows: DataFrame, groups: int, every: bool) -> DataFrame:
+    """Windows below nodes, from groups of anchors: those to remove or, with ``every``, all that repeat."""
+    schema = T.StructType([rows.schema["doc_id"], rows.schema["_th"], T.StructField("_at", T.ArrayType(T.IntegerType())), T.StructField("_n", T.ArrayType(T.LongType()))])
 
     def subtree(data: pa.Table) -> pa.Table:
         data = data.combine_chunks()
-        lists = data.column("_w").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        size = np.diff(lists.offsets.to_numpy())
-        window = lists.flatten().to_numpy(zero_copy_only=False)
-        spread = lambda c: np.repeat(data.column(c).to_numpy(), size)
-        later = deep_nodes(spread("_a"), window, spread("doc_id"))
-        start = spread("_lo") + np.arange(len(window)) - np.repeat(np.cumsum(size) - size, size)
-        row = np.repeat(np.arange(len(size)), size)[later]
-        hit, count = np.unique(row, return_counts=True)
-        offsets = np.r_[0, np.cumsum(count)].astype(np.int32)
-        places = pa.ListArray.from_arrays(pa.array(offsets), pa.array(start[later].astype(np.int32)))
-        return pa.Table.from_arrays([data.column("doc_id").take(pa.array(hit)), data.column("_th").take(pa.array(hit)), places], names=["doc_id", "_th", "_at"])
+        parts = pc.split_pattern(data.column("_s").combine_chunks(), b" ")
+        parts = parts.chunk(0) if isinstance(parts, pa.ChunkedArray) else parts
+        offsets = parts.offsets.to_numpy().astype(np.int64)
+        words = parts.flatten().dictionary_encode().indices.to_numpy()
+        size = np.diff(offsets) - WINDOW + 1
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        doc = np.repeat(data.column("doc_id").to_numpy(), size)
+        least, below = deep_nodes(words, np.repeat(offsets[:-1], size) + inside, doc)
+        wanted = below > 1 if every else doc > least
+        start = np.repeat(data.column("_lo").to_numpy(), size) + inside
+        hit, count = np.unique(np.repeat(np.arange(len(size)), size)[wanted], return_counts=True)
+        ends = pa.array(np.r_[0, np.cumsum(count)].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (start[wanted].astype(np.int32), below[wanted])]
+        return pa.Table.from_arrays([data.column(c).take(pa.array(hit)) for c in ("doc_id", "_th")] + lists, names=["doc_id", "_th", "_at", "_n"])
 
     bucket = F.pmod(F.col("_a"), F.lit(groups))
-    return rows.select(bucket.alias("_g"), "_a", "doc_id", "_th", "_lo", "_w").groupBy("_g").applyInArrow(subtree, schema)
+    return rows.select(bucket.alias("_g"), "doc_id", "_th", "_lo", "_s").groupBy("_g").applyInArrow(subtree, schema)
 
 
-def _aggregated(rows: DataFrame) -> DataFrame:
-    """Windows to remove among those of very frequent anchors: the least document of each window, and a join with it."""
+def _aggregated(rows: DataFrame, every: bool) -> DataFrame:
+    """The same for very frequent anchors: the least document and the size of each window, and a join with them."""
     each = rows.select("_a", "doc_id", "_th", "_lo", F.posexplode("_w").alias("_i", "_x"))
-    least = each.groupBy("_a", "_x").agg(F.min("doc_id").alias("_least"))
-    return each.join(least, ["_a", "_x"]).filter(F.col("doc_id") > F.col("_least")).select("doc_id", "_th", F.array(F.col("_lo") + F.col("_i")).alias("_at"))
+    nodes = each.groupBy("_a", "_x").agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_below"))
+    wanted = F.col("_below") > 1 if every else F.col("doc_id") > F.col("_least")
+    return each.join(nodes, ["_a", "_x"]).filter(wanted).select("doc_id", "_th", F.array(F.col("_lo") + F.col("_i")).alias("_at"), F.array("_below").alias("_n"))
 
 
 def _cleaned(marked: DataFrame) -> DataFrame:
@@ -194,24 +227,46 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "_th", "_repeated", "text").mapInArrow(pack, schema)
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256`` (and ``kept_text`` where words went, else null) for every row of ``docs``.
-
-    Null, empty and blank texts have no words. A row without id keeps all its words and takes none from others. Rows with the same id
-    are one document here: they do not take words from each other. Empty tables give empty results.
-    """
+def _nodes(docs: DataFrame, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The survey of all rows, the rows with suffixes, and ``doc_id, _th, _at, _n``: windows and the size of their node."""
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("_th"))
     survey = cut(_surveyed(keyed))
     occurs = survey.filter("doc_id is not null").select("doc_id", "_th", F.inline(F.arrays_zip(F.col("_anchors").alias("_a"), F.col("_counts").alias("_c"))))
-    repeated = occurs.groupBy("_a").agg(F.sum("_c").alias("_n"), F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high")).filter("_low < _high")
+    shared = F.expr("_low < _high or _n > 1") if every else F.expr("_low < _high")
+    repeated = occurs.groupBy("_a").agg(F.sum("_c").alias("_n"), F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high")).filter(shared)
     of_docs = (occurs.join(repeated, "_a").groupBy("doc_id", "_th")
                .agg(F.collect_list(F.struct(F.col("_a").alias("a"), (F.col("_n") > GROUP).alias("many"))).alias("_repeated")))
     marked = cut(_packed(keyed.join(of_docs, ["doc_id", "_th"])))
     suffixes = cut(_suffixes(marked))
     groups = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-suffixes.count() // PER_TASK))
-    few = _gathered(suffixes.filter("not _many"), groups)
-    many = _aggregated(suffixes.filter("_many"))
-    places = few.unionByName(many).groupBy("doc_id", "_th").agg(F.collect_list("_at").alias("_places"))
+    few = _gathered(suffixes.filter("not _many"), groups, every)
+    return survey, marked, few.unionByName(_aggregated(suffixes.filter("_many"), every))
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """``doc_id, start, length, occurrences``: the repeated passages of every row of ``docs`` (in words, ``start`` from 0).
+
+    A passage is a stretch of consecutive windows that all occur equally often, also within one document; it cannot grow on either side
+    without a window that occurs more or less often. Rows without id, and texts without a repeated window, have none. A row given
+    twice repeats itself; its passages are listed once.
+    """
+    _, _, found = _nodes(docs, True)
+    each = found.select("doc_id", "_th", F.inline(F.arrays_zip(F.col("_at").alias("at"), F.col("_n").alias("n")))).distinct()
+    # rows of one document, so a window holds no more than one text
+    turn = F.col("at") - F.row_number().over(Window.partitionBy("doc_id", "_th", "n").orderBy("at"))
+    return (each.withColumn("_run", turn).groupBy("doc_id", "_th", "n", "_run")
+            .agg(F.min("at").cast("bigint").alias("start"), (F.count(F.lit(1)) + WINDOW - 1).alias("length"))
+            .select("doc_id", "start", "length", F.col("n").alias("occurrences")))
+
+
+def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256`` (and ``kept_text`` where words went, else null) for every row of ``docs``.
+
+    Null, empty and blank texts have no words. A row without id keeps all its words and takes none from others. Rows with the same id
+    are one document here: they do not take words from each other. Empty tables give empty results.
+    """
+    survey, marked, found = _nodes(docs, False)
+    places = found.groupBy("doc_id", "_th").agg(F.collect_list("_at").alias("_places"))
     cleaned = _cleaned(marked.select("doc_id", "_th", "_packed").join(places, ["doc_id", "_th"]))
     if not with_text:
         cleaned = cleaned.drop("kept_text")

@@ -409,6 +409,39 @@ def test_very_frequent_passages(spark, monkeypatch):
     assert all("p30" not in r["kept_text"] for r in got.filter("doc_id > 0").collect())
 
 
+def test_suffixes_and_common_prefixes():
+    rng = np.random.default_rng(5)
+    w = rng.integers(0, 2, 400)
+    w[200:300] = w[20:120]
+    starts = np.arange(351)
+    order, common = substrings.sorted_suffixes(w, starts, starts)
+    levels = [tuple(substrings._ranks(w)[0][s:s + 50]) for s in starts]
+    assert len(set(levels)) == len(set(tuple(w[s:s + 50]) for s in starts)) and sorted(order) == list(starts)
+    for i in range(1, 351):
+        a, b = w[order[i - 1]:][:50], w[order[i]:][:50]
+        assert common[i] == next((k for k in range(50) if a[k] != b[k]), 50)
+    assert Counter(np.flatnonzero(common == 50).tolist()) and (common == 50).sum() >= 51
+    assert [len(x) for x in substrings.sorted_suffixes(w, starts[:0], starts[:0])] == [0, 0]
+
+
+@pytest.mark.parametrize("group", [2, 20_000])
+def test_repeated_passages(spark, monkeypatch, group):
+    monkeypatch.setattr(substrings, "GROUP", group)
+    text = [" ".join(f"w{i}" for i in range(120)), "own " + " ".join(f"w{i}" for i in range(90)) + " end", " ".join(f"w{i}" for i in range(49)), "v " * 60, None]
+    rows = [(i, t) for i, t in enumerate(text)] + [(None, text[0]), (0, text[0] + " more")]
+    count = Counter(tuple(words(t)[a:a + 50]) for i, t in rows if i is not None for a in range(max(len(words(t)) - 49, 0)))
+    want = Counter()
+    for i, t in rows:
+        n = [count[tuple(words(t)[a:a + 50])] for a in range(max(len(words(t)) - 49, 0))] if i is not None else []
+        for a in range(len(n)):
+            if n[a] > 1 and (a == 0 or n[a - 1] != n[a]):
+                b = next((b for b in range(a, len(n)) if n[b] != n[a]), len(n))
+                want[(i, a, b - a + 49, n[a])] += 1
+    got = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, got.collect())) == want and (1, 1, 90, 3) in want and (3, 0, 60, 11) in want
+    assert substrings.repeats(got.sparkSession.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 # --- 10 --------------------------------------------------------------------------------------------------------------
 
 
