@@ -97,13 +97,48 @@ def proposals(pairs: DataFrame, k: int = 3, by: Sequence[str] = ()) -> DataFrame
     return one_each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def label_proposals(props: DataFrame, node_to_neuron: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Truth of each proposal: accept, reject or unknown by the neurons of its two ends."""
+def label_proposals(props: DataFrame, node_to_neuron: DataFrame, by: Sequence[str] = (), frag_node: DataFrame | None = None,
+                    gt_node: DataFrame | None = None, max_projection: float = 8.0) -> DataFrame:
+    """Truth of each proposal: accept, reject or unknown by the neurons of its two ends.
+
+    With the nodes of both graphs given, an accepted proposal must also lie along its neuron: ``projection_p90``, the 90th percentile
+    of the distances from the proposal's points to that neuron, has to be less than ``max_projection``; it is rejected otherwise.
+    """
     for end in ("node_a", "node_b"):
         props = props.join(node_to_neuron.select(*by, F.col("node_id").alias(end), F.col("neuron").alias(f"neuron_{end}")),
                            [*by, end], "left")
     same = F.col("neuron_node_a") == F.col("neuron_node_b")
-    return props.withColumn("truth", F.when(same, "accept").when(~same, "reject").otherwise("unknown"))
+    props = props.withColumn("truth", F.when(same, "accept").when(~same, "reject").otherwise("unknown"))
+    if frag_node is None or gt_node is None:
+        return props
+    props = cut(props)
+    one = props.filter(F.col("truth") == "accept").select(*by, "node_a", "node_b", F.col("neuron_node_a").alias("neuron"))
+    far = proposal_projection(one, frag_node, gt_node, by=by).drop("neuron")
+    props = props.join(far, [*by, "node_a", "node_b"], "left")
+    aside = (F.col("truth") == "accept") & (F.col("projection_p90") >= max_projection)
+    return props.withColumn("truth", F.when(aside, "reject").otherwise(F.col("truth")))
+
+
+def proposal_projection(props: DataFrame, frag_node: DataFrame, gt_node: DataFrame, spacing: float = 1.0, share: float = 0.9,
+                        by: Sequence[str] = (), start: float = 8.0) -> DataFrame:
+    """``by, node_a, node_b, neuron, projection_p90`` for proposals ``node_a, node_b, neuron``.
+
+    Points lie at most ``spacing`` apart on the straight line between the ends, both included; each is measured to the nearest node
+    of the neuron, however far. A proposal is no longer than its search radius, so it has few points.
+    """
+    line = props.select(*by, "node_a", "node_b", "neuron")
+    for node in ("node_a", "node_b"):
+        line = _place(line, frag_node, node, node, by)
+    axes = [(F.col(f"node_a_{c}").cast("double"), F.col(f"node_b_{c}").cast("double")) for c in XYZ]
+    length = F.sqrt(sum(((b - a) * (b - a) for a, b in axes), F.lit(0.0)))
+    line = line.withColumn("_steps", F.greatest(F.lit(1), F.ceil(length / spacing).cast("int")))
+    line = line.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_steps"))))
+    points = line.select(*by, "neuron", F.struct("node_a", "node_b", "_i").alias("_point"),
+                         *[(a + (b - a) * F.col("_i") / F.col("_steps")).alias(c) for c, (a, b) in zip(XYZ, axes)])
+    build = as_build(gt_node.select(*by, "node_id", *XYZ, F.col("neuron")), by=[*by, "neuron"])
+    hit = nearest(points, build, probe_id="_point", build_id="b_id", radius=start, by=[*by, "neuron"], bounded=False)
+    return hit.groupBy(*by, "neuron", "_point.node_a", "_point.node_b").agg(
+        F.percentile(F.sqrt("d2"), F.lit(share)).alias("projection_p90"))
 
 
 # --- merge sites ----------------------------------------------------------------------------------------------------

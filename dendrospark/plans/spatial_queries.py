@@ -129,20 +129,47 @@ def _(t):
     return SI.proposals(SI.tip_pairs(t.frag_node, t.frag_edge, 15.0), k=2).select("node_a", "node_b", "label_b", "d2", "rank")
 
 
-@query("j16_proposal_truth", with_tables("tip_pair", extra={"prop": _PROPOSAL, "rev": """
+_TRUTH = {"prop": _PROPOSAL, "rev": """
     select node_id, neuron from (select f.node_id, g.neuron, row_number() over (partition by f.node_id
       order by (g.x-f.x)*(g.x-f.x) + (g.y-f.y)*(g.y-f.y) + (g.z-f.z)*(g.z-f.z), g.node_id) as rn
-      from frag_node f join gt_node g on g.x between f.x - 1 and f.x + 1 and g.y = f.y and g.z = f.z) q where rn = 1"""}, body="""
-  select truth, count(*) as n from (select case when a.neuron = b.neuron then 'accept' when a.neuron <> b.neuron then 'reject'
-    else 'unknown' end as truth from prop p left join rev a on p.node_a = a.node_id left join rev b on p.node_b = b.node_id
-    where rank <= 3) q group by truth"""))
-def _(t):
+      from frag_node f join gt_node g on g.x between f.x - 1 and f.x + 1 and g.y = f.y and g.z = f.z) q where rn = 1""",
+    "ends": """
+    select p.node_a, p.node_b, a.neuron as na, b.neuron as nb from prop p left join rev a on p.node_a = a.node_id
+      left join rev b on p.node_b = b.node_id where rank <= 3""",
+    "line": """
+    select e.node_a, e.node_b, na, a.x as ax, a.y as ay, a.z as az, b.x - a.x as dx, b.y - a.y as dy, b.z - a.z as dz,
+      greatest(1, cast(ceil(sqrt((b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) + (b.z-a.z)*(b.z-a.z))) as integer)) as steps
+    from ends e join frag_node a on a.node_id = e.node_a join frag_node b on b.node_id = e.node_b where na = nb""",
+    "dots": """
+    select node_a, node_b, na, i, ax + dx * i / steps as x, ay + dy * i / steps as y, az + dz * i / steps as z
+    from (select *, unnest(range(0, steps + 1)) as i from line) q""",
+    "far": """
+    select node_a, node_b, quantile_cont(d, 0.9) as p90 from (
+      select p.node_a, p.node_b, p.i, sqrt(min((g.x-p.x)*(g.x-p.x) + (g.y-p.y)*(g.y-p.y) + (g.z-p.z)*(g.z-p.z))) as d
+      from dots p join gt_node g on g.neuron = p.na group by p.node_a, p.node_b, p.i) q group by node_a, node_b"""}
+
+
+def _proposal_truth(t, **limit):
     # reverse labels: the neuron of the true node nearest to each fragment node
     truth = t.gt_node.select("node_id", "x", "y", "z", F.col("neuron").alias("n_gt"))
     rev = SP.nearest(t.frag_node, SP.as_build(truth, keep={"n_gt": "neuron"}), probe_id="node_id", build_id="b_id",
                      radius=1.0, carry=["neuron"])
     props = SI.proposals(SI.tip_pairs(t.frag_node, t.frag_edge, 15.0), k=3)
-    return SI.label_proposals(props, rev.select("node_id", "neuron")).groupBy("truth").agg(F.count(F.lit(1)).alias("n"))
+    return SI.label_proposals(props, rev.select("node_id", "neuron"), frag_node=t.frag_node, gt_node=t.gt_node, **limit)
+
+
+@query("j16_proposal_truth", with_tables("tip_pair", extra=_TRUTH, body="""
+  select truth, count(*) as n, round(max(p90), 6) as max_p90 from (select case when na = nb and p90 >= 8 then 'reject' when na = nb then 'accept'
+    when na <> nb then 'reject' else 'unknown' end as truth, p90 from ends left join far using (node_a, node_b)) q group by truth"""))
+def _(t):
+    return _proposal_truth(t).groupBy("truth").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("projection_p90"), 6).alias("max_p90"))
+
+
+@query("j16_proposal_truth_strict", with_tables("tip_pair", extra=_TRUTH, body="""
+  select node_a, node_b, round(p90, 6) as p90, case when na = nb and p90 >= 2.3 then 'reject' when na = nb then 'accept'
+    when na <> nb then 'reject' else 'unknown' end as truth from ends left join far using (node_a, node_b)"""))
+def _(t):
+    return _proposal_truth(t, max_projection=2.3).select("node_a", "node_b", F.round("projection_p90", 6).alias("p90"), "truth")
 
 
 @query("p9_nodes_in_patch", with_tables("gt_node", body="""

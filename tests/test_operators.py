@@ -276,3 +276,23 @@ def test_ledger_stream(spark, tmp_path):
     finally:
         q.stop()
     assert (r.n_generations, r.n_accepted, r.best_heldout) == (2, 1, 70.5)
+
+
+def test_projection_of_proposals(spark):
+    from dendrospark.operators import sites
+    from dendrospark.session import cut
+    gt = [("b", i, n, float(x), 0.0, 0.0) for i, (n, x) in enumerate([("n1", 0), ("n1", 3), ("n1", 40), ("n2", 20)])]
+    gt += [("c", i, n, x + 1000.0, y, z) for _, i, n, x, y, z in gt]
+    frag = [(b, 10 * i, x, 0.0, 0.0) for b, i, _, x, _, _ in gt]
+    props = [(b, 0, 10, 0.0) for b in "bc"] + [(b, 0, 20, 0.0) for b in "bc"] + [("b", 0, 30, 0.0), ("b", 0, 99, 0.0)]
+    gt = cut(spark.createDataFrame(gt, "brain_id string, node_id long, neuron string, x double, y double, z double"))
+    frag = cut(spark.createDataFrame(frag, "brain_id string, node_id long, x double, y double, z double"))
+    props = spark.createDataFrame(props, "brain_id string, node_a long, node_b long, d2 double")
+    neurons = gt.select("brain_id", (gt.node_id * 10).alias("node_id"), "neuron")
+    got = sites.label_proposals(props, neurons, ["brain_id"], frag, gt)
+    # 41 points on the long line: at most 18.5 from a node of its own neuron, the other neuron in the middle does not count
+    far = sorted(min(abs(p - x) for x in (0, 3, 40)) for p in range(41))[36]
+    want = {(b, 10): ("accept", 1.0) for b in "bc"} | {(b, 20): ("reject", float(far)) for b in "bc"}
+    want |= {("b", 30): ("reject", None), ("b", 99): ("unknown", None)}
+    assert {(r["brain_id"], r["node_b"]): (r["truth"], r["projection_p90"]) for r in got.collect()} == want
+    assert sites.label_proposals(props, neurons, ["brain_id"]).count() == 6
