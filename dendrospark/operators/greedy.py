@@ -18,33 +18,63 @@ from dendrospark.session import cut, is_empty
 _CELL = ("_gx", "_gy", "_gz")
 
 
+def _settled(state: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Ranks that are kept, of items that wait for nothing (kept), for one better item ``_up``, or are ``_open`` (not decided yet).
+
+    An item that waits for one other is kept if and only if that one is not. So along a chain of such items every second one is kept,
+    and pointer doubling with the parity of the way decides a chain of any length in logarithmically many steps.
+    """
+    key = [*by, "_rank"]
+    free = state.filter(~F.col("_open") & F.col("_up").isNull()).select(*key)
+    wait = state.filter(~F.col("_open") & F.col("_up").isNotNull()).select(*key, "_up", F.lit(True).alias("_odd"))
+    if is_empty(wait.join(wait.select(*by, F.col("_rank").alias("_up")), [*by, "_up"], "left_semi")):
+        return free  # no chains: whoever waits for a kept item goes
+    while True:
+        on = wait.select(*by, F.col("_rank").alias("_up"), F.col("_up").alias("_next"), F.col("_odd").alias("_odd_next"))
+        wait = cut(wait.join(on, [*by, "_up"], "left").select(
+            *key, F.coalesce("_next", "_up").alias("_up"), (F.col("_odd") != F.coalesce("_odd_next", F.lit(False))).alias("_odd"),
+            F.col("_next").isNotNull().alias("_moved")))
+        if is_empty(wait.filter("_moved")):
+            break
+    even = wait.filter(~F.col("_odd")).join(free.withColumnRenamed("_rank", "_up"), [*by, "_up"], "left_semi")
+    return free.unionByName(even.select(*key))
+
+
 def suppress(points: DataFrame, order: Sequence[Column], separation: float, id_col: str = "node_id", by: Sequence[str] = ()) -> DataFrame:
     """Best-first suppression: keep a point unless a kept, better one is closer than ``separation``.
 
-    Cells are so small that two points of one cell always conflict. A round looks
-    at the best live point of each cell only: if it beats the leaders of all cells
-    in reach it is kept, and the live points near it go. So a crowded place costs
+    Cells are so small that two points of one cell always conflict. A round looks at the best live point of each cell and the rank of
+    the second: a leader waits for the better leaders it conflicts with, and is left open where a cell in reach holds more than one better
+    point. Chains of leaders that wait for one other are decided at once; the live points near kept ones go. So a crowded place costs
     one aggregate, never its pairs.
     """
     by, size = list(by), separation / math.sqrt(3.0)
+    cell = [*by, *_CELL]
     live = points.withColumns({
         **{c: F.floor(F.col(v) / F.lit(size)) for c, v in zip(_CELL, ("x", "y", "z"))},
         "_rank": F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(id_col).alias("oid")),
     })
     live = cut(live)
     kept: DataFrame | None = None
+
+    def near(ax, ay, az):
+        dx, dy, dz = F.col("x") - F.col(ax), F.col("y") - F.col(ay), F.col("z") - F.col(az)
+        return dx * dx + dy * dy + dz * dz < separation * separation
+
     while True:
-        leaders = live.groupBy(*by, *_CELL).agg(F.min("_rank").alias("_rank"))
-        around = _in_reach(leaders, [*by, F.col("_rank").alias("_mine")])
-        beaten = around.join(leaders, [*by, *_CELL]).filter(F.col("_rank") < F.col("_mine")).select(
-            *by, F.col("_mine").alias("_rank")).distinct()
-        winners = cut(live.join(leaders.join(beaten, [*by, "_rank"], "left_anti").select(*by, "_rank"), [*by, "_rank"], "left_semi"))
+        best = live.groupBy(*cell).agg(F.min(F.struct("_rank", "x", "y", "z")).alias("_best"))
+        second = live.join(best, cell).filter(F.col("_rank") > F.col("_best._rank")).groupBy(*cell).agg(F.min("_rank").alias("_second"))
+        leaders = cut(best.join(second, cell, "left").select(*cell, "_best.*", "_second"))
+        mine = _in_reach(leaders, [*by, F.col("_rank").alias("_mine"), *[F.col(c).alias(f"_m{c}") for c in ("x", "y", "z")]])
+        better = mine.join(leaders, cell).filter(F.col("_rank") < F.col("_mine"))
+        unclear = F.coalesce(F.col("_second") < F.col("_mine"), F.lit(False))
+        waits = better.filter(unclear | near("_mx", "_my", "_mz")).groupBy(*by, F.col("_mine").alias("_rank")).agg(
+            F.min("_rank").alias("_up"), ((F.count(F.lit(1)) > 1) | F.bool_or(unclear)).alias("_open"))
+        state = cut(leaders.select(*by, "_rank").join(waits, [*by, "_rank"], "left").withColumn("_open", F.coalesce("_open", F.lit(False))))
+        winners = cut(live.join(_settled(state, by), [*by, "_rank"], "left_semi"))
         kept = winners if kept is None else kept.unionByName(winners)
         centre = _in_reach(winners, [*by, *[F.col(c).alias(f"_w{c}") for c in ("x", "y", "z")]])
-        d2 = ((F.col("x") - F.col("_wx")) * (F.col("x") - F.col("_wx"))
-              + (F.col("y") - F.col("_wy")) * (F.col("y") - F.col("_wy"))
-              + (F.col("z") - F.col("_wz")) * (F.col("z") - F.col("_wz")))
-        gone = live.join(centre, [*by, *_CELL]).filter(d2 < separation * separation).select(*by, id_col).distinct()
+        gone = live.join(centre, cell).filter(near("_wx", "_wy", "_wz")).select(*by, id_col).distinct()
         live = cut(live.join(gone, [*by, id_col], "left_anti"))
         if is_empty(live):
             return kept.drop(*_CELL, "_rank")
@@ -61,20 +91,31 @@ def greedy_matching(edges: DataFrame, order: Sequence[Column], a: str = "a", b:
                     by: Sequence[str] = ()) -> DataFrame:
     """Exclusive choice: best first, each endpoint used at most once.
 
-    A round keeps the edges that are the best live edge at both ends. As a
-    matching under weights this reaches at least half of the optimum.
+    A round keeps the edges that are the best live edge at both ends, and decides at once the chains of edges that wait for one better
+    edge each. As a matching under weights this reaches at least half of the optimum.
     """
     by = list(by)
     live = cut(edges.withColumn("_rank", F.struct(
         *[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(id_col).alias("oid"))))
     kept: DataFrame | None = None
+
+    def at_ends(df: DataFrame, per_end: DataFrame, col: str, how: str) -> DataFrame:
+        for end in (a, b):
+            df = df.join(per_end.withColumnsRenamed({"_end": end, col: f"{col}_{end}"}), [*by, end], how)
+        return df
+
     while True:
-        best = live.select(*by, "_rank", F.explode(F.array(a, b)).alias("_end")).groupBy(*by, "_end").agg(
-            F.min("_rank").alias("_best"))
-        at_a = best.select(*by, F.col("_end").alias(a), F.col("_best").alias("_ba"))
-        at_b = best.select(*by, F.col("_end").alias(b), F.col("_best").alias("_bb"))
-        chosen = cut(live.join(at_a, [*by, a]).join(at_b, [*by, b]).filter(
-            (F.col("_rank") == F.col("_ba")) & (F.col("_rank") == F.col("_bb"))).select(*live.columns))
+        best = live.select(*by, "_rank", F.explode(F.array(a, b)).alias("_end")).groupBy(*by, "_end").agg(F.min("_rank").alias("_best"))
+        ends = at_ends(live.select(*by, "_rank", a, b), best, "_best", "inner")
+        worse = ends.select(*by, "_rank", F.explode(F.array(*[
+            F.struct(F.col(end).alias("end"), F.col(f"_best_{end}").alias("best")) for end in (a, b)])).alias("_e")).filter(
+            F.col("_rank") > F.col("_e.best"))
+        second = worse.groupBy(*by, F.col("_e.end").alias("_end")).agg(F.min("_rank").alias("_second"))
+        up = [F.when(F.col("_rank") > F.col(f"_best_{end}"), F.col(f"_best_{end}")) for end in (a, b)]
+        third = [F.coalesce(F.col("_rank") > F.col(f"_second_{end}"), F.lit(False)) for end in (a, b)]
+        state = cut(at_ends(ends, second, "_second", "left").select(
+            *by, "_rank", F.coalesce(*up).alias("_up"), (third[0] | third[1] | F.coalesce(up[0] != up[1], F.lit(False))).alias("_open")))
+        chosen = cut(live.join(_settled(state, by), [*by, "_rank"], "left_semi").select(*live.columns))
         kept = chosen if kept is None else kept.unionByName(chosen)
         used = chosen.select(*by, F.explode(F.array(a, b)).alias("_end")).distinct()
         live = cut(

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from dendrospark import session
 from dendrospark.functions.scalar import belief_label, direction
 from dendrospark.operators import graph as G
 from dendrospark.operators import greedy as GR
@@ -116,6 +117,41 @@ def test_suppression_like_one_pass(spark):
     assert {r.node_id for r in first.collect()} == {p[0] for p in kept[:5]}
 
 
+@pytest.mark.parametrize("step", [0.6, 0.9])
+def test_suppression_decides_chains_in_few_rounds(spark, step):
+    """A line of points, each better than the next, of two scopes; also ties and coincident points."""
+    n, rng = 3000, random.Random(8)
+    pts = [(s, i, i * step, 0.0, 0.0, float(i)) for s in "ab" for i in range(n)]
+    pts += [("c", i, rng.random() * 30, rng.random() * 2, 0.0, float(i % 5)) for i in range(300)] + [("c", 400 + i, 1.0, 1.0, 1.0, 0.0) for i in range(30)]
+    want = set()
+    for s in "abc":
+        kept = []
+        for p in sorted((p for p in pts if p[0] == s), key=lambda p: (p[5], p[1])):
+            if all(sum((u - v) ** 2 for u, v in zip(p[2:5], q[2:5])) >= 1.0 for q in (kept[-4:] if s != "c" else kept)):
+                kept.append(p)
+        want |= {p[:2] for p in kept}
+    before = len(session.WRITTEN)
+    got = GR.suppress(spark.createDataFrame(pts, "s string, " + NODE + ", score double"), [F.col("score")], 1.0, by=["s"])
+    assert {(r.s, r.node_id) for r in got.collect()} == want and got.count() == len(want)
+    assert step < 0.9 or len(session.WRITTEN) - before < 90
+
+
+def test_matching_decides_chains_in_few_rounds(spark):
+    """10,000 edges in rising order along one path; parallel edges and a comb beside it."""
+    rows = [(i, i, i + 1, float(i)) for i in range(10_000)]
+    rows += [(20_000 + i, 20_000 + i // 3, 20_001 + i // 3, float(i % 7)) for i in range(600)]
+    rows += [(30_000 + i, 30_000 + i, 40_000 + i, float(i % 3)) for i in range(50)] + [(31_000 + i, 30_000 + i, 30_001 + i, 1.0) for i in range(49)]
+    used, kept = set(), set()
+    for i, a, b, _ in sorted(rows, key=lambda e: (e[3], e[0])):
+        if a not in used and b not in used:
+            kept.add(i)
+            used |= {a, b}
+    before = len(session.WRITTEN)
+    got = GR.greedy_matching(spark.createDataFrame(rows, "edge_id long, a long, b long, score double"), [F.col("score")])
+    assert {r.edge_id for r in got.collect()} == kept
+    assert len(session.WRITTEN) - before < 60  # 14 doublings in the first round, four tables a round besides
+
+
 def random_edges(seed, n=120, v=40):
     rng = random.Random(seed)
     return [(i, rng.randrange(v), rng.randrange(v, 2 * v) if rng.random() < 0.5 else rng.randrange(v), round(rng.random(), 1)) for i in range(n)]
