@@ -79,9 +79,22 @@ def _(t):
     return E.merge_classes(merge_edits(t))
 
 
-@query("e4_capped_classes")
-def _(t):
-    """Order-dependent; checked against a sequential fold in the tests."""
+# one pass over the edits in order; place i of cls holds the class of the i-th label, named by its smallest place
+@query("e4_capped_classes", with_tables("split_site", recursive=True, extra={
+    "ordered": """select label_a, label_b, row_number() over (
+        order by lpad(cast(d2 as varchar), 6, '0') || '-' || node_a || '-' || node_b) as i
+      from split_site where label_a <> '0' and label_b <> '0'""",
+    "lab": "select label, row_number() over (order by label) as k from (select label_a as label from ordered union select label_b from ordered) q",
+    "step": """select o.i, a.k as ka, b.k as kb from ordered o join lab a on a.label = o.label_a join lab b on b.label = o.label_b""",
+    "fold": """select cast(0 as bigint) as i, (select list(k order by k) from lab) as cls
+      union all
+      select s.i, case when cls[ka] <> cls[kb] and len(list_filter(cls, lambda c: c = cls[ka] or c = cls[kb])) <= 3
+        then list_transform(cls, lambda c: case when c = greatest(cls[ka], cls[kb]) then least(cls[ka], cls[kb]) else c end) else cls end
+      from fold f join step s on s.i = f.i + 1""",
+    "last": "select cls from fold order by i desc limit 1"}, body="""
+  select 'c' as candidate_id, l.label, m.label as class from lab l join lab m on m.k = (select cls from last)[l.k]"""))
+def _(t):
+    """Classes of at most three labels; edits that would exceed them are refused in order."""
     from dendrospark.operators.sites import split_sites
 
     s = split_sites(t.frag_node, t.frag_edge, 15.0, max_sites=None)

@@ -216,9 +216,25 @@ def _proposals(t):
                     F.col("label_b").alias("b"), (F.lit(1.0) - F.col("d2") / 450.0).alias("score"))
 
 
-@query("g10_progressive_accept")
+# one pass in order of level and score; place i of cls holds the component of the i-th label, named by its smallest place
+@query("g10_progressive_accept", with_tables("tip_pair", recursive=True, extra={
+    "prop": """select node_a || '-' || node_b as edge_id, label_a as a, label_b as b, 1 - d2 / 450.0::double as score
+      from (select *, row_number() over (partition by node_a order by d2, node_b) as rank from (
+        select *, row_number() over (partition by node_a, label_b order by d2, node_b) as rn from tip_pair) where rn = 1) where rank <= 3""",
+    "levelled": """select *, cast(greatest(0, ceil(round((0.95::double - score) / 0.05::double, 9))) as integer) as level
+      from prop where score >= 0.75 and a <> b""",
+    "ordered": "select *, row_number() over (order by level, score desc, edge_id) as i from levelled",
+    "lab": "select label, row_number() over (order by label) as k from (select a as label from ordered union select b from ordered) q",
+    "step": "select o.i, x.k as ka, y.k as kb from ordered o join lab x on x.label = o.a join lab y on y.label = o.b",
+    "fold": """select cast(0 as bigint) as i, (select list(k order by k) from lab) as cls, cast([] as bigint[]) as kept
+      union all
+      select s.i, list_transform(cls, lambda c: case when c = greatest(cls[ka], cls[kb]) then least(cls[ka], cls[kb]) else c end),
+        case when cls[ka] = cls[kb] then kept else list_append(kept, s.i) end
+      from fold f join step s on s.i = f.i + 1"""}, body="""
+  select edge_id, a, b, round(score, 6) as score, level from ordered
+  where i in (select unnest(kept) from (select kept from fold order by i desc limit 1) q)"""))
 def _(t):
-    """Acceptance order closes no cycle; checked against union-find in the tests."""
+    """Proposals accepted as the threshold falls, unless they close a cycle."""
     return GR.progressive_accept(_proposals(t)).select("edge_id", "a", "b", F.round("score", 6).alias("score"), "level")
 
 
