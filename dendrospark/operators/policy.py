@@ -30,7 +30,7 @@ class Context:
 
     frag_node: DataFrame
     frag_edge: DataFrame
-    voxels: DataFrame | None = None  # z, y, x, value
+    voxels: DataFrame | None = None  # z, y, x, value, and by
     anisotropy: tuple[float, float, float] = (1.0, 1.0, 1.0)
     by: Sequence[str] = ()  # columns that tell brains apart, in all tables and in the sites
 
@@ -111,9 +111,9 @@ def policy_merge_cut(sites: DataFrame, ctx: Context, min_arm: float = 12.0, max_
     m = m.filter((F.col("detector") == "component") | ((F.col("angle_deg") <= max_angle) & two))
     if ctx.voxels is not None:
         seeds = m.select(
-            F.col("site_seq").alias("site"), *[F.col(f"seed_a_{c}").alias(f"a{c}") for c in XYZ],
+            F.col("site_seq").alias("site"), *ctx.by, *[F.col(f"seed_a_{c}").alias(f"a{c}") for c in XYZ],
             *[F.col(f"seed_b_{c}").alias(f"b{c}") for c in XYZ])
-        valley = V.merge_cut_evidence(seeds, ctx.voxels, ctx.anisotropy).filter(
+        valley = V.merge_cut_evidence(seeds, ctx.voxels, ctx.anisotropy, by=ctx.by).filter(
             (F.col("valley_ratio") <= max_valley) & F.col("valley_pos").between(0.25, 0.75))
         m = m.join(valley.select(F.col("site").alias("site_seq")), "site_seq", "left_semi")
     return as_split_edits(m, ctx.by)
@@ -127,8 +127,8 @@ def policy_multisignal(sites: DataFrame, ctx: Context, near: float = 3.0, far: f
     ratio = radius_ratio(F.col("radius_a"), F.col("radius_b"))
     s = s.withColumn("_off", off).filter((F.col("_off") <= max_angle) & (ratio.isNull() | (ratio <= max_ratio)))
     if ctx.voxels is not None:
-        ends = s.select(F.col("site_seq").alias("site"), *[F.col(f"a{c}") for c in XYZ], *[F.col(f"b{c}") for c in XYZ])
-        light = V.gap_connectivity(ends, ctx.voxels, ctx.anisotropy)
+        ends = s.select(F.col("site_seq").alias("site"), *ctx.by, *[F.col(f"a{c}") for c in XYZ], *[F.col(f"b{c}") for c in XYZ])
+        light = V.gap_connectivity(ends, ctx.voxels, ctx.anisotropy, by=ctx.by)
         bright, dim = F.greatest("mean_a", "mean_b"), F.least("mean_a", "mean_b")
         known = F.col("mean_a").isNotNull() & F.col("mean_b").isNotNull()
         light = light.select(F.col("site").alias("site_seq"), F.when(known, (bright > 0) & (dim >= dim_share * bright)).alias("_img"))

@@ -80,26 +80,28 @@ def mip(voxels: DataFrame, axis: str, value: str = "value") -> DataFrame:
     return voxels.groupBy(*rest).agg(F.max(value).alias(value))
 
 
-def _patch_values(centres: DataFrame, keys: Sequence[str], voxels: DataFrame, shape: Sequence[int]) -> DataFrame:
+def _patch_values(centres: DataFrame, keys: Sequence[str], voxels: DataFrame, shape: Sequence[int],
+                  by: Sequence[str] = ()) -> DataFrame:
     """Voxels inside the box of ``shape`` around each centre (``cz, cy, cx``): a cell join, then the exact box.
 
     A patch starts at centre - size // 2.
     """
-    cells = [f"_k{c}" for c in ZYX]
+    cells = [*by, *[f"_k{c}" for c in ZYX]]
     low = {c: F.col(f"c{c}") - F.lit(s // 2) for c, s in zip(ZYX, shape)}
     # distinct centres first: neighbouring samples often share their patch
-    p = centres.select(*keys, *[F.col(f"c{c}") for c in ZYX])
-    q = p.select(*[F.col(f"c{c}") for c in ZYX]).distinct()
-    for k, c, s in zip(cells, ZYX, shape):
+    centre = [*by, *[f"c{c}" for c in ZYX]]
+    p = centres.select(*keys, *centre)
+    q = p.select(*centre).distinct()
+    for k, c, s in zip(cells[len(by):], ZYX, shape):
         q = q.withColumn(k, F.explode(F.sequence(F.floor(low[c] / F.lit(s)), F.floor((low[c] + F.lit(s - 1)) / F.lit(s)))))
-    v = voxels.withColumns({k: F.floor(F.col(c) / F.lit(s)) for k, c, s in zip(cells, ZYX, shape)})
+    v = voxels.withColumns({k: F.floor(F.col(c) / F.lit(s)) for k, c, s in zip(cells[len(by):], ZYX, shape)})
     hit = q.join(v, cells)
     for c, s in zip(ZYX, shape):
         hit = hit.filter((F.col(c) >= low[c]) & (F.col(c) < low[c] + F.lit(s)))
     # rounded, so that equal samples stay equal after interpolation
-    stats = hit.groupBy(*[f"c{c}" for c in ZYX]).agg(
+    stats = hit.groupBy(*centre).agg(
         F.avg("value").alias("mean"), F.max("value").cast("double").alias("max"), F.round(F.percentile("value", F.lit(0.9)), 9).alias("p90"))
-    return p.join(stats, [f"c{c}" for c in ZYX], "left")
+    return p.join(stats, centre, "left")
 
 
 def _voxel_of(prefix: str, anisotropy: Sequence[float]) -> dict[str, Column]:
@@ -108,20 +110,22 @@ def _voxel_of(prefix: str, anisotropy: Sequence[float]) -> dict[str, Column]:
 
 
 def gap_connectivity(pairs: DataFrame, voxels: DataFrame, anisotropy: Sequence[float] = (1.0, 1.0, 1.0),
-                     shape: Sequence[int] = (16, 16, 16)) -> DataFrame:
+                     shape: Sequence[int] = (16, 16, 16), by: Sequence[str] = ()) -> DataFrame:
     """Mean, maximum and 90th percentile of the intensities around both ends of a gap; NULL where there is no voxel.
 
     ``pairs``: site, ax, ay, az, bx, by, bz in microns. ``voxels`` lists the voxels that exist.
+    Columns ``by`` tell the images of several brains apart, in both tables; ``site`` is unique over all.
     """
     def side(tag):
-        return _patch_values(pairs.select("site", *[c.alias(n) for n, c in _voxel_of(tag, anisotropy).items()]), ["site"], voxels, shape).select(
+        ends = pairs.select("site", *by, *[c.alias(n) for n, c in _voxel_of(tag, anisotropy).items()])
+        return _patch_values(ends, ["site"], voxels, shape, by).select(
             "site", F.col("mean").alias(f"mean_{tag}"), F.col("max").alias(f"max_{tag}"), F.col("p90").alias(f"p90_{tag}"))
 
     return side("a").join(side("b"), "site")
 
 
 def merge_cut_evidence(sites: DataFrame, voxels: DataFrame, anisotropy: Sequence[float] = (1.0, 1.0, 1.0), n_samples: int = 9,
-                       shape: Sequence[int] = (16, 16, 16)) -> DataFrame:
+                       shape: Sequence[int] = (16, 16, 16), by: Sequence[str] = ()) -> DataFrame:
     """Intensity profile along the chord between two seeds: is there a valley?
 
     Each sample is the 90th percentile of a small patch. The lowest interior
@@ -136,7 +140,7 @@ def merge_cut_evidence(sites: DataFrame, voxels: DataFrame, anisotropy: Sequence
     share = F.col("i") / F.lit(float(last))
     # Python's round: half to even
     centre = {f"c{c}": F.bround(F.col(f"_ac{c}") + share * (F.col(f"_bc{c}") - F.col(f"_ac{c}"))).cast("bigint") for c in ZYX}
-    samples = _patch_values(v.select("site", "i", *[c.alias(n) for n, c in centre.items()]), ["site", "i"], voxels, shape)
+    samples = _patch_values(v.select("site", "i", *by, *[c.alias(n) for n, c in centre.items()]), ["site", "i"], voxels, shape, by)
     # n_samples rows per site
     prof = samples.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("i", "p90"))).alias("_s")).withColumn(
         "profile", F.transform("_s", lambda s: s["p90"]))

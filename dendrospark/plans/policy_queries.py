@@ -10,11 +10,13 @@ from dendrospark.operators import metrics as M
 from dendrospark.operators import policy as P
 from dendrospark.operators import report as R
 from dendrospark.operators import sites as SI
+from dendrospark.operators import voxel as V
 from dendrospark.plans import scoring as SC
 from dendrospark.plans.catalog import query
 from dendrospark.plans.derived import with_tables
 from dendrospark.plans.metric_queries import _DISPLAY, MERGED_NODES, MIN_NODES, _long, brain, merge_edits, report_sql, scored_sql
 from dendrospark.plans.site_queries import ALL_SQL
+from dendrospark.plans.voxel_queries import GT_VOX, LIGHT, light
 from dendrospark.session import cut, side_by_side
 
 
@@ -84,6 +86,56 @@ def _(t):
     return P.policy_multisignal(stream(t), context(t), near=6.0, far=12.0).select("label_a", "label_b")
 
 
+# the image covers the part of the frame below this x, so some ends and cuts have no voxels
+_IMAGE_END = 120
+_IMAGE = {"gt_vox": GT_VOX, "light": f"select * from ({LIGHT}) q where x < {_IMAGE_END}"}
+# values of the voxels 8 before to 7 after a centre cz, cy, cx
+_BOX = """
+  from {pts} p join light l on l.z >= p.cz - 8 and l.z < p.cz + 8 and l.y >= p.cy - 8 and l.y < p.cy + 8 and l.x >= p.cx - 8 and l.x < p.cx + 8"""
+
+
+def image(t):
+    return light(t).filter(F.col("x") < _IMAGE_END)
+
+
+@query("d4_policy_merge_cut_image", with_tables("frag_deg", "gt_edge", recursive=True, extra={**ALL_SQL, **_IMAGE,
+    "strong": """select * from found where cable_a_um >= 12 and cable_b_um >= 12
+      and (detector = 'component' or (angle_deg <= 130 and (radius_ratio >= 1.5 or branch_degree >= 4)))""",
+    "smp": """select s.cut_node, s.seed_a_node, s.seed_b_node, i, cast(round_even(a.z + (i / 8.0::double) * (b.z - a.z), 0) as bigint) as cz,
+      cast(round_even(a.y + (i / 8.0::double) * (b.y - a.y), 0) as bigint) as cy, cast(round_even(a.x + (i / 8.0::double) * (b.x - a.x), 0) as bigint) as cx
+      from strong s join frag_node a on a.node_id = s.seed_a_node join frag_node b on b.node_id = s.seed_b_node, range(0, 9) r(i)""",
+    "prof": "select cut_node, seed_a_node, seed_b_node, i, round(quantile_cont(l.value, 0.9), 9) as p90" + _BOX.format(pts="smp") + " group by all",
+    "low": "select *, row_number() over (partition by cut_node, seed_a_node, seed_b_node order by p90, i) as place from prof",
+    "proof": """select cut_node, seed_a_node, seed_b_node, count(*) as n, sum(p90) filter (i in (0, 8)) / 2 as ends, min(p90) filter (i between 1 and 7) as valley,
+      min(i) filter (place = 1) / 8.0::double as pos from low group by all"""}, body="""
+  select label, seed_a_node, seed_b_node from strong join proof using (cut_node, seed_a_node, seed_b_node)
+  where n = 9 and ends > 0 and valley / ends <= 0.9 and pos between 0.25 and 0.75"""))
+def _(t):
+    e = P.policy_merge_cut(stream(t), context(t, image(t)), max_valley=0.9)
+    return e.select("label", F.col("seeds")[0]["node"].alias("seed_a_node"), F.col("seeds")[1]["node"].alias("seed_b_node"))
+
+
+@query("d5_policy_multisignal_image", with_tables("split_site", "gt_edge", recursive=True, extra={
+    "pick": "select * from split_site where gap_um <= 15", "reach": _SITE_REACH.format(radius=6), "tan": _TANGENT, **_IMAGE,
+    "pa": "select node_a, node_b, round(az)::bigint as cz, round(ay)::bigint as cy, round(ax)::bigint as cx from pick",
+    "pb": 'select node_a, node_b, round(bz)::bigint as cz, round("by")::bigint as cy, round(bx)::bigint as cx from pick',
+    "ma": "select node_a, node_b, avg(l.value) as m" + _BOX.format(pts="pa") + " group by all",
+    "mb": "select node_a, node_b, avg(l.value) as m" + _BOX.format(pts="pb") + " group by all"}, body=f"""
+  select label_a, label_b, img is not null as seen from (select p.*, 180 - degrees(acos(greatest(-1, least(1, {_COS})))) as off,
+      greatest(ra.radius, rb.radius)::double / least(ra.radius, rb.radius) as ratio,
+      case when ma.m is not null and mb.m is not null then greatest(ma.m, mb.m) > 0 and least(ma.m, mb.m) >= 0.9::double * greatest(ma.m, mb.m) end as img
+    from pick p join tan ta on ta.node_id = node_a join tan tb on tb.node_id = node_b
+      join frag_node ra on ra.node_id = node_a join frag_node rb on rb.node_id = node_b
+      left join ma on ma.node_a = p.node_a and ma.node_b = p.node_b left join mb on mb.node_a = p.node_a and mb.node_b = p.node_b) q
+  where off <= 90 and ratio <= 2.2 and case when gap_um <= 6 then coalesce(img, true) else coalesce(img, off <= 54) end"""))
+def _(t):
+    s, ctx = stream(t), context(t, image(t))
+    e = P.policy_multisignal(s, ctx, near=6.0, far=15.0, max_angle=90.0, dim_share=0.9)
+    ends = s.filter(F.col("kind") == "split").select(F.col("site_seq").alias("site"), *[f"{e}{c}" for e in "ab" for c in "xyz"])
+    seen = V.gap_connectivity(ends, ctx.voxels).select(F.col("site").alias("edit_seq"), (F.col("mean_a").isNotNull() & F.col("mean_b").isNotNull()).alias("seen"))
+    return e.join(seen, "edit_seq").select("label_a", "label_b", "seen")
+
+
 @query("d6_policy_mutual", with_tables("split_site", extra={
     "ok": """select p.* from tip_pair p join frag_node a on a.node_id = node_a join frag_node b on b.node_id = node_b
       where degree_b = 1 and d2 <= 100 and greatest(a.radius, b.radius)::double / least(a.radius, b.radius) <= 2""",

@@ -332,3 +332,15 @@ def test_projection_of_proposals(spark):
     want |= {("b", 30): ("reject", None), ("b", 99): ("unknown", None)}
     assert {(r["brain_id"], r["node_b"]): (r["truth"], r["projection_p90"]) for r in got.collect()} == want
     assert sites.label_proposals(props, neurons, ["brain_id"]).count() == 6
+
+
+def test_images_of_brains_stay_apart(spark):
+    """Two brains with the same coordinates and different images; an end without voxels gives nulls."""
+    vox = [(b, z, y, x, v) for b, v in (("p", 10.0), ("q", 90.0)) for z in range(4) for y in range(12) for x in range(12)]
+    voxels = spark.createDataFrame(vox, "brain string, z long, y long, x long, value double")
+    pairs = [(i, b, 4.0, 4.0, 2.0, far, 8.0, 2.0) for i, (b, far) in enumerate([("p", 8.0), ("q", 8.0), ("q", 500.0)])]
+    ends = spark.createDataFrame(pairs, "site long, brain string, ax double, ay double, az double, bx double, by double, bz double")
+    got = {r.site: (r.mean_a, r.mean_b) for r in V.gap_connectivity(ends, voxels, by=["brain"]).collect()}
+    assert got == {0: (10.0, 10.0), 1: (90.0, 90.0), 2: (90.0, None)}
+    cut_at = {r.site: r.valley for r in V.merge_cut_evidence(ends, voxels, by=["brain"]).collect()}
+    assert cut_at == {0: 10.0, 1: 90.0, 2: None}
