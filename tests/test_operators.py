@@ -136,6 +136,18 @@ def test_suppression_decides_chains_in_few_rounds(spark, step):
     assert step < 0.9 or len(session.WRITTEN) - before < 90
 
 
+def test_reach_of_suppression_is_narrow_and_never_broadcast(spark):
+    """Rows that are repeated for what is near must not go to the driver: the planner takes them for as few as before."""
+    cells = spark.createDataFrame([(i, *c) for i, c in enumerate(itertools.product(range(-3, 4), repeat=3))], "node_id long, _gx long, _gy long, _gz long")
+    reach = GR._in_reach(cells, [F.col("node_id").alias("_mine")])
+    assert reach.count() == 8 * cells.count()
+    pairs = GR._in_blocks(cells).join(reach, list(GR._BLOCK))
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    met = {(r._mine, r.node_id) for r in pairs.collect()}
+    at = {r.node_id: r[1:] for r in cells.collect()}
+    assert all((i, j) in met for i in at for j in at if all(abs(u - v) <= 2 for u, v in zip(at[i], at[j])))
+
+
 def test_matching_decides_chains_in_few_rounds(spark):
     """10,000 edges in rising order along one path; parallel edges and a comb beside it."""
     rows = [(i, i, i + 1, float(i)) for i in range(10_000)]
