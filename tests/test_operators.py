@@ -5,6 +5,7 @@ import math
 import random
 
 import pytest
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from dendrospark import session
@@ -20,6 +21,7 @@ from dendrospark.operators import spatial as SP
 from dendrospark.operators import statistic as ST
 from dendrospark.operators import voxel as V
 from dendrospark.operators import walk as W
+from dendrospark.plans.derived import Tables
 from dendrospark.sources import readers as RD
 
 NODE = "node_id long, x double, y double, z double"
@@ -148,6 +150,20 @@ def test_reach_of_suppression_is_narrow_and_never_broadcast(spark):
     assert all((i, j) in met for i in at for j in at if all(abs(u - v) <= 2 for u, v in zip(at[i], at[j])))
 
 
+def test_derived_graphs_are_written_once_and_detectors_share_their_chains(spark, monkeypatch):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    for kept in (t.gt_node, t.frag_edge):
+        assert kept.storageLevel == StorageLevel.NONE and all(session.shared_dir(spark).split(":")[-1] in f for f in kept.inputFiles())
+    calls = []
+    made = W.directed_edges
+    monkeypatch.setattr(W, "directed_edges", lambda *a, **k: calls.append(1) or made(*a, **k))
+    found = SI.merge_sites(t.frag_node, t.frag_edge)
+    assert len(calls) == 1
+    alone = SI.merge_sites_branch(t.frag_node, t.frag_edge).unionByName(SI.merge_sites_bridge(t.frag_node, t.frag_edge)).unionByName(
+        SI.merge_sites_component(t.frag_node, t.frag_edge))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, alone.collect()), key=repr)
+
+
 def test_matching_decides_chains_in_few_rounds(spark):
     """10,000 edges in rising order along one path; parallel edges and a comb beside it."""
     rows = [(i, i, i + 1, float(i)) for i in range(10_000)]
