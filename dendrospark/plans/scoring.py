@@ -135,11 +135,9 @@ def score(brain: PreparedBrain, edits: DataFrame, candidates: Sequence[str], max
 
     pairs = brain.pairs.join(affected, "neuron")
     atoms = brain.runs.join(affected, "neuron")
-    links = _rename(brain.edges.filter(
+    links = _linked(_rename(brain.edges.filter(
         (F.col("label_src") != F.col("label_dst")) & (F.col("label_src") != "0") & (F.col("label_dst") != "0")).join(
-        classes.select(*CAND, F.col("label").alias("label_src")), "label_src"), classes).filter(
-        F.col("label_src") == F.col("label_dst")).select(
-        *CAND, F.col("run_src").alias("src"), F.col("run_dst").alias("dst"), "length")
+        classes.select(*CAND, F.col("label").alias("label_src")), "label_src"), classes))
     if any_split:
         pairs, atoms, links = _with_split(brain, pairs, atoms, links, classes, sides, split)
     pairs = _rename(pairs, classes)
@@ -149,11 +147,11 @@ def score(brain: PreparedBrain, edits: DataFrame, candidates: Sequence[str], max
     vertices = atoms.select(*CAND, F.col("atom").alias("node_id")).distinct()
     group = cut(connected_components(
         vertices.union(links.select(*CAND, F.explode(F.array("src", "dst")))).distinct(), links, CAND, out="run"))
-    grouped = atoms.join(group.withColumnRenamed("node_id", "atom"), [*CAND, "atom"])
-    runs = grouped.groupBy(*CAND, "neuron", "run", "label").agg(F.sum("um").alias("um"))
-    extra = links.join(group.withColumnRenamed("node_id", "src"), [*CAND, "src"]).groupBy(*CAND, "run").agg(
-        F.sum("length").alias("_link"))
-    runs = runs.join(extra, [*CAND, "run"], "left").withColumn("um", F.col("um") + F.coalesce("_link", F.lit(0.0)))
+    # a run may consist of links alone, where both ends had no correct edge before
+    cable = atoms.select(*CAND, "neuron", "atom", "label", "um").unionByName(
+        links.select(*CAND, "neuron", F.col("src").alias("atom"), "label", F.col("length").alias("um")))
+    runs = cable.join(group.withColumnRenamed("node_id", "atom"), [*CAND, "atom"]).groupBy(*CAND, "neuron", "run", "label").agg(
+        F.sum("um").alias("um"))
 
     rescored = _assemble(incidence, stats, pairs, runs, CAND, brain.omit_rule)
     names = F.explode(F.array(*[F.lit(c) for c in candidates])).alias("candidate_id")
@@ -168,6 +166,12 @@ def _rename(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs
 
 
+def _linked(edges: DataFrame) -> DataFrame:
+    """Edges that join two runs now that both ends have one label."""
+    return edges.filter(F.col("label_src") == F.col("label_dst")).select(
+        *CAND, "neuron", F.col("label_src").alias("label"), F.col("run_src").alias("src"), F.col("run_dst").alias("dst"), "length")
+
+
 def _edited_incidence(brain, touched, affected, classes, sides, split, any_split):
     """Label-neuron counts after the edits, for the affected neurons, and the spread of the touched labels.
 
@@ -213,9 +217,7 @@ def _with_split(brain, pairs, atoms, links, classes, sides, split):
     for end in ("src", "dst"):
         across = across.join(piece.withColumnsRenamed({"node_id": end, "atom": f"_{end}"}), [*CAND, end], "left").withColumn(
             f"run_{end}", F.coalesce(f"_{end}", f"run_{end}")).drop(f"_{end}")
-    across = _rename(across, classes).filter(F.col("label_src") == F.col("label_dst")).select(
-        *CAND, F.col("run_src").alias("src"), F.col("run_dst").alias("dst"), "length")
-    return pairs, atoms, links.unionByName(across)
+    return pairs, atoms, links.unionByName(_linked(_rename(across, classes)))
 
 
 def split_ceiling(brain: PreparedBrain, min_nodes: int = 50) -> DataFrame:

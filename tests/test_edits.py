@@ -129,3 +129,14 @@ def test_capped_union_like_a_sequential_pass(spark, group_rows):
 
 def test_background_is_never_merged(spark):
     assert E.merge_classes(edits(spark, edit(1, E.MERGE, "0", "5"))).count() == 0
+
+
+def test_runs_of_links_alone_count(spark):
+    """Two nodes without a correct edge are joined by an edit: their edge is an error-free run of its own."""
+    gt = spark.createDataFrame([(i, 1, label, 5.0 * i, 0.0, 0.0) for i, label in enumerate("abcc")],
+                               "node_id long, neuron long, raw_label string, x double, y double, z double")
+    ge = spark.createDataFrame([(i, i + 1, 1) for i in range(3)], "src long, dst long, neuron long")
+    brain = SC.prepare(gt, ge, gt.withColumnRenamed("raw_label", "label"), ge)
+    edit = spark.createDataFrame([("one", 1, E.MERGE, "a", "b", None, None)], E.EDIT_SCHEMA)
+    got = {r.candidate_id: r.erl for r in SC.score(brain, edit, ["one", "none"]).collect()}
+    assert got["one"] == (25.0 + 25.0) / 15.0 and got["none"] == 25.0 / 15.0
