@@ -102,16 +102,17 @@ def merged_edges(edges: DataFrame, merged: DataFrame, by: Sequence[str] = ()) ->
     return same.join(merged.select(*by, F.col("label").alias("label_src")), [*by, "label_src"], "left_semi")
 
 
-def merge_targets(nodes: DataFrame, label: str = "label", min_nodes: int = 50, max_sites: int = 5, by: Sequence[str] = ()) -> DataFrame:
-    """Merge labels with up to ``max_sites`` centroids of their neurons.
+def merge_targets(nodes: DataFrame, label: str = "label", min_nodes: int = 50, max_sites: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Merge labels with the centroids of their neurons, all of them or the first ``max_sites``.
 
     One row per label: ``sites`` as structs, by node count descending. ``n_neurons`` and ``n_nodes`` count all
     neurons, also beyond the sites; ``target_neurons`` lists them as rows.
     """
     per = target_neurons(nodes, label, min_nodes, by)
     row = F.struct("place", "neuron", *[F.col(f"c{c}").alias(c) for c in "xyz"], "n_nodes")
-    # ranked before they are gathered: a label hands on ``max_sites`` rows at most
-    listed = per.filter(F.col("place") <= max_sites).groupBy(*by, "label").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    # ranked before they are gathered, so that a limit holds for what is gathered
+    first = per if max_sites is None else per.filter(F.col("place") <= max_sites)
+    listed = first.groupBy(*by, "label").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
     total = per.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n_neurons"), F.sum("n_nodes").alias("n_nodes"))
     return total.join(listed, [*by, "label"]).select(
         *by, "label", "n_neurons", "n_nodes", F.transform("_rows", lambda r: r.dropFields("place")).alias("sites"))

@@ -71,7 +71,7 @@ def _(t):
     select raw_label as label, neuron, count(*) as n_nodes, avg(x) as cx, avg(y) as cy, avg(z) as cz from gt_node
     where raw_label <> '0' group by all"""}, body=f"""
   select label, count(*) as n_neurons, sum(n_nodes)::bigint as n_nodes,
-    string_agg(neuron || ':' || n_nodes || printf('@%.2f/%.2f/%.2f', round(cx, 2), round(cy, 2), round(cz, 2)), ',' order by place) filter (place <= 5) as sites
+    string_agg(neuron || ':' || n_nodes || printf('@%.2f/%.2f/%.2f', round(cx, 2), round(cy, 2), round(cz, 2)), ',' order by place) as sites
   from (select *, row_number() over (partition by label order by n_nodes desc, neuron) as place from inc where n_nodes > {MIN_NODES}) q
   group by label having count(*) >= 2"""))
 def _(t):

@@ -372,3 +372,11 @@ def test_images_of_brains_stay_apart(spark):
     assert got == {0: (10.0, 10.0), 1: (90.0, 90.0), 2: (90.0, None)}
     cut_at = {r.site: r.valley for r in V.merge_cut_evidence(ends, voxels, by=["brain"]).collect()}
     assert cut_at == {0: 10.0, 1: 90.0, 2: None}
+
+
+def test_merge_targets_list_every_neuron(spark):
+    nodes = spark.createDataFrame([(100 * n + i, n, "m", float(n), 0.0, 0.0) for n in range(8) for i in range(20 + n)],
+                                  "node_id long, neuron long, label string, x double, y double, z double")
+    row = M.merge_targets(nodes, min_nodes=10).first()
+    assert row.n_neurons == 8 and [(s.neuron, s.n_nodes) for s in row.sites] == [(n, 20 + n) for n in range(7, -1, -1)]
+    assert [s.neuron for s in M.merge_targets(nodes, min_nodes=10, max_sites=3).first().sites] == [7, 6, 5]
