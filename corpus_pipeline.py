@@ -13,6 +13,7 @@ from dendrospark.llm.quality import judge
 from dendrospark.llm.secrets import redact
 from dendrospark.session import cut
 
+PLACE = "mix_position"
 
 def _packed(docs: DataFrame) -> DataFrame:
     """What the operators read, and the whole row beside it, so that no name of a column can clash with theirs."""
@@ -35,13 +36,15 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order in which the sources take turns by their weights."""
-    return in_mixed_order(docs)
+    """All documents, in the order in which the sources take turns by their weights, with their place in it for the packing stage."""
+    return in_mixed_order(docs, place_col=PLACE)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 tokens, with their ids; sources take turns by their weights from stretch to stretch."""
-    return pack(docs, tokenizer_path(), stretch=STRETCH)
+    """Pieces of the documents in sequences of 2048 tokens, with their ids; stretches follow the places that the mixing stage gave."""
+    if PLACE not in docs.columns:
+        return pack(docs, tokenizer_path())
+    return pack(docs, tokenizer_path(), stretch=STRETCH, place_col=PLACE)
 
 
 _left: dict[tuple[str, str], dict[str, list[str]]] = {}  # by session and input folder: what each stage has left behind

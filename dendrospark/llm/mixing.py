@@ -161,12 +161,14 @@ def _by_period(placed: DataFrame, sizes: DataFrame, period: int, targets: dict[s
     return global_rank(timed, [F.col("slot"), F.col("_in")], "_pos").withColumn("position", F.col("_pos") - 1)
 
 
-def in_mixed_order(docs: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """All rows and columns of ``docs``, sorted by their place in the mix (range partitions, each sorted)."""
-    rows = cut(with_row_key(docs.select("doc_id", "source", F.struct("*").alias("_payload"))))
+def in_mixed_order(docs: DataFrame, targets: dict[str, float] | None = None, place_col: str | None = None) -> DataFrame:
+    """All rows and columns of ``docs``, sorted by their place in the mix (range partitions, each sorted); with the place itself if named."""
+    kept = F.struct(*[c for c in docs.columns if c != place_col])
+    rows = cut(with_row_key(docs.select("doc_id", "source", kept.alias("_payload"))))
     place = mixed(rows, targets, keep_row=True).select("_rid", F.col("position").alias("_position"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (rows.join(place, "_rid").repartitionByRange(n, "_position").sortWithinPartitions("_position").select("_payload.*"))
+    return (rows.join(place, "_rid").repartitionByRange(n, "_position").sortWithinPartitions("_position").select(
+        "_payload.*", *([] if place_col is None else [F.col("_position").alias(place_col)])))
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

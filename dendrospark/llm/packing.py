@@ -151,21 +151,25 @@ def tokenised(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFra
     return docs.select(*own, "text").mapInArrow(encode, schema)
 
 
-def pack(docs: DataFrame, path: str, length: int = LENGTH, stretch: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, path: str, length: int = LENGTH, stretch: int | None = None, place_col: str | None = None) -> DataFrame:
     """``doc_id, start, length, doc_tokens, sequence_id, offset, ids``: one row per piece of a document in a sequence.
 
     ``ids`` are the piece's tokens as little-endian 32-bit numbers; a sequence is its pieces by ``offset``. Null and empty texts are
-    the closing id alone. Repeated rows and null ids are packed as they are; an empty table gives no pieces.
+    the closing id alone. With a ``stretch`` the rows are taken in stretches of that many places in the mix; ``place_col`` holds the
+    place of each row, and without it they are mixed here. Repeated rows and null ids are packed as they are; an empty table gives no pieces.
     """
     if length < 1:
         raise ValueError("sequences hold one token at least")
-    coded = cut(with_row_key(tokenised(docs, path, () if stretch is None else ("source",))))
+    coded = cut(with_row_key(tokenised(docs, path, () if stretch is None else (place_col or "source",))))
     order = [F.col("_key"), F.col("doc_id"), F.col("_rid")]
     narrow = coded.select("_key", "doc_id", "_rid", "_n")
     if stretch is not None:
-        # a place in the mix depends on ids and sources only, so it is the one of the mixing stage
-        place = mixed(coded.select("doc_id", "source", "_rid"), keep_row=True)
-        narrow = narrow.join(place.select("_rid", F.expr(f"position div {int(stretch)}").alias("_stretch")), "_rid")
+        at = F.floor(F.col(place_col or "position") / int(stretch)).alias("_stretch")
+        if place_col is None:
+            place = mixed(coded.select("doc_id", "source", "_rid"), keep_row=True)
+            narrow = narrow.join(place.select("_rid", at), "_rid")
+        else:
+            narrow = coded.select("_key", "doc_id", "_rid", "_n", at)
         order = [F.col("_stretch"), *order]
     placed = running_total(narrow, order, "_n", "_end").select("_rid", (F.col("_end") - F.col("_n")).alias("_at"))
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")], T.StructField("ids", T.BinaryType())])

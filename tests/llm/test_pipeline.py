@@ -44,3 +44,22 @@ def test_run_against_its_stages(spark, tmp_path):
     for p in pieces:
         total[p["doc_id"], p["doc_tokens"]] += p["length"]
     assert {k: v // k[1] for k, v in total.items()} == dict(want) and all(v % k[1] == 0 for k, v in total.items())
+
+
+def test_packing_follows_the_places_of_the_mix(spark, monkeypatch):
+    """The mixing stage hands on its places, and other places give other sequences."""
+    monkeypatch.setattr(corpus_pipeline, "STRETCH", 8)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(64)
+    mixed = STAGES["mix_sources"](spark, docs, "places")
+    mixed = spark.createDataFrame(mixed.collect(), mixed.schema)
+    places = {r["doc_id"]: r[corpus_pipeline.PLACE] for r in mixed.collect()}
+    assert sorted(places.values()) == list(range(64)) and set(mixed.columns) == {*docs.columns, corpus_pipeline.PLACE}
+
+    def order(place):
+        pieces = STAGES["packing"](spark, mixed.withColumn(corpus_pipeline.PLACE, place), "places").filter("start = 0").collect()
+        return [p["doc_id"] for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"]))]
+
+    place = F.col(corpus_pipeline.PLACE)
+    ahead, back = order(place), order(F.lit(63) - place)
+    assert [places[i] // 8 for i in ahead] == sorted(places[i] // 8 for i in ahead)
+    assert [places[i] // 8 for i in back] == sorted((places[i] // 8 for i in back), reverse=True) and ahead != back
