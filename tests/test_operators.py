@@ -380,3 +380,23 @@ def test_merge_targets_list_every_neuron(spark):
     row = M.merge_targets(nodes, min_nodes=10).first()
     assert row.n_neurons == 8 and [(s.neuron, s.n_nodes) for s in row.sites] == [(n, 20 + n) for n in range(7, -1, -1)]
     assert [s.neuron for s in M.merge_targets(nodes, min_nodes=10, max_sites=3).first().sites] == [7, 6, 5]
+
+
+def test_dilation_is_dealt_out_by_blocks(spark, monkeypatch):
+    """Parts grow with the voxels; what blocks grow into each other is still united."""
+    monkeypatch.setattr(V, "TASK_VOXELS", 50)
+    rng = random.Random(21)
+    vox = {(rng.randrange(4), rng.randrange(70), rng.randrange(70)): rng.randrange(9) for _ in range(400)}
+    df = spark.createDataFrame([(*k, v) for k, v in vox.items()], "z long, y long, x long, label long")
+    assert V._in_blocks(df).rdd.getNumPartitions() == len(vox) // 50 + 1
+    steps = [o for o in itertools.product(range(-2, 3), repeat=3) if sum(c * c for c in o) <= 4]
+    best = {}
+    for k, v in vox.items():
+        for o in steps:
+            at = tuple(a + b for a, b in zip(k, o))
+            if all(0 <= c < s for c, s in zip(at, (4, 70, 70))):
+                best[at] = min(best.get(at, (99, 99)), (sum(c * c for c in o), v))
+    got = V.dilate_labels(df, 2, (4, 70, 70)).collect()
+    assert len(got) == len(best) and {tuple(r)[:3]: r.label for r in got} == {k: v for k, (_, v) in best.items()}
+    city = {tuple(a + b for a, b in zip(k, o)) for k in vox for o in itertools.product(range(-2, 3), repeat=3) if sum(map(abs, o)) <= 2}
+    assert {tuple(r) for r in V.dilate(df, 2, (4, 70, 70)).collect()} == {k for k in city if all(0 <= c < s for c, s in zip(k, (4, 70, 70)))}
