@@ -16,6 +16,7 @@ import os
 import re
 import unicodedata
 from array import array
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ LENGTH = 2048
 STRETCH = 1024  #: documents of the mixed order that the pipeline sorts along the curve
 END = 1  #: id that closes every document
 HASHED, DIMS, BITS = 512, 4, 12
-CACHE = 400_000  #: runs whose ids a task remembers
+CACHE = 400_000  #: runs whose ids a worker remembers
 
 
 _SIGNS = re.compile(rb"([!-/:-@\[-`{-~]+)")
@@ -43,6 +44,18 @@ _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_SIGNS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 
 
+class _Known(dict):
+    """Ids of the runs met so far; a run not met before is encoded when it is looked up."""
+
+    def __init__(self, ids):
+        super().__init__()
+        self._ids = ids
+
+    def __missing__(self, run: bytes) -> bytes:
+        coded = self[run] = array("H", self._ids(run)).tobytes()
+        return coded
+
+
 class Encoder:
     """Ids of texts by a tokenizer file.
 
@@ -57,7 +70,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Known(self._ids)
 
     @staticmethod
     def runs(text: str | None) -> list[bytes]:
@@ -80,13 +93,16 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 16-bit ids of every text and the closing id."""
-        split = [self.runs(t) for t in texts]
         if len(self.known) > CACHE:
             self.known.clear()
-        for run in set().union(*split) - self.known.keys():
-            self.known[run] = array("H", self._ids(run)).tobytes()
-        end = array("H", [END]).tobytes()
-        return [b"".join([*map(self.known.__getitem__, runs), end]) for runs in split]
+        end, ids = array("H", [END]).tobytes(), self.known.__getitem__
+        return [b"".join([*map(ids, self.runs(t)), end]) for t in texts]
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """The encoder of this worker: its tasks share the tokenizer and the ids of the runs met so far."""
+    return Encoder(path)
 
 
 def projection(vocabulary: int = 65536, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,9 +155,9 @@ def tokenised(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFra
     schema = T.StructType([*[docs.schema[c] for c in own], T.StructField("_ids", T.BinaryType()), T.StructField("_n", T.LongType()), T.StructField("_key", T.LongType())])
 
     def encode(rows):
-        encoder, (slot, sign, matrix) = Encoder(path), projection()
+        coder, (slot, sign, matrix) = encoder(path), projection()
         for part, (_, texts) in batches(rows, ["doc_id", "text"], 256):
-            coded = encoder.encode(texts)
+            coded = coder.encode(texts)
             points = [coordinates(np.frombuffer(c, "<u2"), slot, sign, matrix) for c in coded]
             keys = hilbert_keys(np.array(points).reshape(-1, DIMS))
             yield pa.RecordBatch.from_arrays(
