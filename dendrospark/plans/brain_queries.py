@@ -133,9 +133,7 @@ def _(b):
 def _sites(b):
     """The stream of both brains, numbered once."""
     if not hasattr(b.one, "_brain_stream"):
-        split = SI.split_sites(b.frag_node, b.frag_edge, 15.0, max_sites=None, by=BY)
-        found = SI.merge_sites(b.frag_node, _edges(b), by=BY)
-        b.one._brain_stream = cut(P.number_sites(SI.site_stream(split, found), BY))
+        b.one._brain_stream = cut(P.number_sites(SI.all_sites(b.frag_node, b.frag_edge, 15.0, BY), BY))
     return b.one._brain_stream
 
 

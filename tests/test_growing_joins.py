@@ -64,3 +64,15 @@ def test_far_probes_skip_the_ball_search(spark, monkeypatch):
     got = {r["node_id"]: (r["b_id"], r["d2"]) for r in SP.nearest_distance(gt, frag, 5.0).collect()}
     assert got == {0: (0, 1.0), 1: (1, 1.0), 2: (19, 9915.0**2 + 1), 3: (0, 9985.0**2 + 1)}
     assert looked == [2]
+
+
+def test_detectors_walk_all_arms_together(spark, monkeypatch):
+    """A walk reads the tables of steps whole, however few its starts: one walk to the ends of all arms, one to the seeds of the sites."""
+    draw = random.Random(4)
+    nodes = spark.createDataFrame([(i, "l", float(draw.randint(0, 60)), float(draw.randint(0, 60)), 0.0, 1.0) for i in range(60)],
+                                  "node_id long, label string, x double, y double, z double, radius double")
+    edges = spark.createDataFrame([(draw.randrange(i), i) for i in range(1, 60)], "src long, dst long")
+    walks, plain = [], W.walk_until
+    monkeypatch.setattr(W, "walk_until", lambda *a, **k: walks.append(1) or plain(*a, **k))
+    assert {r.detector for r in SI.merge_sites(nodes, edges).collect()} >= {"branch", "bridge"}
+    assert len(walks) == 2
