@@ -68,11 +68,32 @@ def test_far_probes_skip_the_ball_search(spark, monkeypatch):
 
 def test_detectors_walk_all_arms_together(spark, monkeypatch):
     """A walk reads the tables of steps whole, however few its starts: one walk to the ends of all arms, one to the seeds of the sites."""
-    draw = random.Random(4)
-    nodes = spark.createDataFrame([(i, "l", float(draw.randint(0, 60)), float(draw.randint(0, 60)), 0.0, 1.0) for i in range(60)],
-                                  "node_id long, label string, x double, y double, z double, radius double")
-    edges = spark.createDataFrame([(draw.randrange(i), i) for i in range(1, 60)], "src long, dst long")
+    kink = [(i, "k", 5.0 * abs(i - 5), 2.0 * i, 0.0, 1.0) for i in range(11)]
+    fork = [(20, "f", 500.0, 0.0, 0.0, 1.0)] + [(21 + 5 * k + i, "f", 500.0 + 5.0 * (i + 1) * dx, 5.0 * (i + 1) * dy, 0.0, 1.0)
+                                              for k, (dx, dy) in enumerate([(1, 0), (0, 1), (-1, 0)]) for i in range(5)]
+    nodes = spark.createDataFrame(kink + fork, "node_id long, label string, x double, y double, z double, radius double")
+    pairs = [(i, i + 1) for i in range(10)] + [(20 if i == 0 else 20 + 5 * k + i, 21 + 5 * k + i) for k in range(3) for i in range(5)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
     walks, plain = [], W.walk_until
     monkeypatch.setattr(W, "walk_until", lambda *a, **k: walks.append(1) or plain(*a, **k))
-    assert {r.detector for r in SI.merge_sites(nodes, edges).collect()} >= {"branch", "bridge"}
+    assert {(r.detector, r.cut_node) for r in SI.merge_sites(nodes, edges).collect()} == {("branch", 20), ("bridge", 5)}
     assert len(walks) == 2
+
+
+def test_descent_of_far_probes_goes_by_blocks(spark, monkeypatch):
+    """Rows that go down the pyramid are blocks of probes, not probes: 4,096 far probes in few blocks write few rows at each level."""
+    probes = [(i, 50_000.0 + i % 16, float(i // 16 % 16), float(i // 256)) for i in range(4096)]
+    build = [(i, float(i % 7), 40.0 * i, 0.0) for i in range(300)]
+    written, plain = [], SP.cut
+
+    def counted(df):
+        out = plain(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(SP, "cut", counted)
+    got = SP._descend(spark.createDataFrame(probes, NODE), SP.as_build(spark.createDataFrame(build, NODE)).select("b_id", "bx", "by", "bz"),
+                      ["node_id"], "b_id", 0.25, [], [], ("x", "y", "z"), ("bx", "by", "bz"))
+    want = {p[0]: min((sum((u - v) ** 2 for u, v in zip(p[1:], q[1:])), q[0]) for q in build)[1] for p in probes}
+    assert {r.node_id: r.b_id for r in got.collect()} == want
+    assert sorted(written)[-2] < 4096 and sum(written) < 3 * 4096
