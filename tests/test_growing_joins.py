@@ -97,3 +97,26 @@ def test_descent_of_far_probes_goes_by_blocks(spark, monkeypatch):
     want = {p[0]: min((sum((u - v) ** 2 for u, v in zip(p[1:], q[1:])), q[0]) for q in build)[1] for p in probes}
     assert {r.node_id: r.b_id for r in got.collect()} == want
     assert sorted(written)[-2] < 4096 and sum(written) < 3 * 4096
+
+
+def test_policies_run_the_detectors_of_their_kind_only(spark, monkeypatch):
+    """A policy on split sites does not look for merge sites, and one on merge sites not for split sites; numbers are those of the whole stream."""
+    from types import SimpleNamespace
+
+    from dendrospark.plans import policy_queries as PQ
+
+    split = spark.createDataFrame([(9, 8, 2.0), (3, 4, 1.0), (1, 2, 2.0)], "node_a long, node_b long, gap_um double")
+    merge = spark.createDataFrame([(5, 6, 10.0, 12.0), (6, 7, 30.0, 11.0)], "cut_node long, seed_b_node long, cable_a_um double, cable_b_um double")
+    asked, t = [], SimpleNamespace(frag_node=None, frag_edge=None)
+    monkeypatch.setattr(SI, "split_sites", lambda *_, **__: asked.append("split") or split)
+    monkeypatch.setattr(SI, "merge_sites", lambda *_, **__: asked.append("merge") or merge)
+
+    def found(df, node):
+        return [r[node] for r in df.orderBy("site_seq").collect()]
+
+    assert found(PQ.sites(t, "split"), "node_a") == [3, 1, 9] and asked == ["split"]
+    assert found(PQ.sites(t, "merge"), "cut_node") == [6, 5] and asked == ["split", "merge"]
+    whole = PQ.P.number_sites(SI.site_stream(split, merge))
+    key = ["site_seq", "kind", "node_a", "cut_node"]
+    assert sorted(map(repr, PQ.stream(t).select(*key).collect())) == sorted(map(repr, whole.select(*key).collect()))
+    assert asked == ["split", "merge"]
