@@ -130,11 +130,11 @@ def _(b):
     return M.target_neurons(b.gt_node, "raw_label", MIN_NODES, BY).select(*BY, "label", "neuron", "n_nodes", "place", "cx", "cy", "cz")
 
 
-def _sites(b):
-    """The stream of both brains, numbered once."""
-    if not hasattr(b.one, "_brain_stream"):
-        b.one._brain_stream = cut(P.number_sites(SI.all_sites(b.frag_node, b.frag_edge, 15.0, BY), BY))
-    return b.one._brain_stream
+def _sites(b, kind):
+    """Sites of one kind of both brains, numbered once."""
+    if not hasattr(b.one, f"_brain_{kind}_sites"):
+        setattr(b.one, f"_brain_{kind}_sites", cut(P.number_sites(SI.sites_of_kind(kind, b.frag_node, b.frag_edge, 15.0, BY), BY)))
+    return getattr(b.one, f"_brain_{kind}_sites")
 
 
 def _context(b):
@@ -143,33 +143,33 @@ def _context(b):
 
 @per_brain("d3_tangent_by_brain", "d3_policy_tangent")
 def _(b):
-    return P.policy_tangent(_sites(b), _context(b), max_gap=12.0).select(*BY, "label_a", "label_b")
+    return P.policy_tangent(_sites(b, "split"), _context(b), max_gap=12.0).select(*BY, "label_a", "label_b")
 
 
 @per_brain("d4_merge_cut_by_brain", "d4_policy_merge_cut")
 def _(b):
-    e = P.policy_merge_cut(_sites(b), _context(b))
+    e = P.policy_merge_cut(_sites(b, "merge"), _context(b))
     return e.select(*BY, "label", F.col("seeds")[0]["node"].alias("seed_a_node"), F.col("seeds")[1]["node"].alias("seed_b_node"))
 
 
 @per_brain("d5_multisignal_by_brain", "d5_policy_multisignal")
 def _(b):
-    return P.policy_multisignal(_sites(b), _context(b), near=6.0, far=12.0).select(*BY, "label_a", "label_b")
+    return P.policy_multisignal(_sites(b, "split"), _context(b), near=6.0, far=12.0).select(*BY, "label_a", "label_b")
 
 
 @per_brain("d6_mutual_by_brain", "d6_policy_mutual")
 def _(b):
-    return P.policy_mutual(_sites(b), _context(b), max_gap=10.0).select(*BY, "label_a", "label_b")
+    return P.policy_mutual(_sites(b, "split"), _context(b), max_gap=10.0).select(*BY, "label_a", "label_b")
 
 
 @per_brain("d7_small_gap_by_brain", "d7_policy_small_gap")
 def _(b):
-    return P.policy_small_gap(_sites(b), _context(b), max_gap=8.0).select(*BY, "label_a", "label_b")
+    return P.policy_small_gap(_sites(b, "split"), _context(b), max_gap=8.0).select(*BY, "label_a", "label_b")
 
 
 @per_brain("d8_budget_by_brain", "d8_policy_budget")
 def _(b):
-    return P.policy_budget(_sites(b), _context(b), max_gap=15.0, budget=25).select(*BY, "label_a", "label_b")
+    return P.policy_budget(_sites(b, "split"), _context(b), max_gap=15.0, budget=25).select(*BY, "label_a", "label_b")
 
 
 def _pooled_brain(b):
