@@ -13,6 +13,7 @@ from dendrospark.plans.catalog import query
 from dendrospark.plans.derived import with_tables
 from dendrospark.plans.graph_queries import COMP_SQL
 from dendrospark.plans.spatial_queries import OFFSET, PRED, PRED_EDGE_SQL, SHAPE
+from dendrospark.session import cut, merged
 
 MIN_NODES = 10  # the largest label of the fixture has 20 nodes per neuron
 
@@ -153,6 +154,15 @@ def brain(t):
     return t._brain
 
 
+def incidence(t):
+    """Label-neuron counts alone, for queries that need no other part of the prepared state."""
+    if hasattr(t, "_brain"):
+        return t._brain.incidence
+    if not hasattr(t, "_incidence"):
+        t._incidence = cut(_incidence(t))
+    return t._incidence
+
+
 _PER_NEURON = {**RUN_SQL, "acc": _EDGE_ACC, "lab": """
     select neuron, greatest(count(*) - 1, 0) as n_splits, count(*) filter (k >= 2) as n_merges
     from (select *, count(*) over (partition by label) as k from inc) q group by neuron""",
@@ -330,14 +340,20 @@ def _(t):
   select candidate_id, label, n_pieces, n_neurons from (select candidate_id, label, count(*) as n_neurons from inc2 group by all) q
     join piece2 using (candidate_id, label) where n_neurons >= 2"""))
 def _(t):
-    classes = E.merge_classes(merge_edits(t))
+    classes = cut(E.merge_classes(merge_edits(t)))
     names = F.explode(F.array(F.lit("within"), F.lit("across"))).alias("candidate_id")
 
     def renamed(df, *cols):
-        return df.select(names, *cols).join(classes, ["candidate_id", "label"], "left").withColumn("label", F.coalesce("class", "label"))
-
-    inc = renamed(brain(t).incidence, "label", "neuron", "n_nodes").groupBy("candidate_id", "label", "neuron").agg(F.sum("n_nodes").alias("n_nodes"))
-    comp = G.connected_components(t.frag_node.select("node_id", "label"), t.frag_edge.select("src", "dst"), out="piece")
+        return df.select(names, *cols).join(classes, ["candidate_id", "label"], "left").withColumns(
+            {"raw": F.col("label"), "label": F.coalesce("class", "label")})
+
+    named = cut(renamed(incidence(t), "label", "neuron", "n_nodes"))
+    inc = cut(named.groupBy("candidate_id", "label", "neuron").agg(F.sum("n_nodes").alias("n_nodes")))
+    # an edge stays inside its label, so the pieces of a label are found among its own nodes: only labels that some candidate counts are needed
+    spread = inc.groupBy("candidate_id", "label").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= 2)
+    counted = cut(named.join(merged(spread), ["candidate_id", "label"], "left_semi").select(F.col("raw").alias("label")).distinct())
+    comp = G.connected_components(t.frag_node.select("node_id", "label").join(merged(counted), "label", "left_semi"),
+                                  t.frag_edge.join(merged(counted), "label", "left_semi").select("src", "dst"), out="piece")
     pieces = renamed(comp.select("label", "piece").distinct(), "label", "piece")
     return SC.merge_count(pieces, inc).select("candidate_id", "label", "n_pieces", "n_neurons")
 

@@ -120,3 +120,54 @@ def test_policies_run_the_detectors_of_their_kind_only(spark, monkeypatch):
     key = ["site_seq", "kind", "node_a", "cut_node"]
     assert sorted(map(repr, PQ.stream(t).select(*key).collect())) == sorted(map(repr, whole.select(*key).collect()))
     assert asked == ["split", "merge"]
+
+
+def test_merge_count_prepares_no_scores(spark, monkeypatch):
+    """The count of pieces needs label-neuron counts only, and the pieces of labels that lie on several neurons."""
+    from dendrospark.plans import catalog
+    from dendrospark.plans import metric_queries as MQ
+    from dendrospark.plans.derived import tables
+
+    catalog.load_all()
+    split, seen = MQ.G.connected_components, []
+
+    def counted(nodes, *args, **kw):
+        seen.append(nodes.count())
+        return split(nodes, *args, **kw)
+
+    def refused(*_):
+        raise AssertionError("the whole state for scoring was prepared")
+
+    monkeypatch.setattr(MQ, "brain", refused)
+    monkeypatch.setattr(MQ.G, "connected_components", counted)
+    sf = "/root/testdata/sf0.001"
+    assert catalog.QUERIES["a17_merge_count"](spark, sf).count() > 0
+    assert 0 < seen[-1] < tables(spark, sf).frag_node.count()
+
+
+def test_wide_cells_find_the_same_nearest(spark):
+    draw = random.Random(5)
+    probe = [(i % 3, i, *[draw.uniform(-40, 40) for _ in "xyz"]) for i in range(200)]
+    build = [(i % 2, i, *[draw.uniform(-30, 30) for _ in "xyz"]) for i in range(150)]
+    p = spark.createDataFrame(probe, "s long, node_id long, x double, y double, z double")
+    b = spark.createDataFrame(build, "s long, b_id long, bx double, by double, bz double")
+    got = [sorted(tuple(r) for r in SP.nearest(p, b, probe_id="node_id", build_id="b_id", radius=8.0, by=["s"], bounded=False, side=side).select(
+        "s", "node_id", "b_id").collect()) for side in (None, 64.0)]
+    want = sorted((s, i, min((sum((u - v) ** 2 for u, v in zip(at, r[2:])), r[1]) for r in build if r[0] == s)[1]) for s, i, *at in probe if s < 2)
+    assert got[0] == want and got[1] == want
+
+
+def test_truth_is_looked_up_at_the_ends_of_proposals_only(spark, monkeypatch):
+    from dendrospark.plans import spatial_queries as SQ
+    from dendrospark.plans.derived import tables
+
+    t, seen, whole = tables(spark, "/root/testdata/sf0.001"), [], SQ.SP.nearest
+
+    def counted(probe, *args, **kw):
+        seen.append(probe.count())
+        return whole(probe, *args, **kw)
+
+    monkeypatch.setattr(SQ.SP, "nearest", counted)
+    truth = SQ._proposal_truth(t, max_projection=2.3)
+    ends = truth.select(F.explode(F.array("node_a", "node_b"))).distinct().count()
+    assert seen[0] == ends < t.frag_node.count()
