@@ -10,7 +10,7 @@ from dendrospark.operators import spatial as SP
 from dendrospark.operators.ordering import exact_percentiles
 from dendrospark.plans.catalog import query
 from dendrospark.plans.derived import with_tables
-from dendrospark.session import side_by_side
+from dendrospark.session import cut, merged, side_by_side
 
 OFFSET, SHAPE = (20, 800, 0), (200, 2400, 4)
 
@@ -150,11 +150,12 @@ _TRUTH = {"prop": _PROPOSAL, "rev": """
 
 
 def _proposal_truth(t, **limit):
-    # reverse labels: the neuron of the true node nearest to each fragment node
+    # reverse labels: the neuron of the true node nearest to each fragment node at an end of a proposal
     truth = t.gt_node.select("node_id", "x", "y", "z", F.col("neuron").alias("n_gt"))
-    rev = SP.nearest(t.frag_node, SP.as_build(truth, keep={"n_gt": "neuron"}), probe_id="node_id", build_id="b_id",
-                     radius=1.0, carry=["neuron"])
-    props = SI.proposals(SI.tip_pairs(t.frag_node, t.frag_edge, 15.0), k=3)
+    props = cut(SI.proposals(SI.tip_pairs(t.frag_node, t.frag_edge, 15.0), k=3))
+    ends = props.select(F.explode(F.array("node_a", "node_b")).alias("node_id")).distinct()
+    rev = SP.nearest(t.frag_node.join(merged(ends), "node_id", "left_semi"), SP.as_build(truth, keep={"n_gt": "neuron"}), probe_id="node_id",
+                     build_id="b_id", radius=1.0, carry=["neuron"])
     return SI.label_proposals(props, rev.select("node_id", "neuron"), frag_node=t.frag_node, gt_node=t.gt_node, **limit)
 
 
