@@ -171,3 +171,19 @@ def test_truth_is_looked_up_at_the_ends_of_proposals_only(spark, monkeypatch):
     truth = SQ._proposal_truth(t, max_projection=2.3)
     ends = truth.select(F.explode(F.array("node_a", "node_b"))).distinct().count()
     assert seen[0] == ends < t.frag_node.count()
+
+
+def test_image_of_cuts_is_not_broadcast(spark):
+    """Samples of the chords, voxels, profiles and confirmed cuts all grow with the tables."""
+    from dendrospark.operators import policy as P
+
+    seeds = ", ".join(f"seed_{t}_node long, " + ", ".join(f"seed_{t}_{c} double" for c in "xyz") for t in "ab")
+    made = [(n, "merge", "component", str(n), 20.0, 20.0, None, None, 0, n, 0.0, y, 0.0, n + 100, 96.0, y, 0.0) for n, y in [(1, 0.0), (2, 400.0)]]
+    sites = spark.createDataFrame(made, "site_seq long, kind string, detector string, label string, cable_a_um double, cable_b_um double, angle_deg double, "
+                                        "radius_ratio double, branch_degree long, " + seeds)
+    # dark halfway along the first chord only
+    light = [(0, y, x, 1.0 if y == 0 and 36 <= x < 60 else 10.0) for y in (0, 400) for x in range(-8, 108)]
+    voxels = spark.createDataFrame(light, "z long, y long, x long, value double")
+    edits = P.policy_merge_cut(sites, P.Context(None, None, voxels))
+    assert [r.edit_seq for r in edits.collect()] == [1]
+    assert "Broadcast" not in edits._jdf.queryExecution().executedPlan().toString()
