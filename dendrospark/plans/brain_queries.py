@@ -172,12 +172,17 @@ def _(b):
     return P.policy_budget(_sites(b, "split"), _context(b), max_gap=15.0, budget=25).select(*BY, "label_a", "label_b")
 
 
+def _prepared(b):
+    number = SC.numbered([b.gt_node, b.frag_node], BY)
+    edge = lambda df: SC.pooled(df, BY, ids=["src", "dst"], names=[c for c in ("neuron",) if c in df.columns], number=number)
+    return SC.prepare(
+        SC.pooled(b.gt_node, BY, ids=["node_id"], labels=["raw_label"], names=["neuron"], number=number), edge(b.gt_edge),
+        SC.pooled(b.frag_node, BY, ids=["node_id"], labels=["label"], names=["neuron"], number=number), edge(b.frag_edge.select(*BY, "src", "dst")), min_nodes=MIN_NODES)
+
+
 def _pooled_brain(b):
     if not hasattr(b.one, "_pooled"):
-        edge = lambda df: SC.pooled(df, BY, ids=["src", "dst"], names=[c for c in ("neuron",) if c in df.columns])
-        b.one._pooled = SC.prepare(
-            SC.pooled(b.gt_node, BY, ids=["node_id"], labels=["raw_label"], names=["neuron"]), edge(b.gt_edge),
-            SC.pooled(b.frag_node, BY, ids=["node_id"], labels=["label"], names=["neuron"]), edge(b.frag_edge.select(*BY, "src", "dst")), min_nodes=MIN_NODES)
+        b.one._pooled = _prepared(b)
     return b.one._pooled
 
 
@@ -199,8 +204,6 @@ def _(t):
     b = Brains(t)
     b.two = t
     twin = lambda df: df.withColumn("brain", F.lit("a")).unionByName(df.withColumn("brain", F.lit("b")))
-    edge = lambda df: SC.pooled(df, BY, ids=["src", "dst"], names=[c for c in ("neuron",) if c in df.columns])
-    brain = SC.prepare(SC.pooled(b.gt_node, BY, ids=["node_id"], labels=["raw_label"], names=["neuron"]), edge(b.gt_edge),
-                       SC.pooled(b.frag_node, BY, ids=["node_id"], labels=["label"]), edge(b.frag_edge.select(*BY, "src", "dst")), min_nodes=MIN_NODES)
+    brain = _prepared(b)
     edits = SC.pooled(twin(split_edits(t)), BY, labels=["label"]).drop("brain")
     return round_per_neuron(_told_apart(SC.score(brain, edits, ["split"])), "brain", "candidate_id")

@@ -187,3 +187,45 @@ def test_image_of_cuts_is_not_broadcast(spark):
     edits = P.policy_merge_cut(sites, P.Context(None, None, voxels))
     assert [r.edit_seq for r in edits.collect()] == [1]
     assert "Broadcast" not in edits._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_of_several_brains_by_numbers(spark, monkeypatch):
+    """Ids of several brains are numbers where they fit, and no growing side is broadcast when edits are scored."""
+    from dendrospark.operators import edits as E
+    from dendrospark.plans import scoring as SC
+
+    node = "brain string, node_id long, neuron long, raw_label string, x double, y double, z double"
+    # one label over two neurons, a background node inside of the second; ids reach below zero and differ in range
+    made = [(b, i + at, 1 + (i > 5), "0" if i == 8 else "l", 5.0 * i, 40.0 * (i > 5), 0.0) for b, at in (("a", -3), ("b", 7)) for i in range(12)]
+    gt = spark.createDataFrame(made, node)
+    pairs = [(b, i + at, i + 1 + at) for b, at in (("a", -3), ("b", 7)) for i in range(11) if i != 5]
+    neuron = {(r[0], r[1]): r[2] for r in made}
+    edge = spark.createDataFrame([(b, u, v, neuron[b, u]) for b, u, v in pairs], "brain string, src long, dst long, neuron long")
+    frag = gt.filter("raw_label <> '0'").withColumnRenamed("raw_label", "label")
+    kept = {(r.brain, r.node_id) for r in frag.collect()}
+    inner = spark.createDataFrame([p for p in pairs if {(p[0], p[1]), (p[0], p[2])} <= kept], "brain string, src long, dst long")
+    number = SC.numbered([gt, frag], ["brain"])
+    seen = SC.pooled(gt.union(gt.limit(1).withColumn("node_id", F.lit(99).cast("bigint"))), ["brain"], ids=["node_id"], number=number)
+    assert [r[0] for r in seen.select("node_id").orderBy(F.col("node_id").asc_nulls_last()).collect()] == [*range(24), None]
+    wide = spark.createDataFrame([("a", -2**62), ("a", 2**62)], "brain string, node_id long")
+    assert SC.numbered([wide], ["brain"]) is None
+    seeds = [[(None, 0.0, 0.0, 0.0, None), (None, 55.0, 40.0, 0.0, None)]]
+    edits = spark.createDataFrame([("split", k, E.SPLIT, None, None, f"{b}/l", *seeds) for k, b in enumerate("ab")], E.EDIT_SCHEMA)
+    plans, plain = [], SC.cut
+
+    def read(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df)
+
+    def scored(number):
+        ids = lambda df, *c: SC.pooled(df, ["brain"], ids=c, names=["neuron"] if "neuron" in df.columns else [], number=number)
+        brain = SC.prepare(SC.pooled(gt, ["brain"], ids=["node_id"], labels=["raw_label"], names=["neuron"], number=number), ids(edge, "src", "dst"),
+                           SC.pooled(frag, ["brain"], ids=["node_id"], labels=["label"], number=number), ids(inner, "src", "dst"), min_nodes=1)
+        return sorted(map(repr, SC.score(brain, edits, ["split"]).orderBy("neuron").collect()))
+
+    monkeypatch.setattr(SC, "cut", read)
+    monkeypatch.setattr(E, "cut", read)
+    got = scored(number)
+    assert plans and not [line for p in plans for line in p.splitlines() if "Broadcast" in line]
+    # both brains have one shape
+    assert len(got) == 4 and got[2:] == [r.replace("a/", "b/") for r in got[:2]] and got[0] != got[1].replace("a/2", "a/1")
